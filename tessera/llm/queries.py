@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import url_filter, winnowing
+from . import simhash, url_filter, winnowing
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op4_url_filter": url_filter.op4_url_filter,
     "op10_winnowing": winnowing.op10_winnowing,
 }
