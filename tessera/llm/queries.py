@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import huffman, langid, simhash, url_filter, winnowing
+from . import huffman, langid, packing, simhash, url_filter, winnowing
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_packing": packing.op5_packing,
     "op6_huffman_tokens": huffman.op6_huffman_tokens,
     "op8_langid": langid.op8_langid,
     "op10_winnowing": winnowing.op10_winnowing,
