@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import huffman, langid, packing, simhash, url_filter, winnowing
+from . import huffman, langid, packing, prefix_counts, simhash, url_filter, winnowing
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_huffman_tokens": huffman.op6_huffman_tokens,
     "op8_langid": langid.op8_langid,
+    "op9_token_counts": prefix_counts.op9_token_counts,
     "op10_winnowing": winnowing.op10_winnowing,
 }
 ORACLE_SQL = {"op4_url_filter": url_filter.ORACLE_SQL}
