@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import huffman, langid, packing, prefix_counts, simhash, url_filter, winnowing
+from . import huffman, langid, packing, prefix_counts, simhash, topk, url_filter, winnowing
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_topk": topk.op2_topk,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_packing": packing.op5_packing,
     "op6_huffman_tokens": huffman.op6_huffman_tokens,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_token_counts": prefix_counts.op9_token_counts,
     "op10_winnowing": winnowing.op10_winnowing,
 }
-ORACLE_SQL = {"op4_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL = {"op2_topk": topk.ORACLE_SQL, "op4_url_filter": url_filter.ORACLE_SQL}
