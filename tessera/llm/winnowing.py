@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ranges import quantile_bounds, range_number
+
 K, WINDOW = 5, 4
 #: A selected k-gram is one long: 39 bits of hash above 25 bits of position, counted down so that ties go right.
 POSITION_BITS = 25
@@ -111,17 +113,6 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", k: int = K, window:
     return winnow_columns(docs, F.col(text_col), "_fp", k=k, window=window).withColumn("fingerprint", fingerprint_entries(F.col("_fp"))).drop("_fp")
 
 
-def _at_most(bounds: list[int], value: Column) -> Column:
-    """How many of the sorted ``bounds`` are at most ``value``: a binary search as an expression."""
-    steps = max(1, len(bounds)).bit_length()
-    table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    return F.aggregate(
-        F.array(*[F.lit(1 << s) for s in reversed(range(steps))]),
-        F.lit(0),
-        lambda low, step: F.when(F.coalesce(F.get(table, low + step - 1) <= value, F.lit(False)), low + step).otherwise(low),
-    )
-
-
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows ``(doc_id, text, next_text…)`` helpers for :func:`neighbours`: ``docs`` dealt into
     ranges of ids, each range holding a copy of the first row of the range that follows it.
@@ -131,11 +122,8 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", range_rows: int = RANG
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     n = docs.select(F.count("*")).first()[0]
     ranges = min(MAX_RANGES, -(-n // range_rows))
-    bounds: list[int] = []
-    if ranges > 1:
-        parts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-        bounds = sorted(set(docs.select(F.percentile_approx(key, parts, F.lit(max(10_000, 20 * ranges)))).first()[0]))
-    keyed = docs.withColumn("_key", key).withColumn("_range", _at_most(bounds, F.col("_key")))
+    bounds = quantile_bounds(docs, key, ranges)
+    keyed = docs.withColumn("_key", key).withColumn("_range", range_number(bounds, F.col("_key")))
     heads = {r[0]: r[1] for r in keyed.select("_range", "_key").groupBy("_range").agg(F.max("_key")).collect()}
     order = sorted(heads)
     head_of = F.array(*[F.lit(heads.get(i)).cast("long") for i in range(len(bounds) + 1)])
