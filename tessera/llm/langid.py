@@ -141,7 +141,7 @@ def mixtures(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> np.
     return out
 
 
-def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_share: float = 0.01) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_share: float = 0.01, prefix: str = "") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``mixture`` (map of language to proportion).
 
     Whole texts are read.  Null text, text without a letter, and every text if the
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", mi
     shared = docs.sparkSession.sparkContext.broadcast(model)
     languages = np.array([*model.languages, UNKNOWN], dtype=object)
     position = keep.columns.index(text_col)
-    schema = keep.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.create_map(F.lit(""), F.lit(0.0)).alias("mixture")).schema
+    schema = keep.select("*", F.lit("").alias(added[0]), F.lit(0.0).alias(added[1]), F.create_map(F.lit(""), F.lit(0.0)).alias(added[2])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", mi
             counts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(share)))))
             mixture = pa.MapArray.from_arrays(pa.array(counts, pa.int32()), pa.array(languages[col], pa.string()), pa.array(share[row, col]))
             label = pa.array(languages[np.where(unknown, len(languages) - 1, top)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, label, pa.array(np.clip(np.where(unknown, 0.0, score), 0, 1)), mixture], names=[*batch.schema.names, "lang_pred", "score", "mixture"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, label, pa.array(np.clip(np.where(unknown, 0.0, score), 0, 1)), mixture], names=[*batch.schema.names, *added])
 
     return keep.mapInArrow(run, schema)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import huffman, langid, packing, prefix_counts, simhash, topk, url_filter, warc, winnowing
+from . import huffman, langid, mixing, packing, prefix_counts, simhash, topk, url_filter, warc, winnowing
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_topk": topk.op2_topk,
+    "op3_mixing": mixing.op3_mixing,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_packing": packing.op5_packing,
     "op6_huffman_tokens": huffman.op6_huffman_tokens,
