@@ -146,9 +146,10 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", mi
 
     Whole texts are read.  Null text, text without a letter, and every text if the
     model knows no language: ``und``, score 0, empty map.  Ties go to the language
-    that sorts first.  Repeated rows get equal results; columns of these names in
-    ``docs`` are replaced."""
-    keep = docs.drop("lang_pred", "score", "mixture")
+    that sorts first.  Repeated rows get equal results.  The names begin with
+    ``prefix``; columns of these names in ``docs`` are replaced."""
+    added = [f"{prefix}{c}" for c in ("lang_pred", "score", "mixture")]
+    keep = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     languages = np.array([*model.languages, UNKNOWN], dtype=object)
     position = keep.columns.index(text_col)
