@@ -39,3 +39,16 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(conf).delete(path, True)
+
+
+#: Limits of a batch between Spark and Python where rows hold whole texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches, if they are higher, to BATCH_ROWS and
+    BATCH_BYTES: buffers on both sides then follow these, however long the texts are."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    spark.conf.set(size, BATCH_BYTES)
