@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize, remove, shared_path
+from tessera.storage import bounded_batches, materialize, remove, shared_path
 
 from .vocabulary import BYTE_BPE, byte_bpe
 
@@ -170,6 +170,7 @@ def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     side by side, ordered by their ids' bytes; null ids come first.  No document
     larger than a block is cut: a block ends with the document that fills it."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     tokens = materialize(token_table(docs, id_col=id_col, text_col=text_col, vocabulary=vocabulary, end_id=end_id), "tokens")
     lengths = code_lengths(global_counts(tokens, byte_bpe(vocabulary).size), max_bits)
     used = np.flatnonzero(lengths)
