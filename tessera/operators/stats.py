@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .windows import average_rank, with_q_values
 
@@ -183,12 +184,12 @@ def two_component_nnls(target: np.ndarray, a: np.ndarray, b: np.ndarray) -> tupl
     return best[0], best[1], float(np.sqrt(((target - best[0] * a - best[1] * b) ** 2).sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf_udf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(a, b) if a == a and b == b else None for a, b in zip(x, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_udf(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_two_sided(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)], dtype="float64")
 
