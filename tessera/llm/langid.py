@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import bounded_batches
+
 from .textbytes import per_document, runs
 
 UNKNOWN = "und"
@@ -70,6 +72,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     the smallest hashes of their ids; fewer labelled rows are all read.  What
     reaches the driver is a count for each language and bucket.  The
     MAX_LANGUAGES most frequent languages are learned."""
+    bounded_batches(docs.sparkSession)
     labelled = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sizes = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
     languages = tuple(sorted(r[0] for r in sizes))
@@ -149,6 +152,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", mi
     that sorts first.  Repeated rows get equal results.  The names begin with
     ``prefix``; columns of these names in ``docs`` are replaced."""
     added = [f"{prefix}{c}" for c in ("lang_pred", "score", "mixture")]
+    bounded_batches(docs.sparkSession)
     keep = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     languages = np.array([*model.languages, UNKNOWN], dtype=object)
@@ -159,7 +163,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", mi
         for batch in batches:
             text = batch.column(position)
             model = shared.value
-            parts = [mixtures(model, data, offs) for _, _, data, offs in runs(_lower(text), max(1 << 19, (8 << 20) // max(1, len(languages) - 1)))]
+            parts = [mixtures(model, data, offs) for _, _, data, offs in runs(_lower(text), max(1 << 18, (4 << 20) // max(1, len(languages) - 1)))]
             share = np.concatenate(parts) if parts else np.zeros((0, len(model.languages)))
             no_letter = np.array(pc.fill_null(pc.invert(pc.match_substring_regex(text, r"\pL")), True))
             top = share.argmax(axis=1) if share.shape[1] else np.zeros(len(share), int)

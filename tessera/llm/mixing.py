@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize
+from tessera.storage import bounded_batches, materialize
 
 from .textbytes import per_document, runs
 
@@ -222,6 +222,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", targ
     a class of their own; null or blank texts have no tokens and are drawn
     at the share that is kept.  Rows that repeat an id are drawn together.
     An empty table gives an empty one."""
+    bounded_batches(docs.sparkSession)
     centres = topic_centres(docs, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     rows = materialize(with_topics(rows, centres), "topics")

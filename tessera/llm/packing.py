@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize
+from tessera.storage import bounded_batches, materialize
 
 from .vocabulary import BYTE_BPE, byte_bpe
 
@@ -135,6 +135,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     longer than ``capacity`` are cut, their first piece taking the remainder.
     Pieces of a sequence lie gapless from 0.  Rows that repeat an id, or have
     none, are documents of their own; an empty table gives an empty one."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = materialize(_leaves(rows, vocabulary, end_id, capacity, nearly_full, carry), "pieces")
     open_ = pieces.filter("up")

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import bounded_batches
+
 from .vocabulary import BYTE_BPE, ByteBpe, byte_bpe
 
 #: Words up to so many bytes are filled in side by side, longer ones on their own.
@@ -280,6 +282,7 @@ def prefix_token_counts(docs: DataFrame, *, text_col: str = "text", vocabulary:
     Counts are those of the ``tokenizers`` library without added special tokens, over
     whole texts; null counts as empty.  Added columns replace those of their names."""
     added = ["n_bytes", "n_tokens", *["fit_bytes"] * (budget is not None), *["prefix_tokens"] * keep_table]
+    bounded_batches(docs.sparkSession)
     keep = docs.drop(*added)
     position = keep.columns.index(text_col)
     schema = keep.select("*", *[F.lit(0).cast("long").alias(c) for c in added if c != "prefix_tokens"], *[F.array(F.lit(0)).alias("prefix_tokens")] * keep_table).schema

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
-from tessera.storage import materialize, remove
+from tessera.storage import bounded_batches, materialize, remove
 
 from .textbytes import per_document, runs
 
@@ -64,13 +64,13 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHIN
     doc = np.repeat(np.arange(docs), n_shingles)
     head = bounds[doc] + (np.arange(total) - starts[doc])
     tail = np.minimum(head + shingle, bounds[doc + 1]) - 1
-    begin, end = at[head].tolist(), (at[tail] + size[tail]).tolist()
+    begin, end = at[head], at[tail] + size[tail]
     digest = xxhash.xxh64_intdigest
     ones = np.zeros((docs, 64), np.int64)
-    step = 1 << 18
+    step = 1 << 15
     for a in range(0, total, step):
         b = min(total, a + step)
-        hashes = np.array([digest(text[s:e], seed) for s, e in zip(begin[a:b], end[a:b], strict=True)], dtype=np.uint64)
+        hashes = np.array([digest(text[s:e], seed) for s, e in zip(begin[a:b].tolist(), end[a:b].tolist(), strict=True)], dtype=np.uint64)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         lo, hi = doc[a], doc[b - 1] + 1
         ones[lo:hi] += per_document(bits.astype(np.int32), np.clip(starts[lo : hi + 1], a, b) - a)
@@ -91,6 +91,7 @@ def with_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             prints = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=[id_col, "simhash"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text"))
     return rows.mapInArrow(compute, f"`{id_col}` {dict(rows.dtypes)[id_col]}, simhash long")
 

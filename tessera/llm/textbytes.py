@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Documents are handled in runs of about so many bytes, so that memory follows this and the longest text.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize
+from tessera.storage import bounded_batches, materialize
 
 TOP_K, SCALE = 10, 1024
 #: Rows of a candidate block and of a query block; a task holds one of each.
@@ -153,6 +153,7 @@ def top_inner_products(vectors: DataFrame, is_query, *, k: int = TOP_K, candidat
     meets only the blocks whose longest vector can reach it.  Results of a
     pair of blocks are at most k for each query.  Scores are 64-bit integers."""
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = materialize(vectors.withColumn("len2", F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e)), "vectors")
     shape = rows.agg(F.count("*"), F.max(F.size("v")), F.min(F.size("v"))).first()
     if not shape[0]:
