@@ -29,7 +29,9 @@ def _sq(c: Column) -> Column:
 
 
 def metrics_vs_zero(df: DataFrame, y: str, yhat: str, by: list[str], sign_threshold: float = 1.0) -> DataFrame:
-    """R2 against a prediction of 0, mean absolute error, Pearson, sign accuracy where |y| exceeds the threshold; null below three rows."""
+    """R2 against a prediction of 0, mean absolute error, Pearson, sign accuracy where |y| exceeds the threshold.
+
+    Correlation and sign need three rows and a prediction that varies; R2 and the error do not."""
     a, b = F.col(y), F.col(yhat)
     big = F.abs(a) > sign_threshold
     out = _grouped(df, by).agg(
@@ -39,8 +41,9 @@ def metrics_vs_zero(df: DataFrame, y: str, yhat: str, by: list[str], sign_thresh
         F.corr(y, yhat).alias("pearson_r"),
         F.count_if(big).alias("n_sign_evaluated"),
         F.avg(F.when(big, (F.signum(a) == F.signum(b)).cast("double"))).alias("sign_accuracy"),
+        F.stddev_pop(b).alias("_sd"),
     )
-    return out.withColumns({c: F.when(F.col("n") >= 3, F.col(c)) for c in ("r2", "pearson_r")})
+    return out.withColumns({c: F.when((F.col("n") >= 3) & (F.col("_sd") > 0), F.col(c)) for c in ("pearson_r", "sign_accuracy")}).drop("_sd")
 
 
 def metrics_vs_mean(df: DataFrame, y: str, yhat: str, by: list[str]) -> DataFrame:

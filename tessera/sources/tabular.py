@@ -102,16 +102,19 @@ def read_demux_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_feature_table(spark: SparkSession, path: str | list[str], *, keep: list[str] | None = None) -> DataFrame:
     """(strain, feature, cnt) of the non-zero cells of a wide table whose first column names the strain."""
     raw = spark.read.csv(path, header=True)
-    strain, columns = raw.columns[0], [c for c in raw.columns[1:] if keep is None or c in keep]
-    typed = raw.select(F.col(strain).alias("strain"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    return typed.unpivot(["strain"], columns, "feature", "cnt").filter("cnt <> 0")
+    columns = [(k, c) for k, c in enumerate(raw.columns) if k and (keep is None or c in keep)]
+    raw = raw.toDF(*[f"_{k}" for k in range(len(raw.columns))])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{k}").cast("double").alias("cnt")) for k, c in columns])
+    return raw.select(F.col("_0").alias("strain"), F.explode(F.filter(cells, lambda x: x["cnt"] != 0)).alias("x")).select("strain", "x.feature", "x.cnt")
 
 
 def read_distance_matrix(spark: SparkSession, path: str | list[str], names: list[str] | None = None) -> DataFrame:
     """(a, b, d) of a square matrix with names in its first column and header, restricted to ``names`` on both sides."""
     raw = spark.read.csv(path, header=True)
-    first, columns = raw.columns[0], [c for c in raw.columns[1:] if names is None or c in names]
-    out = raw.select(F.col(first).alias("a"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot(["a"], columns, "b", "d")
+    columns = [(k, c) for k, c in enumerate(raw.columns) if k and (names is None or c in names)]
+    raw = raw.toDF(*[f"_{k}" for k in range(len(raw.columns))])  # names may repeat those of the result
+    cells = F.array(*[F.struct(F.lit(c).alias("b"), F.col(f"_{k}").cast("double").alias("d")) for k, c in columns])
+    out = raw.select(F.col("_0").alias("a"), F.explode(cells).alias("x")).select("a", "x.b", "x.d")
     return out if names is None else out.filter(F.col("a").isin(names))
 
 
