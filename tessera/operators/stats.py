@@ -17,11 +17,18 @@ def _grouped(df: DataFrame, by: list[str]):
     return df.groupBy(*by) if by else df.groupBy()
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation over rows that have both; null if either does not vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Correlation of average ranks by group; rows with a null in either are left out."""
     full = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = full.withColumn("_rx", average_rank(x, by)).withColumn("_ry", average_rank(y, by))
-    return _grouped(ranked, by).agg(F.corr("_rx", "_ry").alias("spearman_rho"), F.count("*").alias("n"))
+    return _grouped(ranked, by).agg(correlation("_rx", "_ry").alias("spearman_rho"), F.count("*").alias("n"))
 
 
 def _sq(c: Column) -> Column:
@@ -38,7 +45,7 @@ def metrics_vs_zero(df: DataFrame, y: str, yhat: str, by: list[str], sign_thresh
         F.count("*").alias("n"),
         (1 - F.try_divide(F.sum(_sq(a - b)), F.sum(_sq(a)))).alias("r2"),
         F.avg(F.abs(a - b)).alias("mae"),
-        F.corr(y, yhat).alias("pearson_r"),
+        correlation(y, yhat).alias("pearson_r"),
         F.count_if(big).alias("n_sign_evaluated"),
         F.avg(F.when(big, (F.signum(a) == F.signum(b)).cast("double"))).alias("sign_accuracy"),
         F.stddev_pop(b).alias("_sd"),
@@ -49,7 +56,7 @@ def metrics_vs_zero(df: DataFrame, y: str, yhat: str, by: list[str], sign_thresh
 def metrics_vs_mean(df: DataFrame, y: str, yhat: str, by: list[str]) -> DataFrame:
     """R2 against the mean of the observations, mean absolute error and Pearson."""
     a, b = F.col(y), F.col(yhat)
-    return _grouped(df, by).agg(F.count("*").alias("n"), (1 - F.try_divide(F.sum(_sq(a - b)), F.var_pop(a) * F.count("*"))).alias("r2"), F.avg(F.abs(a - b)).alias("mae"), F.corr(y, yhat).alias("pearson_r"))
+    return _grouped(df, by).agg(F.count("*").alias("n"), (1 - F.try_divide(F.sum(_sq(a - b)), F.var_pop(a) * F.count("*"))).alias("r2"), F.avg(F.abs(a - b)).alias("mae"), correlation(y, yhat).alias("pearson_r"))
 
 
 def identity_metrics(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -58,7 +65,7 @@ def identity_metrics(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return _grouped(df, by).agg(
         F.count("*").alias("n"),
         (1 - F.try_divide(F.sum(_sq(b - a)), F.var_pop(b) * F.count("*"))).alias("r2_identity"),
-        _sq(F.corr(a, b)).alias("r2_linear"),
+        _sq(correlation(a, b)).alias("r2_linear"),
         F.regr_slope(b, a).alias("slope"),
         F.avg(((a > 0) == (b > 0)).cast("double")).alias("winner_agreement"),
     )

@@ -113,7 +113,7 @@ def binomial_z(spark, sf_dir):
 )
 def split_half(spark, sf_dir):
     s = stats.split_half(table(spark, sf_dir, "events"), unit="user_id", order="event_id", value="value")
-    out = s.agg(F.count("*").alias("n_units"), F.corr("first", "rest").alias("r"))
+    out = s.agg(F.count("*").alias("n_units"), stats.correlation("first", "rest").alias("r"))
     return out.select("n_units", r6("r").alias("pearson_r"), r6(stats.spearman_brown(F.col("r"), F.lit(3.0))).alias("reliability_of_three"))
 
 
