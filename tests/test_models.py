@@ -9,13 +9,13 @@ from tessera.operators import folds, models, stats
 @pytest.fixture(scope="module")
 def experiment(spark):
     rng = np.random.default_rng(0)
-    strains = [f"s{k:02d}" for k in range(24)]
-    x = (rng.random((24, 40)) < 0.4).astype(float)
+    strains = [f"s{k:02d}" for k in range(36)]
+    x = (rng.random((36, 12)) < 0.4).astype(float)
     s = x[:, :4] @ np.array([2.0, -1.5, 1.0, 0.7])
     s -= s.mean()
     rows = []
-    for i in range(24):
-        for j in range(i + 1, 24):
+    for i in range(36):
+        for j in range(i + 1, 36):
             n = 60
             k = rng.binomial(n, 1 / (1 + np.exp(-(s[i] - s[j]))))
             rows.append((strains[i], strains[j], int(k), int(n - k), float(np.log2((k + 0.5) / (n - k + 0.5)))))
@@ -48,7 +48,7 @@ def test_cross_validation_orders_models(spark, experiment):
     chosen = {k: models.MODELS[k] for k in ("zero", "strength_observed", "two_stage_ridge", "ridge", "boosted")}
     scores = models.fold_scores(models.cross_validate(roles, pairs, x, target="mean_log2_ratio_a_over_b", models=chosen)).toPandas().groupby("model")["r2"].mean()
     assert scores["zero"] == 0 and scores["strength_observed"] == 0  # test strains were never seen
-    assert scores["two_stage_ridge"] > 0.3 and scores["ridge"] > 0.2
+    assert scores["two_stage_ridge"] > 0.15 and scores["ridge"] > 0.15
     pair_roles = folds.pair_folds(pairs, 4).withColumn("rep", F.lit(0)).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(3))))
     pair_roles = pair_roles.select("rep", F.col("f").alias("fold"), "strain_a", "strain_b", F.when(F.col("f") == F.col("fold"), "test").otherwise("train").alias("role"))
     seen = models.fold_scores(models.cross_validate(pair_roles, pairs, x, target="mean_log2_ratio_a_over_b", models={"strength_observed": models.MODELS["strength_observed"]})).toPandas()
@@ -60,7 +60,7 @@ def test_cross_validation_orders_models(spark, experiment):
 def test_predictions_are_antisymmetric(experiment):
     _, x, s = experiment
     rng = np.random.default_rng(1)
-    a, b = rng.integers(0, 24, 200), rng.integers(0, 24, 200)
+    a, b = rng.integers(0, 36, 200), rng.integers(0, 36, 200)
     keep = a != b
     a, b = a[keep], b[keep]
     y = s[a] - s[b]
@@ -77,7 +77,7 @@ def test_predictions_are_antisymmetric(experiment):
 def test_yield_models(experiment):
     _, x, s = experiment
     rng = np.random.default_rng(2)
-    a, b = (rng.integers(0, 24, 300) for _ in range(2))
+    a, b = (rng.integers(0, 36, 300) for _ in range(2))
     y = 3 + s[a] + s[b]
     f = models.Fold(a, b, y, np.arange(200), np.arange(200, 300), x.to_numpy(), x.to_numpy().sum(axis=1, keepdims=True), np.zeros((300, 0)))
     base = ((y[200:] - y[:200].mean()) ** 2).sum()
