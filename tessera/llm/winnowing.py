@@ -9,6 +9,8 @@ the minimum is kept, the rightmost of equals, with its position: any run of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,8 +116,8 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", k: int = K, window:
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Rows ``(doc_id, text, next_text…)`` helpers for :func:`neighbours`: ``docs`` dealt into
-    ranges of ids, each range holding a copy of the first row of the range that follows it.
+    """``docs`` dealt into ranges of ids, a task each (``_deal``), every range holding a copy
+    (``_copy`` 1) of the first row of the range that follows it.
 
     One shuffle moves each row once; the ids alone are read before it, for range
     bounds and for the largest id of each range (at most MAX_RANGES rows)."""
@@ -134,7 +136,17 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", range_rows: int = RANG
     copy = F.struct(F.get(goes_to, F.col("_range")).alias("range"), F.lit(1).alias("copy"))
     dealt = keyed.withColumn("_to", F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))))
     dealt = dealt.withColumn("_range", F.col("_to.range")).withColumn("_copy", F.col("_to.copy")).drop("_to")
-    return dealt.repartition(max(1, len(order)), "_range")
+    keys = _spread_keys(docs.sparkSession, len(bounds) + 1)
+    dealt = dealt.withColumn("_deal", F.get(F.array(*[F.lit(k).cast("long") for k in keys]), F.col("_range"))).drop("_range")
+    return dealt.repartition(len(keys), "_deal")
+
+
+def _spread_keys(spark, n: int) -> list[int]:
+    """n numbers that hash partitioning sends to n different partitions, so that no task gets two ranges."""
+    end = int(n * (math.log(n + 1) + 8))
+    found = spark.range(end).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    keys = [r["id"] for r in found]
+    return [*keys, *range(end, end + n - len(keys))]  # all different, whatever the partitions
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
@@ -150,7 +162,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     dealt = with_next(base)
     dealt = winnow_columns(dealt, F.col("text"), "fp")
     dealt = dealt.withColumn("fp_hashes", fingerprint_hashes(F.col("fp")))
-    order = Window.partitionBy("_range").orderBy("_copy", F.desc("_key"), "text")
+    order = Window.partitionBy("_deal").orderBy("_copy", F.desc("_key"), "text")
     dealt = dealt.withColumn("_next", F.lead(F.struct("text", "fp_hashes")).over(order)).filter("_copy = 0")
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
