@@ -186,7 +186,7 @@ def group_cv(spark, sf_dir):
     units = spark.range(1, 31).select(F.col("id").alias("strain"))
     bits = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 30").groupBy("l_suppkey").pivot("l_linenumber", list(range(1, 8))).agg(F.avg("l_quantity")).toPandas().set_index("l_suppkey").sort_index()
     frame = pd.DataFrame(bits.fillna(0.0).to_numpy(), index=bits.index)
-    roles = folds.strain_folds(pairs, folds.unit_folds(units, "strain", 3))
+    roles = folds.strain_folds(pairs, folds.unit_folds(units, "strain", 2))
     chosen = {k: models.MODELS[k] for k in ("zero", "strength_observed", "ridge", "two_stage_ridge")}
     return models.fold_scores(models.cross_validate(roles, pairs, frame, target="mean_log2_ratio_a_over_b", models=chosen))
 
