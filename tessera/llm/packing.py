@@ -22,7 +22,7 @@ from .vocabulary import BYTE_BPE, byte_bpe
 
 SEQUENCE, END_ID = 1024, 2
 #: Bins with at most NEARLY_FULL free tokens are done; a node hands at most CARRY others to its parent, which has FAN_IN children.
-NEARLY_FULL, CARRY, FAN_IN = 8, 32, 8
+NEARLY_FULL, CARRY, FAN_IN = 8, 16, 8
 #: Pieces that one best-fit round holds in memory.
 ROUND_PIECES = 1 << 18
 
