@@ -155,6 +155,7 @@ class Fold:
     symmetric: np.ndarray
     distances: np.ndarray | None = None
     n_components: int = 20
+    units: np.ndarray | None = None
     cache: dict = field(default_factory=dict)
 
     @property
@@ -216,12 +217,13 @@ def _observed(fold: Fold) -> np.ndarray:
 
 
 def _clone_lookup(fold: Fold) -> np.ndarray:
-    """Mean strength of training strains with the same features; 0 for features never seen."""
+    """Mean strength of the training strains of a strain's genome unit (without units: of the same features); 0 for a unit never seen."""
     strains, s = fold.strengths()
-    groups: dict[bytes, list[float]] = {}
+    unit = [f.tobytes() for f in fold.features] if fold.units is None else list(fold.units)
+    groups: dict = {}
     for k, v in zip(strains, s, strict=True):
-        groups.setdefault(fold.features[k].tobytes(), []).append(v)
-    every = np.array([np.mean(groups.get(f.tobytes(), [0.0])) for f in fold.features])
+        groups.setdefault(unit[k], []).append(v)
+    every = np.array([np.mean(groups.get(u, [0.0])) for u in unit])
     return every[fold.a[fold.test]] - every[fold.b[fold.test]]
 
 
@@ -289,6 +291,7 @@ def cross_validate(
     covariates: tuple[str, ...] = (),
     distances: pd.DataFrame | None = None,
     n_components: int = 20,
+    units: dict | None = None,
     shuffled: bool = False,
     seed: int = 0,
 ) -> DataFrame:
@@ -296,11 +299,12 @@ def cross_validate(
 
     ``roles``: (rep, fold, strain_a, strain_b, role).  ``features`` and ``distances`` are indexed by
     strain: a dimension that every task gets.  Pairs with a strain outside it, or
-    without the target, are left out.  ``shuffled`` permutes the training labels of each
+    without the target, are left out.  ``units`` names the genome unit of strains.  ``shuffled`` permutes the training labels of each
     fold, a control that should predict nothing."""
     chosen = models or MODELS
     strains = features.index.to_numpy()
     matrix, at = features.to_numpy(float), {s: i for i, s in enumerate(strains)}
+    unit_of = None if units is None else np.array([str(units.get(s, s)) for s in strains])
     far = None if distances is None else distances.loc[strains, strains].to_numpy(float)
     rows = roles.join(pairs.select("strain_a", "strain_b", F.col(target).cast("double").alias("_y"), *covariates), ["strain_a", "strain_b"]).filter("_y IS NOT NULL")
     kind = dict(roles.dtypes)["strain_a"]
@@ -317,7 +321,7 @@ def cross_validate(
                 y = y.copy()
                 y[train] = np.random.default_rng([seed, int(pdf["rep"].iloc[0]), int(pdf["fold"].iloc[0])]).permutation(y[train])
             sym = pdf[list(covariates)].to_numpy(float).reshape(len(pdf), len(covariates))
-            fold = Fold(pdf["strain_a"].map(at).to_numpy(), pdf["strain_b"].map(at).to_numpy(), y, train, test, matrix, matrix.sum(axis=1, keepdims=True), np.nan_to_num(sym), far, n_components)
+            fold = Fold(pdf["strain_a"].map(at).to_numpy(), pdf["strain_b"].map(at).to_numpy(), y, train, test, matrix, matrix.sum(axis=1, keepdims=True), np.nan_to_num(sym), far, n_components, unit_of)
             for name, model in chosen.items():
                 out.append(pd.DataFrame({"rep": pdf["rep"].iloc[0], "fold": pdf["fold"].iloc[0], "model": name, "strain_a": pdf["strain_a"].to_numpy()[test], "strain_b": pdf["strain_b"].to_numpy()[test], "y_true": y[test], "y_pred": model(fold)}))
         return pd.concat(out) if out else pd.DataFrame(columns=[f.split(" ")[0] for f in schema.split(", ")])
@@ -413,3 +417,89 @@ def select_features(x: np.ndarray, y: np.ndarray, *, diverse: int = 500, keep: i
         if len(kept) == keep:
             break
     return [int(order[k]) for k in kept]
+
+
+def leave_strains_out(pairs: DataFrame, features: pd.DataFrame, *, target: str, n_splits: int = 10, repeats: int = 3, sources: dict[str, pd.DataFrame] | None = None, alpha: float = 50.0, n_components: int = 20, symmetric: bool = False, seed: int = 0) -> DataFrame:
+    """(source, strain, observed, predicted): a strain's strength (or yield) from its genome alone, its pairs held out.
+
+    ``sources`` names the representations to compare, all indexed by strain (default: the
+    features).  Predictions are means over repeats; a group is one repeat, fold and source."""
+    named = sources or {"features": features}
+    strains = list(features.index)
+    spark = pairs.sparkSession
+    table = pairs.filter(F.col("strain_a").isin(strains) & F.col("strain_b").isin(strains)).select("strain_a", "strain_b", F.col(target).cast("double").alias("y")).dropna().toPandas()
+    at = {s: i for i, s in enumerate(strains)}
+    a, b, y = table["strain_a"].map(at).to_numpy(), table["strain_b"].map(at).to_numpy(), table["y"].to_numpy()
+    n = len(strains)
+    fit = (lambda p, q, v, k: additive_yield(p, q, v, k)[0]) if symmetric else additive_strength
+    whole = fit(a, b, y, n)
+    matrices = {k: m.loc[strains].to_numpy(float) for k, m in named.items()}
+    kind = dict(pairs.dtypes)["strain_a"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rep, k, source = (pdf[c].iloc[0] for c in ("rep", "fold", "source"))
+        fold_of = np.random.default_rng([seed, int(rep)]).permutation(n) % n_splits
+        train, test = np.flatnonzero(fold_of != k), np.flatnonzero(fold_of == k)
+        keep = np.isin(a, train) & np.isin(b, train)
+        s = fit(np.searchsorted(train, a[keep]), np.searchsorted(train, b[keep]), y[keep], len(train))
+        z = standardise(components(matrices[source], train, n_components), train)
+        w, c = ridge(z[train], s, alpha)
+        return pd.DataFrame({"source": source, "strain": [strains[i] for i in test], "observed": whole[test], "predicted": z[test] @ w + c})
+
+    jobs = spark.createDataFrame([(r, k, s) for r in range(repeats) for k in range(n_splits) for s in named], "rep int, fold int, source string")
+    out = jobs.groupBy("rep", "fold", "source").applyInPandas(run, f"source string, strain {kind}, observed double, predicted double")
+    return out.groupBy("source", "strain").agg(F.first("observed").alias("observed"), F.avg("predicted").alias("predicted"))
+
+
+def transfer(strengths: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` of another experiment with the log2 ratio and share that the strengths predict; pairs with an unknown strain are left out."""
+    import math
+
+    out = pairs
+    for side in ("a", "b"):
+        out = out.join(strengths.select(F.col("strain").alias(f"strain_{side}"), F.col("bt_strength").alias(f"_{side}")), f"strain_{side}")
+    d = F.col("_a") - F.col("_b")
+    return out.withColumns({"predicted_log2": d / math.log(2), "predicted_share": 1 / (1 + F.exp(-d))}).drop("_a", "_b")
+
+
+def permuted_rows(features: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """The same strains with each other's features."""
+    order = np.random.default_rng(seed).permutation(len(features))
+    return pd.DataFrame(features.to_numpy()[order], index=features.index, columns=features.columns)
+
+
+def against_permutations(real: float, nulls: list[float]) -> dict:
+    """z of a score against those of permuted mappings, and whether it beats them all."""
+    x = np.array(nulls, float)
+    sd = float(x.std())
+    return {"real": real, "null_mean": float(x.mean()), "null_sd": sd, "z": (real - float(x.mean())) / sd if sd else float("nan"), "beats_all": bool((real > x).all())}
+
+
+def matched_removal(a: np.ndarray, b: np.ndarray, train: np.ndarray, removable: np.ndarray, n_remove: int, rng) -> np.ndarray:
+    """Training pairs left when whole random strains among ``removable`` go until at least ``n_remove`` pairs are gone."""
+    gone = np.zeros(len(removable), bool)
+    for s in rng.permutation(np.intersect1d(np.flatnonzero(removable), np.concatenate((a[train], b[train])))):
+        if (gone[a[train]] | gone[b[train]]).sum() >= n_remove:
+            break
+        gone[s] = True
+    return train[~(gone[a[train]] | gone[b[train]])]
+
+
+def matched_feature_sets(prevalence: np.ndarray, size: np.ndarray | list[int], draws: int, rng, bins: int = 20) -> list[np.ndarray]:
+    """Random feature sets with as many features of each prevalence bin as the given set."""
+    rank = np.argsort(np.argsort(prevalence, kind="stable"), kind="stable")
+    stratum = rank * bins // max(1, len(prevalence))
+    wanted = np.bincount(stratum[np.asarray(size)], minlength=bins)
+    return [np.sort(np.concatenate([rng.choice(np.flatnonzero(stratum == s), k, replace=False) for s, k in enumerate(wanted) if k])) for _ in range(draws)]
+
+
+def learning_curve(pairs: DataFrame, *, sizes: list[int], unit: str = "strain", repeats: int = 5, seed: int = 0) -> DataFrame:
+    """(size, rep, strain_a, strain_b, …): the pairs among ``size`` strains, the first in a seeded hash order of each repeat."""
+    from pyspark.sql import Window
+
+    strains = pairs.select(F.explode(F.array("strain_a", "strain_b")).alias("s")).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", F.col("s").cast("string")), "s"))
+    placed = strains.withColumn("_n", place)
+    both = pairs.join(placed.select(F.col("s").alias("strain_a"), "rep", F.col("_n").alias("_na")), "strain_a").join(placed.select(F.col("s").alias("strain_b"), "rep", F.col("_n").alias("_nb")), ["strain_b", "rep"])
+    listed = F.array(*map(F.lit, sizes))
+    return both.withColumn("size", F.explode(F.filter(listed, lambda k: (F.col("_na") <= k) & (F.col("_nb") <= k)))).drop("_na", "_nb")
