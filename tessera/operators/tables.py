@@ -56,10 +56,10 @@ def merged_counts(first: DataFrame, second: DataFrame, *, key: str, counts: list
 
 def share_dispersion(counts: DataFrame, *, unit: str, run: str, n: str) -> DataFrame:
     """One row: Pearson chi-squared of units by runs over its degrees of freedom."""
-    units = counts.groupBy(unit).agg(F.sum(n).alias("u"))
-    runs = counts.groupBy(run).agg(F.sum(n).alias("r"))
+    units = counts.groupBy(unit).agg(F.sum(n).alias("_u"))
+    runs = counts.groupBy(run).agg(F.sum(n).alias("_r"))
     total = counts.agg(F.sum(n).alias("t"), F.count_distinct(unit).alias("nu"), F.count_distinct(run).alias("nr"))
-    cells = counts.join(units, unit).join(runs, run).agg(F.sum(F.col(n) * F.col(n) / (F.col("u") * F.col("r"))).alias("s"))
+    cells = counts.join(units, unit).join(runs, run).agg(F.sum(F.col(n) * F.col(n) / (F.col("_u") * F.col("_r"))).alias("s"))
     out = cells.join(F.broadcast(total), F.lit(True))  # two tables of one row each
     df = (F.col("nu") - 1) * (F.col("nr") - 1)
     chi2 = F.col("t") * (F.col("s") - 1)
