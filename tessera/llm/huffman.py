@@ -127,12 +127,10 @@ def token_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         kind = np.uint16 if bpe.size <= 1 << 16 else np.uint32
         for batch in batches:
             sizes, blobs = [], []
-            for text in batch.column(1):
-                ids = bpe.encode(t) if (t := text.as_py()) else []
-                if end_id is not None:
-                    ids.append(end_id)
+            for text in batch.column(1).to_pylist():
+                ids = bpe.ids(text, end_id)
                 sizes.append(len(ids))
-                blobs.append(pack.compress(np.array(ids, dtype=kind).tobytes()))
+                blobs.append(pack.compress(ids.astype(kind).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")

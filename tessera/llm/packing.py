@@ -92,10 +92,9 @@ def _leaves(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, nearly
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "up", "fill", "leaf"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = bpe.encode(t) if (t := text.as_py()) else []
-                ids.append(end_id)
-                data, start = np.array(ids, dtype="<u4").tobytes(), 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = bpe.ids(text, end_id)
+                data, start = ids.astype("<u4").tobytes(), 0
                 for piece, length in enumerate(cut(len(ids), capacity)):
                     rows.append((doc, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
                     start += length

@@ -45,8 +45,11 @@ class ByteBpe:
             return self.core.encode(text, allowed_special="all")
         return self.core.encode_ordinary(text)
 
-    def ids(self, text: str | None) -> np.ndarray:
-        return np.array(self.encode(text), dtype=np.uint32) if text else np.zeros(0, np.uint32)
+    def ids(self, text: str | None, end_id: int | None = None) -> np.ndarray:
+        """The same as an array, with ``end_id`` appended if there is one; null text has no ids."""
+        special = "all" if text and any(s in text for s in self.special) else set()
+        own = self.core.encode_to_numpy(text, allowed_special=special, disallowed_special=()) if text else np.zeros(0, np.uint32)
+        return own if end_id is None else np.append(own, np.uint32(end_id))
 
 
 @lru_cache(maxsize=2)

@@ -44,6 +44,7 @@ ODD = ["", None, " ", "a", "<|endoftext|>", "x<|endoftext|> y<|endoftext", "Ün
 def test_same_ids_as_the_tokenizers_library():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ODD:
+        assert byte_bpe().ids(text, 7).tolist() == [*byte_bpe().encode(text or ""), 7]
         assert byte_bpe().encode(text or "") == library.encode(text or "", add_special_tokens=False).ids
 
 
