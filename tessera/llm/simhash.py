@@ -27,7 +27,7 @@ from tessera.storage import bounded_batches, materialize, remove
 from .textbytes import per_document, runs
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-#: Bits of the four segments at each level of cells; below the last, 20 free bits at most tell fingerprints apart.
+#: Bits of the four segments at each level of cells; below the last, 21 free bits at most tell fingerprints apart.
 SEGMENTS = ((16, 16, 16, 16), (12, 12, 12, 12), (9, 9, 9, 9), (7, 7, 7, 6))
 #: Distinct fingerprints beyond which a cell is cut again.
 CELL_ROWS = 200_000
@@ -38,11 +38,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """64-bit fingerprints of the texts in ``data``; see :func:`with_fingerprints`."""
+def spread_hashes(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Further hashes from the first ones: multiply, shift and XOR after adding a multiple of an odd constant; word 0 is the first ones."""
+    if word == 0:
+        return hashes
+    x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> np.ndarray:
+    """(texts, words) fingerprints of 64 bits each of the texts in ``data``; see :func:`with_fingerprints`."""
     docs = len(offsets) - 1
     if len(data) == 0:
-        return np.zeros(docs, np.uint64)
+        return np.zeros((docs, words), np.uint64)
     data = LOWER[data]
     word = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -66,20 +76,23 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHIN
     tail = np.minimum(head + shingle, bounds[doc + 1]) - 1
     begin, end = at[head], at[tail] + size[tail]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros((docs, 64), np.int64)
+    ones = np.zeros((words, docs, 64), np.int64)
     step = 1 << 15
     for a in range(0, total, step):
         b = min(total, a + step)
         hashes = np.array([digest(text[s:e], seed) for s, e in zip(begin[a:b].tolist(), end[a:b].tolist(), strict=True)], dtype=np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         lo, hi = doc[a], doc[b - 1] + 1
-        ones[lo:hi] += per_document(bits.astype(np.int32), np.clip(starts[lo : hi + 1], a, b) - a)
+        spans = np.clip(starts[lo : hi + 1], a, b) - a
+        for w in range(words):
+            bits = np.unpackbits(spread_hashes(hashes, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[w, lo:hi] += per_document(bits.astype(np.int32), spans)
     set_ = (2 * ones > n_shingles[:, None]).astype(np.uint8)
-    return np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.ascontiguousarray(np.packbits(set_, axis=2, bitorder="little").view(np.uint64)[:, :, 0].T)
 
 
-def with_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(``id_col``, ``simhash`` as a signed long) of every row.
+def with_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> DataFrame:
+    """(``id_col``, ``simhash`` as a signed long, ``sketch``) of every row; ``sketch`` holds
+    ``words`` independent fingerprints as little-endian bytes, the first being ``simhash``.
 
     Whole texts, A-Z lower-cased, words between space and tab to carriage return,
     word shingles with repeats; a bit is 1 if set in over half the XXH64 hashes.
@@ -87,13 +100,14 @@ def with_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [text_fingerprints(data, offs, shingle, seed) for _, _, data, offs in runs(batch.column(1))]
-            prints = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=[id_col, "simhash"])
+            parts = [text_fingerprints(data, offs, shingle, seed, words) for _, _, data, offs in runs(batch.column(1))]
+            prints = np.concatenate(parts) if parts else np.zeros((0, words), np.uint64)
+            first = np.ascontiguousarray(prints[:, 0]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first), pa.array([p.astype("<u8").tobytes() for p in prints], pa.binary())], names=[id_col, "simhash", "sketch"])
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(compute, f"`{id_col}` {dict(rows.dtypes)[id_col]}, simhash long")
+    return rows.mapInArrow(compute, f"`{id_col}` {dict(rows.dtypes)[id_col]}, simhash long, sketch binary")
 
 
 def gray_rank(bits: Column) -> Column:
@@ -123,9 +137,10 @@ def components_of(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | Non
     return labels
 
 
-def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS, sketches: np.ndarray | None = None, most: int = 0) -> np.ndarray:
     """For fingerprints sorted by (cell, Gray rank): the smallest index that links
-    of at most ``radius`` bits within a cell lead to.
+    of at most ``radius`` bits within a cell lead to; with ``sketches`` (rows of
+    words) a link needs at most ``most`` differing bits over all words as well.
 
     Levels of nodes over runs of FANOUT neighbours hold the bits that all below
     share (mask, pattern).  Pairs of nodes are expanded from the roots; a pair is
@@ -177,7 +192,10 @@ def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> np
         a, b = a[keep], b[keep]
         if level:
             stack += [(level, a[i : i + FRONTIER], b[i : i + FRONTIER]) for i in range(0, len(a), FRONTIER)]
-        elif len(a):
+        if not level and sketches is not None and len(a):
+            keep = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64) <= most
+            a, b = a[keep], b[keep]
+        if not level and len(a):
             labels = components_of(n, a, b, labels)
             pending += len(a)
             if 4 * pending >= n:
@@ -196,48 +214,66 @@ def _cells(rows: DataFrame, level: int) -> DataFrame:
         below = rest.bitwiseAND(F.lit((1 << low) - 1).cast("long"))
         parts.append(F.struct(F.xxhash64(F.col("cell"), F.lit(k), value).alias("cell"), above.bitwiseOR(below).alias("rest")))
         low += bits
-    return rows.withColumn("_part", F.explode(F.array(*parts))).select("rep", "simhash", F.col("_part.cell").alias("cell"), F.col("_part.rest").alias("rest"))
+    return rows.withColumn("_part", F.explode(F.array(*parts))).select("rep", "simhash", "sketch", F.col("_part.cell").alias("cell"), F.col("_part.rest").alias("rest"))
 
 
-def _links_in_cells(rows: DataFrame, radius: int) -> DataFrame:
+def _links_in_cells(rows: DataFrame, radius: int, words: int, most: int) -> DataFrame:
     """(src, dst): each fingerprint's representative and that of the first one its links in the cell lead to."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def joined() -> tuple[np.ndarray, ...]:
+            return tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
-        def flush(rows: np.ndarray) -> pa.RecordBatch:
+        def flush(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
             shared = rows[0][1:] == rows[0][:-1]  # a fingerprint alone in its cell has no link there
-            rows = rows[:, np.concatenate(([False], shared)) | np.concatenate((shared, [False]))]
-            labels = gray_links(rows[0], rows[1].view(np.uint64), radius)
+            some = np.concatenate(([False], shared)) | np.concatenate((shared, [False]))
+            cell, prints, rep, *sketch = (c[some] for c in rows)
+            labels = gray_links(cell, prints.view(np.uint64), radius, sketch[0] if sketch else None, most)
             linked = np.flatnonzero(labels != np.arange(len(labels)))
-            return pa.RecordBatch.from_arrays([pa.array(rows[2][linked]), pa.array(rows[2][labels[linked]])], names=["src", "dst"])
+            return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[labels[linked]])], names=["src", "dst"])
 
         waiting = 0
         for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]))
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if words > 1:
+                columns.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, words))
+            held.append(tuple(columns))
             waiting += batch.num_rows
-            if waiting >= 1 << 20:
-                rows = np.concatenate(held, axis=1)
-                cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if (rows[0] != rows[0][-1]).any() else 0
+            if waiting >= 1 << 18:
+                rows = joined()
+                other = np.flatnonzero(rows[0] != rows[0][-1])
+                cut = int(other[-1]) + 1 if len(other) else 0
                 if cut:
-                    yield flush(rows[:, :cut])
-                held, waiting = [rows[:, cut:]], rows.shape[1] - cut
+                    yield flush(tuple(c[:cut] for c in rows))
+                held, waiting = [tuple(c[cut:] for c in rows)], len(rows[0]) - cut
         if waiting:
-            yield flush(np.concatenate(held, axis=1))
+            yield flush(joined())
 
-    dealt = rows.repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("simhash")))
-    return dealt.select("cell", "simhash", "rep").mapInArrow(search, "src long, dst long")
+    columns = ["cell", "simhash", "rep", *["sketch"] * (words > 1)]
+    dealt = rows.select(columns).repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("simhash")))
+    return dealt.mapInArrow(search, "src long, dst long")
 
 
-def links(distinct: DataFrame, *, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def links(distinct: DataFrame, *, radius: int = RADIUS, cell_rows: int = CELL_ROWS, words: int = 1, most: int = 0) -> DataFrame:
     """(src, dst) representatives of fingerprints that links of at most ``radius`` bits connect.
 
-    ``distinct`` has one row (``simhash``, ``rep``) for each fingerprint.  Enough
-    links are returned to connect whatever is connected (at most one for each
+    ``distinct`` has one row (``simhash``, ``rep``, and with several ``words`` their
+    ``sketch``) for each fingerprint.  With several words, two are linked if any of the
+    words is within ``radius`` and all words together differ in at most ``most`` bits.
+    Enough links are returned to connect whatever is connected (at most one for each
     fingerprint and cell); none joins fingerprints that are not."""
     if radius >= 4:
         raise ValueError("four segments find at most three differing bits")
-    rows = distinct.select("rep", "simhash", F.lit(0).cast("long").alias("cell"), F.col("simhash").alias("rest"))
+    if words == 1:
+        rows = distinct.select("rep", "simhash", F.lit(None).cast("binary").alias("sketch"), F.lit(0).cast("long").alias("cell"))
+    else:
+        # word w as a long: its bytes from last to first, read as a hexadecimal number
+        part = lambda w: F.conv(F.concat(*[F.hex(F.substring("sketch", 8 * w + k, 1)) for k in range(8, 0, -1)]), 16, -10).cast("long")
+        own = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("cell"), part(w).alias("simhash")) for w in range(words)])).alias("w")
+        rows = distinct.select("rep", "sketch", own).select("rep", "w.simhash", "sketch", "w.cell")
+    rows = rows.withColumn("rest", F.col("simhash"))
     found: DataFrame | None = None
     for level in range(len(SEGMENTS)):
         rows = _cells(rows, level)
@@ -246,31 +282,39 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, cell_rows: int = CELL_RO
             hot = rows.groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell")
             hot = None if hot.isEmpty() else hot
         calm = rows if hot is None else rows.join(hot, "cell", "left_anti")
-        part = _links_in_cells(calm, radius)
-        found = part if found is None else found.unionByName(part)
+        part_ = _links_in_cells(calm, radius, words, most)
+        found = part_ if found is None else found.unionByName(part_)
         if hot is None:
             break
-        rows = materialize(rows.join(hot, "cell", "left_semi").select("rep", "simhash", "cell", "rest"), "cells")
+        rows = materialize(rows.join(hot, "cell", "left_semi").select("rep", "simhash", "sketch", "cell", "rest"), "cells")
     return found
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, cell_rows: int = CELL_ROWS, words: int = 1, most_share: float = 1.0) -> DataFrame:
     """(``id_col``, ``simhash``, ``component_id``) for every row with an id.
 
     ``component_id`` is the smallest id that links of at most ``radius`` differing
     bits lead to, the row's own included.  Copies are one fingerprint with the
     smallest id as its representative, so only distinct fingerprints are searched.
     Empty texts share fingerprint zero.  Rows that repeat an id each get a row and
-    link whatever their texts link; rows with a null id are left out."""
-    prints = materialize(with_fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, shingle=shingle).select(F.col(id_col).cast("long").alias("doc_id"), "simhash"), "simhash")
-    distinct = materialize(prints.groupBy("simhash").agg(F.min("doc_id").alias("rep")), "distinct")
-    same_id = prints.groupBy("doc_id").agg(F.min("simhash").alias("one"), F.max("simhash").alias("other")).filter("one <> other")
-    edges = links(distinct, radius=radius, cell_rows=cell_rows)
-    extra = prints.join(same_id.select("doc_id"), "doc_id", "left_semi").join(distinct, "simhash").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    link whatever their texts link; rows with a null id are left out.
+
+    With several ``words`` each text has as many independent fingerprints: one within
+    the radius proposes a link, and it holds if all of them together differ in at
+    most ``most_share`` of their bits.  That finds pairs that a single word misses
+    by a bit or two, and turns away pairs that only one word takes for alike."""
+    known = docs.filter(F.col(id_col).isNotNull())
+    key = "simhash" if words == 1 else "sketch"
+    prints = with_fingerprints(known, id_col=id_col, text_col=text_col, shingle=shingle, words=words)
+    prints = materialize(prints.select(F.col(id_col).cast("long").alias("doc_id"), "simhash", *["sketch"] * (words > 1)), "simhash")
+    distinct = materialize(prints.groupBy(key).agg(F.min("doc_id").alias("rep")), "distinct")
+    same_id = prints.groupBy("doc_id").agg(F.min(key).alias("one"), F.max(key).alias("other")).filter("one <> other")
+    edges = links(distinct, radius=radius, cell_rows=cell_rows, words=words, most=int(most_share * 64 * words))
+    extra = prints.join(same_id.select("doc_id"), "doc_id", "left_semi").join(distinct, key).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     components = connected_components(edges.unionByName(extra))
-    rep = distinct.join(components, distinct["rep"] == components["vertex"], "left").select("simhash", F.coalesce("component", "rep").alias("component_id"))
+    rep = distinct.join(components, distinct["rep"] == components["vertex"], "left").select(key, F.coalesce("component", "rep").alias("component_id"))
     rep = materialize(rep, "classes")
-    out = prints.join(rep, "simhash").select(F.col("doc_id").alias(id_col), "simhash", "component_id")
+    out = prints.join(rep, key).select(F.col("doc_id").alias(id_col), "simhash", "component_id")
     for df in (distinct, components):
         remove(docs.sparkSession, df)
     return out

@@ -15,6 +15,43 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def plain_sketch(text, n=8):
+    """n fingerprints, from the first hashes and from mixtures of them."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    first, out, full = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles], [], 2**64 - 1
+    for w in range(n):
+        hashes = []
+        for h in first:
+            if w:
+                h = (h + w * 0x9E3779B97F4A7C15) & full
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+                h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+                h ^= h >> 31
+            hashes.append(h)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return out
+
+
+def plain_sketch_components(rows, most):
+    ids, sketches = [i for i, _ in rows], [plain_sketch(t) for _, t in rows]
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in zip(ids, sketches, strict=True):
+        for j, b in zip(ids, sketches, strict=True):
+            if i < j:
+                d = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
+                if min(d) <= 3 and sum(d) <= most:
+                    x, y = root(i), root(j)
+                    parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
 def plain_components(ids, prints, radius=3):
     parent = {i: i for i in ids}
 
@@ -43,6 +80,22 @@ def test_fingerprints_and_components_against_brute_force(spark, sf_dir):
     assert {i: r["component_id"] for i, r in got.items()} == plain_components([i for i, _ in rows], want)
 
 
+@pytest.mark.parametrize("cell_rows", [10**6, 2])
+def test_several_words(spark, cell_rows):
+    rng = np.random.default_rng(2)
+    base = [f"w{k}" for k in rng.integers(0, 500, 120)]
+    rows = [(0, " ".join(base)), (1, None), (2, "")]
+    for k in range(3, 60):
+        words = list(base)
+        for p in rng.integers(0, 120, int(rng.integers(0, 9))):
+            words[p] = f"x{rng.integers(0, 500)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(df, words=8, most_share=0.12, cell_rows=cell_rows).collect()}
+    assert got == plain_sketch_components(rows, 61)
+    assert len(set(got.values())) > 2
+
+
 @pytest.mark.parametrize("cell_rows", [10**6, 3])
 def test_links_of_clustered_fingerprints(spark, cell_rows):
     rng = np.random.default_rng(5)
