@@ -36,8 +36,9 @@ reads AS (
 def supplier_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wells of supplier pairs: every order with lines of two suppliers is one well of that pair.
 
-    A line's quantity gives its supplier's reads."""
-    lines = table(spark, sf_dir, "lineitem")
+    A line's quantity gives its supplier's reads.  Lines are dealt by order once:
+    sums by order and supplier and both sides of the join keep that partitioning."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag").repartition("l_orderkey")
     reads = lines.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("n"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("amb"))
     one = reads.select("l_orderkey", F.col("l_suppkey").alias("strain1"), F.col("n").alias("n_strain1"), F.col("amb").alias("amb1"))
     two = reads.select("l_orderkey", F.col("l_suppkey").alias("strain2"), F.col("n").alias("n_strain2"), F.col("amb").alias("amb2"))
