@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.storage import bounded_batches, materialize
 
-from .textbytes import per_document, runs
+from .textbytes import runs
 
 #: Named values of each dimension, by tokens; all others share the class REST, missing ones are NONE.
 MAX_SOURCES, MAX_LANGUAGES, REST, NONE = 256, 32, "*", ""
