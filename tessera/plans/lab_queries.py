@@ -133,7 +133,12 @@ def kmer_candidates(spark, sf_dir):
     return genomes.kmer_candidates(names.select(F.col("name").alias("read_id"), F.col("name").alias("seq")), names.select("name", F.col("name").alias("seq")), k=4, top=3)
 
 
-@query("cv_groups")
+@query(
+    "cv_groups",
+    """WITH RECURSIVE w AS (SELECT CAST(s_suppkey AS VARCHAR) AS w, CAST(s_nationkey AS VARCHAR) AS u, CASE WHEN s_suppkey % 11 = 0 THEN CAST(s_suppkey % 25 AS VARCHAR) END AS v FROM supplier),
+e AS (SELECT 'w:' || w AS a, 'u:' || u AS b FROM w UNION SELECT 'w:' || w, 'u:' || v FROM w WHERE v IS NOT NULL), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS x, a AS r FROM both_ways UNION SELECT reach.x, b FROM reach JOIN both_ways ON reach.r = both_ways.a) SELECT substr(x, 3) AS well, min(r) AS cv_group FROM reach WHERE x LIKE 'w:%' GROUP BY 1""",
+)
 def cv_groups(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("well"), F.col("s_nationkey").alias("genome_unit"), F.when(F.col("s_suppkey") % 11 == 0, F.col("s_suppkey") % 25).alias("is_of"))
     return genomes.cv_groups(s)

@@ -90,7 +90,12 @@ def closed_histogram(spark, sf_dir):
     return stats.histogram(table(spark, sf_dir, "events"), "value", low=0.0, high=100.0, bins=80)
 
 
-@query("valley_threshold")
+@query(
+    "valley_threshold",
+    """WITH x AS (SELECT value / (abs(max(value) OVER (PARTITION BY event_type)) + 1) * 0.4 AS d FROM events), t AS (SELECT greatest(0.4, max(d)) AS top FROM x),
+h AS (SELECT CAST(least(floor(d / top * 80), 79) AS INTEGER) AS bin, count(*) AS n FROM x, t WHERE d >= 0 GROUP BY 1), c AS (SELECT (i + 0.5) * top / 80 AS centre, coalesce(n, 0) AS n FROM generate_series(0, 79) g(i) CROSS JOIN t LEFT JOIN h ON bin = i),
+e AS (SELECT centre FROM c WHERE centre BETWEEN 0.04 AND 0.2 AND n <= greatest(1, 0.02 * (SELECT max(n) FROM c))) SELECT round_even(coalesce((SELECT median(centre) FROM e), (SELECT median(d) FROM x)), 3) AS threshold""",
+)
 def valley_threshold(spark, sf_dir):
     x = table(spark, sf_dir, "events").select((F.col("value") / (F.abs(F.max("value").over(W.Window.partitionBy("event_type"))) + 1) * 0.4).alias("d"))
     cut = stats.valley_threshold(x, "d", lo=0.04, hi=0.2)
