@@ -120,9 +120,9 @@ def test_folds_agree_when_organisms_are_strains(spark):
 
 def test_genomes(spark):
     stock = spark.createDataFrame([("A1", 5, "x"), ("A2", None, "old M77 b"), ("A3", 6, "y"), ("A4", None, "z")], "well string, strain_number int, label string")
-    sheet = spark.createDataFrame([(5, "MYb9"), (6, None)], "strain_number int, alternative_name string")
+    sheet = spark.createDataFrame([(5, "ALT9"), (6, None)], "strain_number int, alternative_name string")
     got = {r["well"]: (r["isolate"], r["source"]) for r in genomes.resolve_isolates(stock, sheet).collect()}
-    assert got == {"A1": ("MYb9", "alternative"), "A2": ("M77", "label"), "A3": ("6", "number"), "A4": (None, None)}
+    assert got == {"A1": ("ALT9", "alternative"), "A2": ("M77", "label"), "A3": ("6", "number"), "A4": (None, None)}
     w = spark.createDataFrame([("a", "u1", None), ("b", "u1", None), ("c", "u2", "u1"), ("d", None, None)], "well string, genome_unit string, is_of string")
     groups = {r["well"]: r["cv_group"] for r in genomes.cv_groups(w).collect()}
     assert groups["a"] == groups["b"] == groups["c"] != groups["d"]
