@@ -38,6 +38,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: The bits of a byte, one in each byte of a word: sums of up to 255 such words count all eight bits at once.
+LANES = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(i)) & np.uint64(1)) << np.uint64(8 * i) for i in range(8))
+
+
+def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(spans, 64): how many of the hashes of each span [starts[i], starts[i + 1]) have each bit set."""
+    size = np.diff(starts)
+    parts = -(-size // 255)  # lanes hold 255 at most
+    first = np.concatenate(([0], np.cumsum(parts)))
+    total = int(first[-1])
+    if total == 0:
+        return np.zeros((len(size), 64), np.int64)
+    within = np.arange(total) - np.repeat(first[:-1], parts)
+    at = np.repeat(starts[:-1], parts) + 255 * within
+    lanes = LANES[hashes[starts[0] : starts[-1]].view(np.uint8).reshape(-1, 8)]
+    sums = np.add.reduceat(lanes, at - starts[0], axis=0)
+    return per_document(np.ascontiguousarray(sums).view(np.uint8).reshape(total, 64).astype(np.int64), first)
+
+
 def spread_hashes(hashes: np.ndarray, word: int) -> np.ndarray:
     """Further hashes from the first ones: multiply, shift and XOR after adding a multiple of an odd constant; word 0 is the first ones."""
     if word == 0:
@@ -84,8 +103,7 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHIN
         lo, hi = doc[a], doc[b - 1] + 1
         spans = np.clip(starts[lo : hi + 1], a, b) - a
         for w in range(words):
-            bits = np.unpackbits(spread_hashes(hashes, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[w, lo:hi] += per_document(bits.astype(np.int32), spans)
+            ones[w, lo:hi] += bit_counts(spread_hashes(hashes, w), spans)
     set_ = (2 * ones > n_shingles[:, None]).astype(np.uint8)
     return np.ascontiguousarray(np.packbits(set_, axis=2, bitorder="little").view(np.uint64)[:, :, 0].T)
 

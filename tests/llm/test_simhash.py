@@ -80,6 +80,17 @@ def test_fingerprints_and_components_against_brute_force(spark, sf_dir):
     assert {i: r["component_id"] for i, r in got.items()} == plain_components([i for i, _ in rows], want)
 
 
+def test_bit_counts():
+    rng = np.random.default_rng(0)
+    hashes = rng.integers(0, 2**64, 2000, dtype=np.uint64)
+    starts = np.array([0, 0, 3, 3, 258, 513, 514, 1500, 2000, 2000])
+    got = S.bit_counts(hashes, starts)
+    for k in range(len(starts) - 1):
+        part = [int(h) for h in hashes[starts[k] : starts[k + 1]]]
+        assert got[k].tolist() == [sum(h >> b & 1 for h in part) for b in range(64)]
+    assert (S.bit_counts(np.full(1000, 2**64 - 1, np.uint64), np.array([0, 1000])) == 1000).all()
+
+
 @pytest.mark.parametrize("cell_rows", [10**6, 2])
 def test_several_words(spark, cell_rows):
     rng = np.random.default_rng(2)
