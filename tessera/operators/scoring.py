@@ -141,15 +141,28 @@ def directional_consistency(edges: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def intransitive_triads(edges: DataFrame) -> DataFrame:
-    """One row: triples a < b < c with three decided edges, and how many of them are cycles.
-
-    Two equi-joins: wedges over b, closed by the edge a-c."""
-    ab = edges.select(F.col("strain_a").alias("a"), F.col("strain_b").alias("b"), F.col("a_wins").alias("ab"))
-    bc = edges.select(F.col("strain_a").alias("b"), F.col("strain_b").alias("c"), F.col("a_wins").alias("bc"))
-    ac = edges.select(F.col("strain_a").alias("a"), F.col("strain_b").alias("c"), F.col("a_wins").alias("ac"))
-    triads = ab.join(bc, "b").join(ac, ["a", "c"])
-    cyclic = (F.col("ab") & F.col("bc") & ~F.col("ac")) | (~F.col("ab") & ~F.col("bc") & F.col("ac"))
-    sums = triads.agg(F.count("*").alias("n_triads"), F.count_if(cyclic).alias("n_cyclic"))
+    """One row: triples with three decided edges, and how many of them are cycles.
+
+    No triple is made.  Strains are numbered and their neighbours kept as bits, 64
+    to a row; over all edges the common neighbours of both ends count each triple
+    three times, and those that the loser beats and that beat the winner count each
+    cycle three times.  So the work is edges times words, not edges times neighbours."""
+    # a number for each strain, a dimension of the experiment
+    strains = edges.select(F.explode(F.array("strain_a", "strain_b")).alias("s")).distinct()
+    number = strains.withColumn("i", F.row_number().over(Window.orderBy("s")).cast("long") - 1)
+    at = lambda c, name: number.select(F.col("s").alias(c), F.col("i").alias(name))
+    placed = edges.join(at("strain_a", "a"), "strain_a").join(at("strain_b", "b"), "strain_b")
+    beats = placed.select(F.when(F.col("a_wins"), F.col("a")).otherwise(F.col("b")).alias("w"), F.when(F.col("a_wins"), F.col("b")).otherwise(F.col("a")).alias("l"))
+    seen = beats.select(F.explode(F.array(F.struct(F.col("w").alias("v"), F.col("l").alias("o"), F.lit(True).alias("beat")), F.struct(F.col("l").alias("v"), F.col("w").alias("o"), F.lit(False).alias("beat")))).alias("x")).select("x.*")
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(o % 64 AS INT))")
+    none = F.lit(0).cast("long")
+    words = seen.groupBy("v", F.floor(F.col("o") / 64).alias("word")).agg(F.coalesce(F.bit_or(F.when(F.col("beat"), bit)), none).alias("out"), F.coalesce(F.bit_or(F.when(~F.col("beat"), bit)), none).alias("in"))
+    side = lambda v: words.select(F.col("v").alias(v), "word", F.col("out").alias(f"{v}_out"), F.col("in").alias(f"{v}_in"))
+    both = beats.join(side("w"), "w").join(side("l"), ["l", "word"])
+    common = F.bit_count((F.col("w_out").bitwiseOR(F.col("w_in"))).bitwiseAND(F.col("l_out").bitwiseOR(F.col("l_in"))))
+    cycles = F.bit_count(F.col("l_out").bitwiseAND(F.col("w_in")))
+    third = lambda c: F.coalesce(F.sum(c) / 3, F.lit(0.0)).cast("long")
+    sums = both.agg(third(common).alias("n_triads"), third(cycles).alias("n_cyclic"))
     return sums.withColumn("cyclic_frac", F.try_divide("n_cyclic", "n_triads"))
 
 
