@@ -61,30 +61,33 @@ def candidate_transforms(spark, rows: int = 16, cols: int = 24) -> DataFrame:
     return out.filter(F.col("to_row").between(0, rows - 1) & F.col("to_col").between(0, cols - 1))
 
 
-def transform_support(claimed: DataFrame, found: DataFrame, transforms: DataFrame) -> DataFrame:
-    """(transform, n, supported, share): how many wells hold, at their transformed place, the label that was claimed there.
+def transform_support(claimed: DataFrame, found: DataFrame, transforms: DataFrame, *, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(by, transform, n, supported, share): how many wells hold, at their transformed place, the label that was claimed there.
 
     ``claimed`` and ``found``: row, col, label.  All transforms are scored on the wells
     that every transform keeps on the plate, so their shares compare."""
     kinds = transforms.select("transform").distinct().count()
     common = transforms.groupBy("row", "col").agg(F.count("*").alias("_k")).filter(F.col("_k") == kinds).select("row", "col")
-    moved = transforms.join(common, ["row", "col"], "left_semi").join(found.select("row", "col", F.col("label").alias("_f")), ["row", "col"])
-    target = claimed.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("label").alias("_c"))
-    both = moved.join(target, ["to_row", "to_col"])
-    return both.groupBy("transform").agg(F.count("*").alias("n"), F.count_if(F.col("_f") == F.col("_c")).alias("supported")).withColumn("share", F.col("supported") / F.col("n"))
+    moved = transforms.join(common, ["row", "col"], "left_semi").join(found.select(*by, "row", "col", F.col("label").alias("_f")), ["row", "col"])
+    target = claimed.select(*by, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("label").alias("_c"))
+    both = moved.join(target, [*by, "to_row", "to_col"])
+    return both.groupBy(*by, "transform").agg(F.count("*").alias("n"), F.count_if(F.col("_f") == F.col("_c")).alias("supported")).withColumn("share", F.col("supported") / F.col("n"))
 
 
-def transform_search(claimed: DataFrame, found: DataFrame, transforms: DataFrame, *, replicates: int = 100, seed: int = 0) -> DataFrame:
-    """Support of each transform with its family-wise p: how often the best transform of permuted labels does as well."""
+def transform_search(claimed: DataFrame, found: DataFrame, transforms: DataFrame, *, replicates: int = 100, seed: int = 0, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Support of each transform with its family-wise p: how often the best transform of permuted labels does as well.
+
+    With ``by`` (``["plate"]``) every group is a plate of its own, with labels permuted within it."""
     keyed = found.withColumn("_id", F.concat_ws(":", "row", "col"))
-    nulls = permuted_labels(keyed, key="_id", label="label", replicates=replicates, seed=seed).withColumns({"row": F.split("_id", ":")[0].cast("int"), "col": F.split("_id", ":")[1].cast("int")})
-    target = claimed.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("label").alias("_c"))
+    nulls = permuted_labels(keyed, key="_id", label="label", replicates=replicates, seed=seed, by=by).withColumns({"row": F.split("_id", ":")[0].cast("int"), "col": F.split("_id", ":")[1].cast("int")})
+    target = claimed.select(*by, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("label").alias("_c"))
     kinds = transforms.select("transform").distinct().count()
     common = transforms.groupBy("row", "col").agg(F.count("*").alias("_k")).filter(F.col("_k") == kinds).select("row", "col")
-    moved = transforms.join(common, ["row", "col"], "left_semi").join(nulls, ["row", "col"]).join(target, ["to_row", "to_col"])
-    best = moved.groupBy("replicate", "transform").agg(F.count_if(F.col("label") == F.col("_c")).alias("k")).groupBy("replicate").agg(F.max("k").alias("k"))
-    spread = best.agg(F.collect_list("k").alias("_null"))
-    out = transform_support(claimed, found, transforms).join(F.broadcast(spread), F.lit(True))  # one row
+    moved = transforms.join(common, ["row", "col"], "left_semi").join(nulls, ["row", "col"]).join(target, [*by, "to_row", "to_col"])
+    best = moved.groupBy(*by, "replicate", "transform").agg(F.count_if(F.col("label") == F.col("_c")).alias("k")).groupBy(*by, "replicate").agg(F.max("k").alias("k"))
+    spread = best.groupBy(*by).agg(F.collect_list("k").alias("_null"))
+    support = transform_support(claimed, found, transforms, by=by)
+    out = support.join(spread, list(by)) if by else support.join(F.broadcast(spread), F.lit(True))  # one row
     return out.withColumn("family_p", (F.size(F.filter("_null", lambda x: x >= F.col("supported"))) + 1) / (F.size("_null") + 1)).drop("_null")
 
 

@@ -260,14 +260,14 @@ def permutation_p(nulls: DataFrame, value: str, observed: float, *, upper: bool
     return nulls.agg(((F.count_if(extreme) + add) / (F.count("*") + add)).alias("p_value"), F.avg(value).alias("null_mean"), F.stddev_pop(value).alias("null_sd"), F.count("*").alias("n"))
 
 
-def permuted_labels(df: DataFrame, *, key: str, label: str, replicates: int, seed: int = 0) -> DataFrame:
-    """(replicate, key, label): labels dealt anew among the keys, for each replicate, by hash order."""
+def permuted_labels(df: DataFrame, *, key: str, label: str, replicates: int, seed: int = 0, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(replicate, by, key, label): labels dealt anew among the keys of each group of ``by``, for each replicate, by hash order."""
     draw = F.xxhash64(F.lit(seed), "replicate", F.col(key).cast("string"))
-    every = df.select(key, label).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    place = F.row_number().over(Window.partitionBy("replicate").orderBy(key))
-    dealt = F.row_number().over(Window.partitionBy("replicate").orderBy(draw, key))
-    labels = every.select("replicate", F.col(label), place.alias("_n"))
-    return every.select("replicate", key, dealt.alias("_n")).join(labels, ["replicate", "_n"]).drop("_n")
+    every = df.select(*by, key, label).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    place = F.row_number().over(Window.partitionBy("replicate", *by).orderBy(key))
+    dealt = F.row_number().over(Window.partitionBy("replicate", *by).orderBy(draw, key))
+    labels = every.select("replicate", *by, F.col(label), place.alias("_n"))
+    return every.select("replicate", *by, key, dealt.alias("_n")).join(labels, ["replicate", *by, "_n"]).drop("_n")
 
 
 def split_half(df: DataFrame, *, unit: str, order: str, value: str) -> DataFrame:

@@ -58,20 +58,19 @@ def transform_support(spark, sf_dir):
 
 @query("adjacency_enrichment")
 def adjacency_enrichment(spark, sf_dir):
-    return P.adjacency_enrichment(_cells(spark, sf_dir).filter("plate = 0"), "p_brand", replicates=30)
+    return P.adjacency_enrichment(_cells(spark, sf_dir), "p_brand", replicates=30)
 
 
 @query("transform_search")
 def transform_search(spark, sf_dir):
-    cells = _cells(spark, sf_dir).filter("plate = 0").select("row", "col", F.col("p_brand").alias("label"))
-    return P.transform_search(cells, cells, P.candidate_transforms(spark), replicates=20)
+    cells = _cells(spark, sf_dir).select("plate", "row", "col", F.col("p_brand").alias("label"))
+    return P.transform_search(cells, cells, P.candidate_transforms(spark), replicates=20, by=["plate"])
 
 
 @query("locality")
 def locality(spark, sf_dir):
     cells = _cells(spark, sf_dir).select("plate", "row", "col", F.col("p_brand").alias("label"), "p_size")
-    plate = cells.filter("plate = 0").select("row", "col")
-    return P.locality(cells.filter("p_size = 7").drop("p_size"), cells.filter("p_size <> 7").drop("p_size"), plate, draws=50)
+    return P.locality(cells.filter("p_size = 7").drop("p_size"), cells.filter("p_size <> 7").drop("p_size"), cells.select("row", "col"), draws=50)
 
 
 @query(
@@ -159,18 +158,18 @@ def greedy_seed(spark, sf_dir):
 @query("consensus_vote")
 def consensus_vote(spark, sf_dir):
     seq = F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 9 == 0, "x").otherwise(""))
-    reps = table(spark, sf_dir, "part").filter("p_partkey <= 400").select(F.col("p_brand").alias("strain"), seq.alias("seq"), F.col("p_partkey").cast("string").alias("sample_id"), F.when(F.col("p_size") < 10, "mono").otherwise("pair").alias("well_type"), (F.col("p_partkey") % 8).alias("plate"))
+    reps = table(spark, sf_dir, "part").select(F.col("p_brand").alias("strain"), seq.alias("seq"), F.col("p_partkey").cast("string").alias("sample_id"), F.when(F.col("p_size") < 10, "mono").otherwise("pair").alias("well_type"), (F.col("p_partkey") % 8).alias("plate"))
     return wells.strain_consensus(reps).drop("consensus")
 
 
 @query("tiled_hits")
 def tiled_hits(spark, sf_dir):
-    hits = table(spark, sf_dir, "lineitem").filter("l_partkey <= 300").select("l_partkey", F.col("l_quantity").cast("long").alias("start"), (F.col("l_quantity") + F.col("l_linenumber") * 3).cast("long").alias("end"), F.col("l_extendedprice").alias("score"))
+    hits = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("long").alias("start"), (F.col("l_quantity") + F.col("l_linenumber") * 3).cast("long").alias("end"), F.col("l_extendedprice").alias("score"))
     return wells.tiled_hits(hits, ["l_partkey"])
 
 
 def _pair_stats(spark, sf_dir):
-    return scoring.replicate_stability(supplier_wells(spark, sf_dir).filter("strain_a <= 30 AND strain_b <= 30"))
+    return scoring.replicate_stability(supplier_wells(spark, sf_dir))
 
 
 @query("bt_glm")
@@ -188,8 +187,8 @@ def group_cv(spark, sf_dir):
     import pandas as pd
 
     pairs = _pair_stats(spark, sf_dir)
-    units = spark.range(1, 31).select(F.col("id").alias("strain"))
-    bits = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 30").groupBy("l_suppkey").pivot("l_linenumber", list(range(1, 8))).agg(F.avg("l_quantity")).toPandas().set_index("l_suppkey").sort_index()
+    units = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("strain"))
+    bits = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").pivot("l_linenumber", list(range(1, 8))).agg(F.avg("l_quantity")).toPandas().set_index("l_suppkey").sort_index()
     frame = pd.DataFrame(bits.fillna(0.0).to_numpy(), index=bits.index)
     roles = folds.strain_folds(pairs, folds.unit_folds(units, "strain", 2))
     chosen = {k: models.MODELS[k] for k in ("zero", "strength_observed", "ridge", "two_stage_ridge")}

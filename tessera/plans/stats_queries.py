@@ -169,8 +169,9 @@ def canonical_pairs(spark, sf_dir):
 # ---- folds and leakage --------------------------------------------------------------------
 
 
-def _pairs(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 2000")
+def _pairs(spark, sf_dir, orders="l_orderkey <= 2000"):
+    """Supplier pairs of the orders that the SQL below names; ``orders="true"`` takes all."""
+    lines = table(spark, sf_dir, "lineitem").filter(orders)
     a = lines.select("l_orderkey", F.col("l_suppkey").alias("strain_a"))
     b = lines.select("l_orderkey", F.col("l_suppkey").alias("strain_b"))
     return a.join(b, "l_orderkey").filter("strain_a < strain_b").select("strain_a", "strain_b").distinct()
@@ -287,7 +288,7 @@ def pseudo_perm(spark, sf_dir):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf_dir):
-    wells = supplier_wells(spark, sf_dir).filter("strain_a <= 5").select("strain_a", F.col("l_orderkey").alias("well"), F.col("log2_ratio_a_over_b").alias("x"))
+    wells = supplier_wells(spark, sf_dir).select("strain_a", F.col("l_orderkey").alias("well"), F.col("log2_ratio_a_over_b").alias("x"))
     drawn = stats.bootstrap(wells, unit="well", replicates=100)
     means = drawn.groupBy("strain_a", "replicate").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m"))
     return stats.percentile_interval(means, "m", ["strain_a"])
@@ -307,10 +308,10 @@ def unit_folds(spark, sf_dir):
 
 @query("pair_folds")
 def pair_folds(spark, sf_dir):
-    return folds.pair_folds(_pairs(spark, sf_dir), 5)
+    return folds.pair_folds(_pairs(spark, sf_dir, "true"), 5)
 
 
 @query("replicate_direction")
 def replicate_direction(spark, sf_dir):
-    couples = pairs.within_pair_replicates(supplier_wells(spark, sf_dir).filter("strain_a <= 3"), id_col="l_orderkey")
+    couples = pairs.within_pair_replicates(supplier_wells(spark, sf_dir), id_col="l_orderkey")
     return stats.identity_metrics(couples, "x", "y", ["strain_a"])
