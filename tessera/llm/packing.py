@@ -1,9 +1,9 @@
-"""Hierarchical residual packing of documents into sequences of bounded length.
+"""Packing of documents into sequences of bounded length.
 
-Every partition packs its pieces by best fit, longest first.  Sequences that are
-nearly full are done; of the rest the emptiest go up a tree, whose nodes pack the
-bins of a few children as items, again by best fit, until the root.  A node
-hands on a bounded number of bins, so no task grows with the corpus.
+Pieces of equal length are interchangeable, so best fit over the whole corpus needs
+only the number of pieces of each length: the driver plans whole ranges of equal
+sequences from that histogram, whose size follows the sequence length alone.
+Every piece then finds its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.storage import bounded_batches, materialize
@@ -21,11 +21,6 @@ from tessera.storage import bounded_batches, materialize
 from .vocabulary import BYTE_BPE, byte_bpe
 
 SEQUENCE, END_ID = 1024, 2
-#: Bins with at most NEARLY_FULL free tokens are done; a node hands at most CARRY others to its parent, which has FAN_IN children.
-NEARLY_FULL, CARRY, FAN_IN = 8, 16, 8
-#: Pieces that one best-fit round holds in memory.
-ROUND_PIECES = 1 << 18
-
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best fit, longest first: (bin of each item, its offset there, fill of each bin).
@@ -62,102 +57,97 @@ def cut(n_tokens: int, capacity: int = SEQUENCE) -> list[int]:
     return ([first] if first else []) + [capacity] * (n_tokens // capacity)
 
 
-def _handed_on(fills: np.ndarray, capacity: int, nearly_full: int, carry: int) -> np.ndarray:
-    """Which bins go to the parent: the emptiest ``carry`` of those that are not nearly full."""
-    open_ = np.flatnonzero(capacity - fills > nearly_full)
-    return open_[np.argsort(fills[open_], kind="stable")[:carry]]
+def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best fit, longest first, of ``counts[length]`` pieces: rows (length, first rank, first sequence, offset).
+
+    From its first rank on, up to the next row of its length, the piece of rank
+    ``first rank + i`` lies in ``first sequence + i`` at ``offset``.  Needs as many
+    sequences as :func:`best_fit` of all pieces; ranges of sequences with equal free
+    space are handled at once, so work does not grow with the pieces."""
+    by_space: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (first sequence, how many)
+    spaces, sequences, out = 0, 0, []
+    for size in sorted((n for n, c in counts.items() if c), reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            fitting = spaces >> size
+            if fitting:
+                space = size + (fitting & -fitting).bit_length() - 1
+                first, many = by_space[space].pop()
+                each = space // size  # the tightest place stays the tightest until it is full
+            else:
+                space, each = capacity, capacity // size
+                first, many = sequences, max(1, left // each)
+                sequences += many
+            take = min(many, left // each)
+            if not take:
+                take, each = 1, left
+            for i in range(each):
+                out.append((size, rank + i * take, first, capacity - space + i * size))
+            rank, left = rank + each * take, left - each * take
+            if many > take:
+                by_space[space].append((first + take, many - take))
+            if rest := space - each * size:
+                by_space[rest].append((first, take))
+                spaces |= 1 << rest
+            if not by_space[space]:
+                spaces &= ~(1 << space)
+    return np.array(out, np.int64).reshape(-1, 4)
+
 
+def _pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
+    """Every piece with its partition (``leaf``) and its rank among the pieces of its length there."""
 
-def _leaves(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, nearly_full: int, carry: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, leaf, n_bins, passed = byte_bpe(vocabulary), TaskContext.get().partitionId(), 0, 0
-        rows: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal n_bins, passed
-            doc, piece, start, length, crc = (np.array(c) for c in zip(*rows, strict=True))
-            where, offset, fills = best_fit(length.astype(np.int64), capacity)
-            up = np.zeros(len(fills), bool)
-            chosen = _handed_on(fills, capacity, nearly_full, carry - passed)
-            up[chosen] = True
-            passed += len(chosen)
-            ids = (np.int64(leaf) << 32) + n_bins + where
-            n_bins += len(fills)
-            known = np.array([r[0] is not None for r in rows])
-            doc = pa.array([r[0] for r in rows], pa.int64()) if not known.all() else pa.array(doc.astype(np.int64))
-            columns = [doc, pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)), pa.array(crc.astype(np.int64)), pa.array(ids), pa.array(offset), pa.array(up[where]), pa.array(fills[where].astype(np.int32)), pa.array(np.full(len(rows), leaf, np.int32))]
-            rows.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "up", "fill", "leaf"])
-
+        bpe, leaf, seen = byte_bpe(vocabulary), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
+            rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = bpe.ids(text, end_id)
                 data, start = ids.astype("<u4").tobytes(), 0
                 for piece, length in enumerate(cut(len(ids), capacity)):
-                    rows.append((doc, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
+                    rows.append((doc, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), seen[length]))
+                    seen[length] += 1
                     start += length
-                if len(rows) >= ROUND_PIECES:
-                    yield flush()
-        if rows:
-            yield flush()
-
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, up boolean, fill int, leaf int")
-
+            if rows:
+                doc, piece, start, length, crc, rank = zip(*rows, strict=True)
+                columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(rank, pa.int64()), pa.array([leaf] * len(rows), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "rank", "leaf"])
 
-MEMBERS = "array<struct<bin:bigint,base:bigint>>"
+    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, leaf int")
 
 
-def _merge(level: int, capacity: int, nearly_full: int, carry: int, last: bool):
-    """One node: bins of its children as items; what it does not hand on is done."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        node = key[0].as_py()
-        rows = sorted(table.to_pylist(), key=lambda r: r["members"][0]["bin"])
-        where, offset, fills = best_fit(np.array([r["fill"] for r in rows], dtype=np.int64), capacity)
-        up = set() if last else set(_handed_on(fills, capacity, nearly_full, carry).tolist())
-        members: list[list[dict]] = [[] for _ in fills]
-        for r, b, base in zip(rows, where.tolist(), offset.tolist(), strict=True):
-            members[b] += [{"bin": m["bin"], "base": m["base"] + base} for m in r["members"]]
-        ids = [(1 << 62) + (level << 56) + (node << 20) + b for b in range(len(fills))]
-        schema = pa.schema([("node", pa.int32()), ("sequence_id", pa.int64()), ("fill", pa.int32()), ("up", pa.bool_()), ("members", pa.list_(pa.struct([("bin", pa.int64()), ("base", pa.int64())])))])
-        return pa.table([[node] * len(fills), ids, fills.astype(np.int32), [b in up for b in range(len(fills))], members], schema=schema)
-
-    return run
-
-
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, end_id: int = END_ID, capacity: int = SEQUENCE, nearly_full: int = NEARLY_FULL, carry: int = CARRY, fan_in: int = FAN_IN) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, end_id: int = END_ID, capacity: int = SEQUENCE) -> DataFrame:
     """A row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A document is its token ids (null text: none) and ``end_id``; only documents
     longer than ``capacity`` are cut, their first piece taking the remainder.
     Pieces of a sequence lie gapless from 0.  Rows that repeat an id, or have
-    none, are documents of their own; an empty table gives an empty one."""
-    bounded_batches(docs.sparkSession)
+    none, are documents of their own; an empty table gives an empty one.  There are as
+    many sequences as best fit of all pieces needs, however they are partitioned."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(_leaves(rows, vocabulary, end_id, capacity, nearly_full, carry), "pieces")
-    open_ = pieces.filter("up")
-    bins = open_.groupBy("bin").agg(F.max("fill").alias("fill"), F.max("leaf").alias("node"))
-    bins = bins.select("node", "fill", F.array(F.struct("bin", F.lit(0).cast("long").alias("base"))).alias("members"))
-    leaves = pieces.agg(F.max("leaf")).first()[0]
-    done, nodes, level = None, (leaves if leaves is not None else -1) + 1, 0
-    while nodes:
-        level, nodes = level + 1, -(-nodes // fan_in)
-        schema = f"node int, sequence_id long, fill int, up boolean, members {MEMBERS}"
-        grouped = bins.withColumn("node", F.floor(F.col("node") / fan_in).cast("int")).groupBy("node")
-        merged = materialize(grouped.applyInArrow(_merge(level, capacity, nearly_full, carry, nodes == 1), schema), "merged")
-        final = merged.filter("NOT up").select("sequence_id", F.explode("members").alias("m")).select("sequence_id", "m.bin", "m.base")
-        done = final if done is None else done.unionByName(final)
-        if nodes == 1:
-            break
-        bins = merged.filter("up").select("node", "fill", "members")
+    pieces = materialize(_pieces(rows, vocabulary, end_id, capacity), "pieces")
+    per_leaf = pieces.groupBy("length", "leaf").agg(F.count("*").alias("n"))
+    counts = {r["length"]: r["n"] for r in per_leaf.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length
+    shared = spark.sparkContext.broadcast(plan(counts, capacity))
+    before = Window.partitionBy("length").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+    bases = per_leaf.select("length", "leaf", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    settled = pieces.filter("NOT up").select(*columns, F.col("bin").alias("sequence_id"), "offset")
-    if done is None:
-        return settled
-    moved = open_.join(done, "bin").select(*columns, "sequence_id", (F.col("offset") + F.col("base")).alias("offset"))
-    return settled.unionByName(moved)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        placed = shared.value[np.lexsort((shared.value[:, 1], shared.value[:, 0]))]
+        key = (placed[:, 0] << 48) + placed[:, 1]
+        for batch in batches:
+            rank = batch.column(5).to_numpy()
+            at = np.searchsorted(key, (batch.column(3).to_numpy() << 48) + rank, "right") - 1
+            sequence = placed[at, 2] + rank - placed[at, 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(placed[at, 3])], names=[*columns, "sequence_id", "offset"])
+
+    ranked = pieces.join(bases, ["length", "leaf"]).select(*columns, (F.col("rank") + F.col("base")).alias("rank"))
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

@@ -62,3 +62,32 @@ def test_empty_and_repeated(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = P.pack(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string").coalesce(1)).collect()
     assert len(rows) == 3 and len({r["sequence_id"] for r in rows}) == 1 and sorted(r["offset"] for r in rows) == [0, 2, 4]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60))
+def test_plan_is_best_fit_of_everything(sizes):
+    counts = {n: sizes.count(n) for n in set(sizes)}
+    rows = sorted(map(tuple, P.plan(counts, 20).tolist()))
+    bins = defaultdict(list)
+    for n, count in counts.items():
+        own = [r for r in rows if r[0] == n]
+        for rank in range(count):
+            _, first, sequence, offset = max(r for r in own if r[1] <= rank)
+            bins[sequence + rank - first].append((offset, n))
+    for items in bins.values():
+        at = 0
+        for o, n in sorted(items):
+            assert o == at
+            at += n
+        assert at <= 20
+    assert len(bins) == len(P.best_fit(np.array(sizes, dtype=np.int64), 20)[2])
+    assert not bins or set(bins) == set(range(len(bins)))
+
+
+def test_partitions_of_unlike_lengths_share_sequences(spark):
+    """100 documents of 600 tokens in one partition and 100 of 400 in the other: 100 sequences."""
+    docs = spark.range(0, 200, 1, 2).selectExpr("id AS doc_id", "repeat(' the', IF(id < 100, 599, 399)) AS text")
+    got = P.pack(docs).collect()
+    assert sorted({r["length"] for r in got}) == [400, 600] and len(got) == 200
+    assert len({r["sequence_id"] for r in got}) == 100
