@@ -21,8 +21,10 @@ from tessera.storage import bounded_batches, materialize
 
 from .textbytes import runs
 
-#: Named values of each dimension, by tokens; all others share the class REST, missing ones are NONE.
-MAX_SOURCES, MAX_LANGUAGES, REST, NONE = 256, 32, "*", ""
+#: The class of missing values; every other value of a dimension is a class of its own.
+NONE = ""
+#: Up to so many cells their rates are broadcast to the documents; beyond, the join is Catalyst's choice.
+BROADCAST_CELLS = 100_000
 TOPICS, TOPIC_SAMPLE, TOPIC_WORDS, TOPIC_STEPS = 6, 2_000, 1 << 11, 8
 FIT_STEPS, TOLERANCE = 200, 1e-9
 SPACE = np.zeros(256, bool)
@@ -164,36 +166,24 @@ def tempered(tokens: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def _named(column: Column, names: list[str]) -> Column:
-    """The class of a value: itself if named, NONE if missing, else REST."""
-    known = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-    return F.when(column.isNull() | (column == NONE), NONE).when(F.array_contains(known, column), column).otherwise(REST)
-
-
-def _largest(rows: DataFrame, column: str, most: int) -> list[str]:
-    top = rows.filter(F.col(column).isNotNull() & (F.col(column) != NONE)).groupBy(column).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), column).limit(most)
-    return sorted(r[0] for r in top.collect())
-
-
 def mixing_rates(rows: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep_share: float = 0.5) -> DataFrame:
     """``rows`` (``source, lang, topic, tokens``) with their classes, the calibrated
     ``probability`` of their cell and ``weight``, the factor that restores
     expected token counts by cell (0 for cells that get nothing).
 
     ``targets`` gives shares by dimension and class; a dimension without is
-    tempered by ``power``.  There are at most (MAX_SOURCES + 2) x (MAX_LANGUAGES + 2) x
-    (TOPICS + 1) cells, which the driver fits."""
+    tempered by ``power``.  Every source and language is a class; the driver fits
+    the cells (source, language, topic) that occur, as Arrow and NumPy columns."""
     spark = rows.sparkSession
-    named = {"source": _largest(rows, "source", MAX_SOURCES), "lang": _largest(rows, "lang", MAX_LANGUAGES), "topic": [f"t{k}" for k in range(TOPICS)]}
-    dims = list(named)
+    dims = ["source", "lang", "topic"]
     classes = [f"{d}_class" for d in dims]
-    rows = rows.withColumns({f"{d}_class": _named(F.col(d), named[d]) for d in dims})
-    cells = rows.groupBy(*classes).agg(F.sum("tokens").alias("tokens")).orderBy(*classes).collect()
-    tokens = np.array([c["tokens"] or 0 for c in cells], np.float64)
+    rows = rows.withColumns({f"{d}_class": F.coalesce(F.col(d), F.lit(NONE)) for d in dims})
+    cells = rows.groupBy(*classes).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).toArrow().sort_by([(c, "ascending") for c in classes])
+    tokens = cells["tokens"].to_numpy().astype(np.float64)
     members, shares = [], []
     for d, name in zip(dims, classes, strict=True):
-        values = sorted({c[name] for c in cells})
-        group = np.array([values.index(c[name]) for c in cells], np.int64)
+        coded = cells[name].combine_chunks().dictionary_encode()
+        values, group = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         sums = dict(zip(values, np.bincount(group, tokens, minlength=len(values)).tolist(), strict=True))
         wanted = (targets or {}).get(d) or tempered(sums, power)
         share = np.array([max(0.0, wanted.get(v, 0.0)) for v in values])
@@ -201,9 +191,8 @@ def mixing_rates(rows: DataFrame, *, targets: dict[str, dict[str, float]] | None
         shares.append(share / share.sum() if share.sum() else share)
     fit = rake(tokens, members, shares, keep_share * tokens.sum())
     rate = np.divide(fit.kept, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
-    table = [(*[c[n] for n in classes], float(p)) for c, p in zip(cells, rate, strict=True)]
-    rates = spark.createDataFrame(table, ", ".join(f"{c} string" for c in classes) + ", probability double")
-    out = rows.join(F.broadcast(rates), classes, "left")
+    rates = spark.createDataFrame(cells.select(classes).append_column("probability", pa.array(rate)))
+    out = rows.join(F.broadcast(rates) if len(rate) <= BROADCAST_CELLS else rates, classes, "left")
     # a document without a token weighs nothing in any cell: it goes with the share that is kept
     out = out.withColumn("probability", F.when(F.col("tokens") > 0, F.col("probability")).otherwise(F.lit(float(keep_share))))
     return out.withColumn("weight", F.when(F.col("probability") > 0, 1 / F.col("probability")).otherwise(0.0))

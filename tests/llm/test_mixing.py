@@ -47,3 +47,15 @@ def test_targets_nulls_and_repeats(spark):
     assert 0.6 < share["a"] / share["b"] < 1.6
     assert out.filter("doc_id = 5").count() in (0, 2)
     assert M.mix(docs.limit(0)).count() == 0
+
+
+def test_every_source_and_language_is_a_class(spark):
+    """300 sources and 40 languages: small ones are tempered on their own, and a target that names one is met."""
+    rows = spark.range(300).selectExpr("concat('s', id) AS source", "concat('l', id % 40) AS lang", "'t0' AS topic", "IF(id < 256, 1000L, 10L) AS tokens")
+    rated = M.mixing_rates(rows, power=0.5, keep_share=0.2).collect()
+    assert {r["source_class"] for r in rated} == {f"s{k}" for k in range(300)}
+    assert {r["lang_class"] for r in rated} == {f"l{k}" for k in range(40)}
+    small = {r["probability"] for r in M.mixing_rates(rows.withColumn("lang", F.lit("x")), power=0.5, keep_share=0.2).collect() if r["tokens"] == 10}
+    assert max(small) - min(small) < 1e-6 and min(small) == pytest.approx(1.0)
+    named = M.mixing_rates(rows.withColumn("lang", F.lit("x")), targets={"source": {"s0": 0.5, "s299": 0.5}}, keep_share=0.001).collect()
+    assert {r["source"]: r["probability"] > 0 for r in named if r["source"] in ("s0", "s1", "s299")} == {"s0": True, "s1": False, "s299": True}
