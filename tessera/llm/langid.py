@@ -38,10 +38,11 @@ LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``log_likelihood[bucket, language]`` of a trigram."""
+    """``log_likelihood[bucket, language]`` of a trigram; ``background`` is that of one drawn evenly from all learned ones."""
 
     languages: tuple[str, ...]
     log_likelihood: np.ndarray
+    background: float = 0.0
 
 
 def trigram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,20 +105,29 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     counts.ravel()[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     total = counts.sum(axis=1, keepdims=True)
     used = max(1, int((counts.sum(axis=0) > 0).sum()))
-    return LanguageModel(languages, np.log((counts + SMOOTHING) / (total + SMOOTHING * used)).T.astype(np.float32).copy())
+    return LanguageModel(languages, np.log((counts + SMOOTHING) / (total + SMOOTHING * used)).T.astype(np.float32).copy(), -float(np.log(used)))
 
 
 def mixtures(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Proportions of the model's languages in each document; zero rows where no letter is."""
+    return judged(model, data, offsets)[0]
+
+
+def judged(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions as in :func:`mixtures`, evidence) of each document.
+
+    Evidence is how much likelier its mixture makes a trigram than the background
+    does, as a mean logarithm over the document's trigrams: below 0, letters drawn without a language explain it better."""
     docs, n = len(offsets) - 1, len(model.languages)
-    out = np.zeros((docs, n))
+    out, evidence = np.zeros((docs, n)), np.zeros(docs)
     if not n or not len(data):
-        return out
+        return out, evidence
     bucket, starts, bounds = trigram_buckets(data, offsets)
     if not len(starts):
-        return out
+        return out, evidence
     score = np.add.reduceat(model.log_likelihood[bucket], starts, axis=0)
-    like = np.exp(score - score.max(axis=1, keepdims=True)) + 1e-12
+    most = score.max(axis=1, keepdims=True)
+    like = np.exp(score - most) + 1e-12
     size = np.diff(bounds)
     doc = np.repeat(np.arange(docs), size)
     words = np.maximum(size, 1)[:, None]
@@ -141,30 +151,33 @@ def mixtures(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> np.
         best[better] = value[better]
         out[better] = proportion[better]
     out[size == 0] = 0
-    return out
+    total = per_document(most[:, 0] + np.log((like * out[doc]).sum(axis=1)), bounds)
+    letters = np.diff(np.append(starts, len(bucket))[bounds])
+    return out, np.divide(total, letters, out=evidence, where=letters > 0) - np.where(letters > 0, model.background, 0.0)
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_share: float = 0.01, prefix: str = "") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``mixture`` (map of language to proportion).
+    """``docs`` with ``lang_pred``, ``score``, ``mixture`` (map of language to proportion) and ``evidence`` (see :func:`judged`).
 
     Whole texts are read.  Null text, text without a letter, and every text if the
-    model knows no language: ``und``, score 0, empty map.  Ties go to the language
+    model knows no language: ``und``, score and evidence 0, empty map.  Ties go to the language
     that sorts first.  Repeated rows get equal results.  The names begin with
     ``prefix``; columns of these names in ``docs`` are replaced."""
-    added = [f"{prefix}{c}" for c in ("lang_pred", "score", "mixture")]
+    added = [f"{prefix}{c}" for c in ("lang_pred", "score", "mixture", "evidence")]
     bounded_batches(docs.sparkSession)
     keep = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     languages = np.array([*model.languages, UNKNOWN], dtype=object)
     position = keep.columns.index(text_col)
-    schema = keep.select("*", F.lit("").alias(added[0]), F.lit(0.0).alias(added[1]), F.create_map(F.lit(""), F.lit(0.0)).alias(added[2])).schema
+    schema = keep.select("*", F.lit("").alias(added[0]), F.lit(0.0).alias(added[1]), F.create_map(F.lit(""), F.lit(0.0)).alias(added[2]), F.lit(0.0).alias(added[3])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(position)
             model = shared.value
-            parts = [mixtures(model, data, offs) for _, _, data, offs in runs(_lower(text), max(1 << 18, (4 << 20) // max(1, len(languages) - 1)))]
-            share = np.concatenate(parts) if parts else np.zeros((0, len(model.languages)))
+            parts = [judged(model, data, offs) for _, _, data, offs in runs(_lower(text), max(1 << 18, (4 << 20) // max(1, len(languages) - 1)))]
+            share = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, len(model.languages)))
+            evidence = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
             no_letter = np.array(pc.fill_null(pc.invert(pc.match_substring_regex(text, r"\pL")), True))
             top = share.argmax(axis=1) if share.shape[1] else np.zeros(len(share), int)
             score = share[np.arange(len(share)), top] if share.shape[1] else np.zeros(len(share))
@@ -174,7 +187,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", mi
             counts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(share)))))
             mixture = pa.MapArray.from_arrays(pa.array(counts, pa.int32()), pa.array(languages[col], pa.string()), pa.array(share[row, col]))
             label = pa.array(languages[np.where(unknown, len(languages) - 1, top)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, label, pa.array(np.clip(np.where(unknown, 0.0, score), 0, 1)), mixture], names=[*batch.schema.names, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns, label, pa.array(np.clip(np.where(unknown, 0.0, score), 0, 1)), mixture, pa.array(np.where(unknown, 0.0, evidence))], names=[*batch.schema.names, *added])
 
     return keep.mapInArrow(run, schema)
 
