@@ -32,6 +32,8 @@ SEGMENTS = ((16, 16, 16, 16), (12, 12, 12, 12), (9, 9, 9, 9), (7, 7, 7, 6))
 #: Distinct fingerprints beyond which a cell is cut again.
 CELL_ROWS = 200_000
 FANOUT, FRONTIER = 8, 32_768
+#: Proposed links are kept so many times over, since not all of them are confirmed.
+FORESTS = 4
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -67,11 +69,9 @@ def spread_hashes(hashes: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> np.ndarray:
-    """(texts, words) fingerprints of 64 bits each of the texts in ``data``; see :func:`with_fingerprints`."""
-    docs = len(offsets) - 1
-    if len(data) == 0:
-        return np.zeros((docs, words), np.uint64)
+def word_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, size, bounds): the lower-cased words of all texts, each followed by a space; word w is
+    ``text[start[w] : start[w] + size[w]]``, text i has the words bounds[i] to bounds[i + 1]."""
     data = LOWER[data]
     word = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -80,31 +80,47 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHIN
     after = np.concatenate((word[1:], [False])) & ~edge[1:]
     first, last = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after)
     size = last - first + 1
-    at = np.concatenate(([0], np.cumsum(size + 1)))  # words joined by single spaces
+    at = np.concatenate(([0], np.cumsum(size + 1)))
     joined = np.full(int(at[-1]), 0x20, np.uint8)
     chars = np.flatnonzero(word)
     joined[np.arange(len(chars)) + np.repeat(np.arange(len(size)), size)] = data[chars]
-    text = joined.tobytes()
-    bounds = np.searchsorted(first, offsets)  # words of document i: bounds[i] to bounds[i + 1]
+    return joined.tobytes(), at, size, np.searchsorted(first, offsets)
+
+
+def shingle_spans(at: np.ndarray, size: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, starts): bytes of every run of ``shingle`` words (of fewer words: the whole sequence); text i has starts[i] to starts[i + 1]."""
     n_words = np.diff(bounds)
     n_shingles = np.where(n_words >= shingle, n_words - shingle + 1, np.minimum(n_words, 1))
     starts = np.concatenate(([0], np.cumsum(n_shingles)))
-    total = int(starts[-1])
-    doc = np.repeat(np.arange(docs), n_shingles)
-    head = bounds[doc] + (np.arange(total) - starts[doc])
+    doc = np.repeat(np.arange(len(n_words)), n_shingles)
+    head = bounds[doc] + (np.arange(int(starts[-1])) - starts[doc])
     tail = np.minimum(head + shingle, bounds[doc + 1]) - 1
-    begin, end = at[head], at[tail] + size[tail]
+    return at[head], at[tail] + size[tail], starts
+
+
+def span_hashes(text: bytes, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
+    return np.array([digest(text[s:e], seed) for s, e in zip(begin.tolist(), end.tolist(), strict=True)], dtype=np.uint64)
+
+
+def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> np.ndarray:
+    """(texts, words) fingerprints of 64 bits each of the texts in ``data``; see :func:`with_fingerprints`."""
+    docs = len(offsets) - 1
+    if len(data) == 0:
+        return np.zeros((docs, words), np.uint64)
+    text, at, size, bounds = word_bytes(data, offsets)
+    begin, end, starts = shingle_spans(at, size, bounds, shingle)
+    doc, total = np.repeat(np.arange(docs), np.diff(starts)), int(starts[-1])
     ones = np.zeros((words, docs, 64), np.int64)
     step = 1 << 15
     for a in range(0, total, step):
         b = min(total, a + step)
-        hashes = np.array([digest(text[s:e], seed) for s, e in zip(begin[a:b].tolist(), end[a:b].tolist(), strict=True)], dtype=np.uint64)
+        hashes = span_hashes(text, begin[a:b], end[a:b], seed)
         lo, hi = doc[a], doc[b - 1] + 1
         spans = np.clip(starts[lo : hi + 1], a, b) - a
         for w in range(words):
             ones[w, lo:hi] += bit_counts(spread_hashes(hashes, w), spans)
-    set_ = (2 * ones > n_shingles[:, None]).astype(np.uint8)
+    set_ = (2 * ones > np.diff(starts)[:, None]).astype(np.uint8)
     return np.ascontiguousarray(np.packbits(set_, axis=2, bitorder="little").view(np.uint64)[:, :, 0].T)
 
 
@@ -155,10 +171,27 @@ def components_of(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | Non
     return labels
 
 
-def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS, sketches: np.ndarray | None = None, most: int = 0) -> np.ndarray:
+def lightest_forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Indices of links that join the classes in ``labels`` as all links (a, b) do, those of fewest bits first (ties: the first)."""
+    own, alive, picked = labels.copy(), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while True:
+        la, lb = own[a[alive]], own[b[alive]]
+        alive, la, lb = (x[la != lb] for x in (alive, la, lb))
+        if not len(alive):
+            return np.concatenate(picked)
+        ends, link = np.concatenate((la, lb)), np.concatenate((alive, alive))
+        order = np.lexsort((link, bits[link], ends))
+        ends, link = ends[order], link[order]
+        picked.append(np.unique(link[np.concatenate(([True], ends[1:] != ends[:-1]))]))
+        own = components_of(len(own), a[picked[-1]], b[picked[-1]], own)
+
+
+def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS, found: list | None = None, forests: int = 1) -> np.ndarray:
     """For fingerprints sorted by (cell, Gray rank): the smallest index that links
-    of at most ``radius`` bits within a cell lead to; with ``sketches`` (rows of
-    words) a link needs at most ``most`` differing bits over all words as well.
+    of at most ``radius`` bits within a cell lead to.  Links are added to ``found`` as
+    (a, b, bits) arrays: a forest, light links first, that connects all they connect,
+    then a forest of the links that are left, and so on up to ``forests``.  So a link
+    that is not among them joins what as many separate paths of found links join.
 
     Levels of nodes over runs of FANOUT neighbours hold the bits that all below
     share (mask, pattern).  Pairs of nodes are expanded from the roots; a pair is
@@ -179,11 +212,11 @@ def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS, sketc
         starts.append(lead)
         counts.append(np.diff(np.append(lead, len(own))))
         cells.append(own[lead])
-    labels = np.arange(n)
+    joined = [np.arange(n) for _ in range(forests)]
     same: list[np.ndarray] = []
 
     def refresh() -> None:
-        same[:] = [labels]
+        same[:] = [joined[-1]]
         for lead in starts[1:]:
             low, high = np.minimum.reduceat(same[-1], lead), np.maximum.reduceat(same[-1], lead)
             low = np.where(low == high, low, -1 - np.arange(len(low)))
@@ -210,16 +243,22 @@ def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS, sketc
         a, b = a[keep], b[keep]
         if level:
             stack += [(level, a[i : i + FRONTIER], b[i : i + FRONTIER]) for i in range(0, len(a), FRONTIER)]
-        if not level and sketches is not None and len(a):
-            keep = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64) <= most
-            a, b = a[keep], b[keep]
         if not level and len(a):
-            labels = components_of(n, a, b, labels)
+            bits = differ[keep]
             pending += len(a)
+            for k in range(forests):
+                light = lightest_forest(joined[k], a, b, bits)
+                if found is not None:
+                    found.append((a[light], b[light], bits[light]))
+                joined[k] = components_of(n, a[light], b[light], joined[k])
+                if k + 1 < forests:
+                    left = np.ones(len(a), bool)
+                    left[light] = False
+                    a, b, bits = a[left], b[left], bits[left]
             if 4 * pending >= n:
                 refresh()
                 pending = 0
-    return labels
+    return joined[0]
 
 
 def _cells(rows: DataFrame, level: int) -> DataFrame:
@@ -232,11 +271,11 @@ def _cells(rows: DataFrame, level: int) -> DataFrame:
         below = rest.bitwiseAND(F.lit((1 << low) - 1).cast("long"))
         parts.append(F.struct(F.xxhash64(F.col("cell"), F.lit(k), value).alias("cell"), above.bitwiseOR(below).alias("rest")))
         low += bits
-    return rows.withColumn("_part", F.explode(F.array(*parts))).select("rep", "simhash", "sketch", F.col("_part.cell").alias("cell"), F.col("_part.rest").alias("rest"))
+    return rows.withColumn("_part", F.explode(F.array(*parts))).select("rep", "simhash", F.col("_part.cell").alias("cell"), F.col("_part.rest").alias("rest"))
 
 
-def _links_in_cells(rows: DataFrame, radius: int, words: int, most: int) -> DataFrame:
-    """(src, dst): each fingerprint's representative and that of the first one its links in the cell lead to."""
+def _links_in_cells(rows: DataFrame, radius: int, forests: int) -> DataFrame:
+    """(src, dst, bits): links between representatives that connect what all links of a cell connect; see :func:`gray_links`."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -247,17 +286,15 @@ def _links_in_cells(rows: DataFrame, radius: int, words: int, most: int) -> Data
         def flush(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
             shared = rows[0][1:] == rows[0][:-1]  # a fingerprint alone in its cell has no link there
             some = np.concatenate(([False], shared)) | np.concatenate((shared, [False]))
-            cell, prints, rep, *sketch = (c[some] for c in rows)
-            labels = gray_links(cell, prints.view(np.uint64), radius, sketch[0] if sketch else None, most)
-            linked = np.flatnonzero(labels != np.arange(len(labels)))
-            return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[labels[linked]])], names=["src", "dst"])
+            cell, prints, rep = (c[some] for c in rows)
+            found = [(np.zeros(0, np.int64),) * 3]
+            gray_links(cell, prints.view(np.uint64), radius, found, forests)
+            a, b, bits = (np.concatenate(c) for c in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(bits.astype(np.int32))], names=["src", "dst", "bits"])
 
         waiting = 0
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if words > 1:
-                columns.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, words))
-            held.append(tuple(columns))
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
             waiting += batch.num_rows
             if waiting >= 1 << 18:
                 rows = joined()
@@ -269,72 +306,199 @@ def _links_in_cells(rows: DataFrame, radius: int, words: int, most: int) -> Data
         if waiting:
             yield flush(joined())
 
-    columns = ["cell", "simhash", "rep", *["sketch"] * (words > 1)]
-    dealt = rows.select(columns).repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("simhash")))
-    return dealt.mapInArrow(search, "src long, dst long")
+    dealt = rows.select("cell", "simhash", "rep").repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("simhash")))
+    return dealt.mapInArrow(search, "src long, dst long, bits int")
+
+
+def _hot_cells(rows: DataFrame, cell_rows: int) -> DataFrame | None:
+    """Cells of more than ``cell_rows`` rows, None if there are none; cells are counted one by one only where the
+    2**16 buckets that their hashes fall into leave that open."""
+    bucket = F.pmod("cell", F.lit(1 << 16)).alias("bucket")
+    full = rows.groupBy(bucket).count().filter(F.col("count") > cell_rows).select("bucket")
+    if full.isEmpty():
+        return None
+    hot = rows.withColumn("bucket", bucket).join(full, "bucket", "left_semi").groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell")
+    return None if hot.isEmpty() else hot
 
 
-def links(distinct: DataFrame, *, radius: int = RADIUS, cell_rows: int = CELL_ROWS, words: int = 1, most: int = 0) -> DataFrame:
-    """(src, dst) representatives of fingerprints that links of at most ``radius`` bits connect.
+def links(prints: DataFrame, *, radius: int = RADIUS, cell_rows: int = CELL_ROWS, forests: int = 1) -> DataFrame:
+    """(src, dst, bits): links of at most ``radius`` bits between the representatives of fingerprints.
 
-    ``distinct`` has one row (``simhash``, ``rep``, and with several ``words`` their
-    ``sketch``) for each fingerprint.  With several words, two are linked if any of the
-    words is within ``radius`` and all words together differ in at most ``most`` bits.
-    Enough links are returned to connect whatever is connected (at most one for each
-    fingerprint and cell); none joins fingerprints that are not."""
+    ``prints`` has a row (``simhash``, ``rep``) for each fingerprint and, if there are
+    independent fingerprints of a text, the number ``word`` that tells them apart;
+    only equal numbers are compared.  Enough links are returned to connect whatever
+    is connected, ``forests`` times over, the lightest of a cell first; none joins fingerprints that are not alike."""
     if radius >= 4:
         raise ValueError("four segments find at most three differing bits")
-    if words == 1:
-        rows = distinct.select("rep", "simhash", F.lit(None).cast("binary").alias("sketch"), F.lit(0).cast("long").alias("cell"))
-    else:
-        # word w as a long: its bytes from last to first, read as a hexadecimal number
-        part = lambda w: F.conv(F.concat(*[F.hex(F.substring("sketch", 8 * w + k, 1)) for k in range(8, 0, -1)]), 16, -10).cast("long")
-        own = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("cell"), part(w).alias("simhash")) for w in range(words)])).alias("w")
-        rows = distinct.select("rep", "sketch", own).select("rep", "w.simhash", "sketch", "w.cell")
-    rows = rows.withColumn("rest", F.col("simhash"))
+    word = F.col("word") if "word" in prints.columns else F.lit(0)
+    rows = prints.select("rep", "simhash", word.cast("long").alias("cell"), F.col("simhash").alias("rest"))
     found: DataFrame | None = None
     for level in range(len(SEGMENTS)):
         rows = _cells(rows, level)
-        hot = None
-        if level + 1 < len(SEGMENTS):
-            hot = rows.groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell")
-            hot = None if hot.isEmpty() else hot
+        hot = _hot_cells(rows, cell_rows) if level + 1 < len(SEGMENTS) else None
         calm = rows if hot is None else rows.join(hot, "cell", "left_anti")
-        part_ = _links_in_cells(calm, radius, words, most)
+        part_ = _links_in_cells(calm, radius, forests)
         found = part_ if found is None else found.unionByName(part_)
         if hot is None:
             break
-        rows = materialize(rows.join(hot, "cell", "left_semi").select("rep", "simhash", "sketch", "cell", "rest"), "cells")
+        # equal fingerprints of one word are linked to one of them, so that a cell's size is bounded by its free bits
+        rows = materialize(rows.join(hot, "cell", "left_semi").select("rep", "simhash", "cell", "rest"), "cells")
+        first = rows.groupBy("cell", "simhash", "rest").agg(F.min("rep").alias("first"))
+        equal = rows.join(first, ["cell", "simhash", "rest"]).filter("rep <> first")
+        found = found.unionByName(equal.select(F.col("first").alias("src"), F.col("rep").alias("dst"), F.lit(0).alias("bits")))
+        rows = first.withColumnRenamed("first", "rep")
     return found
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, cell_rows: int = CELL_ROWS, words: int = 1, most_share: float = 1.0) -> DataFrame:
-    """(``id_col``, ``simhash``, ``component_id``) for every row with an id.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(``id_col``, ``simhash``, ``component_id``) for every row.
 
     ``component_id`` is the smallest id that links of at most ``radius`` differing
-    bits lead to, the row's own included.  Copies are one fingerprint with the
-    smallest id as its representative, so only distinct fingerprints are searched.
-    Empty texts share fingerprint zero.  Rows that repeat an id each get a row and
-    link whatever their texts link; rows with a null id are left out.
-
-    With several ``words`` each text has as many independent fingerprints: one within
-    the radius proposes a link, and it holds if all of them together differ in at
-    most ``most_share`` of their bits.  That finds pairs that a single word misses
-    by a bit or two, and turns away pairs that only one word takes for alike."""
-    known = docs.filter(F.col(id_col).isNotNull())
-    key = "simhash" if words == 1 else "sketch"
-    prints = with_fingerprints(known, id_col=id_col, text_col=text_col, shingle=shingle, words=words)
-    prints = materialize(prints.select(F.col(id_col).cast("long").alias("doc_id"), "simhash", *["sketch"] * (words > 1)), "simhash")
-    distinct = materialize(prints.groupBy(key).agg(F.min("doc_id").alias("rep")), "distinct")
-    same_id = prints.groupBy("doc_id").agg(F.min(key).alias("one"), F.max(key).alias("other")).filter("one <> other")
-    edges = links(distinct, radius=radius, cell_rows=cell_rows, words=words, most=int(most_share * 64 * words))
-    extra = prints.join(same_id.select("doc_id"), "doc_id", "left_semi").join(distinct, key).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    bits lead to, the row's own included.  Copies are one fingerprint, so only distinct
+    fingerprints are searched.  Empty texts share fingerprint zero.  Rows that repeat
+    an id each get a row and link whatever their texts link; a row without an id gets one,
+    too, and links texts, but names no component (null if no row of its component has an id)."""
+    spark = docs.sparkSession
+    prints = with_fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle)
+    prints = materialize(prints.select(F.col(id_col).cast("long").alias("doc_id"), "simhash"), "simhash")
+    distinct = materialize(prints.groupBy("simhash").agg(F.min("doc_id").alias("least_id")), "distinct")
+    edges = links(distinct.select("simhash", F.col("simhash").alias("rep")), radius=radius, cell_rows=cell_rows).select("src", "dst")
+    same_id = prints.groupBy("doc_id").agg(F.min("simhash").alias("one"), F.max("simhash").alias("other")).filter("doc_id IS NOT NULL AND one <> other")
+    extra = prints.join(same_id, "doc_id").filter("simhash <> one").select(F.col("simhash").alias("src"), F.col("one").alias("dst"))
     components = connected_components(edges.unionByName(extra))
-    rep = distinct.join(components, distinct["rep"] == components["vertex"], "left").select(key, F.coalesce("component", "rep").alias("component_id"))
-    rep = materialize(rep, "classes")
-    out = prints.join(rep, key).select(F.col("doc_id").alias(id_col), "simhash", "component_id")
+    grouped = distinct.join(components, distinct["simhash"] == components["vertex"], "left").select("simhash", "least_id", F.coalesce("component", "simhash").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    classes = materialize(grouped.join(least, "component").select("simhash", "component_id"), "classes")
     for df in (distinct, components):
-        remove(docs.sparkSession, df)
+        remove(spark, df)
+    return prints.join(classes, "simhash").select(F.col("doc_id").alias(id_col), "simhash", "component_id")
+
+
+def with_proposals(docs: DataFrame, *, text_col: str = "text", shingle: int = 2, seed: int = SEED, words: int = 16) -> DataFrame:
+    """``docs`` without its text, with ``copy`` (128 bits that name the word sequence) and ``sketch``,
+    ``words`` independent fingerprints of the ``shingle``-word shingles as an array of longs."""
+    keep = docs.drop("copy", "sketch")
+    position = keep.columns.index(text_col)
+    others = [c for c in keep.columns if c != text_col]
+    schema = keep.select(*others, F.lit("").cast("binary").alias("copy"), F.array(F.lit(0).cast("long")).alias("sketch")).schema
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, prints = [], [np.zeros((0, words), np.uint64)]
+            for _, _, data, offs in runs(batch.column(position)):
+                text, at, _, bounds = word_bytes(data, offs)
+                ends = at[bounds].tolist()
+                names += [xxhash.xxh3_128_digest(text[a:b], seed) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                prints.append(text_fingerprints(data, offs, shingle, seed, words))
+            flat = np.concatenate(prints)
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * words, pa.int32()), pa.array(np.ascontiguousarray(flat).view(np.int64).ravel()))
+            columns = [c for i, c in enumerate(batch.columns) if i != position]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.binary()), sketch], names=[*others, "copy", "sketch"])
+
+    bounded_batches(docs.sparkSession)
+    return keep.mapInArrow(compute, schema)
+
+
+def with_shingle_sets(docs: DataFrame, *, text_col: str = "text", shingle: int = 5, seed: int = SEED) -> DataFrame:
+    """``docs`` with ``shingles`` in place of its text: the hashes of its distinct ``shingle``-word shingles."""
+    keep = docs.drop("shingles")
+    position = keep.columns.index(text_col)
+    others = [c for c in keep.columns if c != text_col]
+    schema = keep.select(*others, F.array(F.lit(0).cast("long")).alias("shingles")).schema
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: list[np.ndarray] = []
+            for _, _, data, offs in runs(batch.column(position)):
+                text, at, size, bounds = word_bytes(data, offs)
+                begin, end, starts = shingle_spans(at, size, bounds, shingle)
+                hashes = span_hashes(text, begin, end, seed).view(np.int64)
+                sets += [np.unique(hashes[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            columns = [c for i, c in enumerate(batch.columns) if i != position]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[*others, "shingles"])
+
+    bounded_batches(docs.sparkSession)
+    return keep.mapInArrow(compute, schema)
+
+
+def _alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(src, dst) of the edges whose ends' shingle sets have a Jaccard similarity of at least ``least``."""
+    a = sets.select(F.col("vertex").alias("src"), F.col("shingles").alias("_a"))
+    b = sets.select(F.col("vertex").alias("dst"), F.col("shingles").alias("_b"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    return edges.join(a, "src").join(b, "dst").filter(both >= least * (F.size("_a") + F.size("_b") - both)).select("src", "dst")
+
+
+def confirmed(edges: DataFrame, sets: DataFrame, least: float, *, few: int = 4) -> DataFrame:
+    """(vertex, component) of the graph of those ``edges`` (src, dst, bits) that the exact similarity confirms.
+
+    Where there are at most ``few`` edges a vertex, all are judged.  Otherwise each
+    component has its lightest edge judged, what these connect is contracted, and
+    edges inside a component are not judged at all: the result is the same, and a
+    large group of copies costs about one comparison for each text."""
+    proven: list[DataFrame] = []
+    open_ = materialize(edges.groupBy("src", "dst").agg(F.min("bits").alias("bits")).withColumns({"a": F.col("src"), "b": F.col("dst")}), "open")
+    while True:
+        ends = open_.select(F.explode(F.array("a", "b")).alias("v"))
+        n_edges = open_.count()
+        all_ = n_edges <= few * (ends.agg(F.approx_count_distinct("v")).first()[0])
+        batch = open_
+        if not all_:
+            light = F.min(F.struct("bits", "src", "dst")).alias("e")
+            sides = open_.select("bits", "src", "dst", F.explode(F.array("a", "b")).alias("v"))
+            batch = sides.groupBy("v").agg(light).select("e.src", "e.dst").distinct()
+        proven.append(materialize(_alike(batch.select("src", "dst"), sets, least), "proven"))
+        known = proven[0]
+        for p in proven[1:]:
+            known = known.unionByName(p)
+        components = connected_components(known)
+        if all_:
+            return components
+        rest = open_.select("src", "dst", "bits").join(batch, ["src", "dst"], "left_anti")
+        for end, name in (("src", "a"), ("dst", "b")):
+            label = components.select(F.col("vertex").alias(end), F.col("component").alias("_c"))
+            rest = rest.join(label, end, "left").withColumn(name, F.coalesce("_c", end)).drop("_c")
+        open_ = materialize(rest.filter("a <> b"), "open")
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, words: int = 16, proposal: int = 2, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """One row of each group of near-duplicates in ``docs``, the one with the smallest id (null ids last).
+
+    Two texts are linked if any of ``words`` independent fingerprints of their
+    ``proposal``-word shingles lies within ``radius`` bits and their sets of
+    ``shingle``-word shingles then have a Jaccard similarity of at least ``least``; a
+    group is what links connect.  Equal word sequences (null, empty and blank texts:
+    the empty one) are copies.  Rows that agree in every column are one; rows that share an id but
+    differ elsewhere, or have none, are rows of their own.  Columns may have any names."""
+    spark = docs.sparkSession
+    plain = [f.name for f in docs.schema.fields if "map" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    columns = [F.col(f"`{c}`") for c in plain]
+    row = F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+    keyed = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    prints = materialize(with_proposals(keyed, shingle=proposal, words=words), "proposals")
+    repeated = not prints.groupBy("row").count().filter("count > 1").isEmpty()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    copies = prints.groupBy("copy").agg(first, F.any_value("sketch").alias("sketch")).withColumn("vertex", F.xxhash64("copy"))
+    copies = materialize(copies, "copies")
+    parts = copies.select(F.col("vertex").alias("rep"), F.posexplode("sketch").alias("word", "simhash"))
+    found = links(parts, radius=radius, cell_rows=cell_rows, forests=FORESTS).filter("src <> dst")
+    edges = materialize(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits"), "proposed")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
+    texts = keyed.select("row", "text").join(copies.join(ends, "vertex", "left_semi").select("vertex", "first.row"), "row")
+    texts = texts.dropDuplicates(["vertex"]) if repeated else texts
+    sets = materialize(with_shingle_sets(texts.select("vertex", "text"), shingle=shingle), "shingles")
+    components = confirmed(edges, sets, least)
+    # should two word sequences ever share a vertex, only the first is a member of its component
+    own = copies.select("first", "copy", "vertex").join(components, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    again = own.groupBy("vertex").agg(F.count("*").alias("n"), F.min("copy").alias("least_copy")).filter("n > 1").select("vertex", "least_copy")
+    own = own.join(again, "vertex", "left").withColumn("other", F.when(F.col("copy") > F.col("least_copy"), F.col("copy")))
+    kept = materialize(own.groupBy("component", "other").agg(F.min("first").alias("first")).select("first.row"), "kept")
+    out = docs.withColumn("_row", row).join(kept.withColumnRenamed("row", "_row"), "_row", "left_semi")
+    out = (out.dropDuplicates(["_row"]) if repeated else out).select(*[F.col(f"`{c}`") for c in docs.columns])
+    for df in (prints, copies, edges, sets, components):
+        remove(spark, df)
     return out
 
 

@@ -15,11 +15,14 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_sketch(text, n=8):
-    """n fingerprints, from the first hashes and from mixtures of them."""
+def plain_shingles(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
-    first, out, full = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles], [], 2**64 - 1
+    return [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+
+
+def plain_sketch(text, n=16):
+    """n fingerprints of two-word shingles, from the first hashes and from mixtures of them."""
+    first, out, full = [xxhash.xxh64_intdigest(s.encode(), 42) for s in plain_shingles(text, 2)], [], 2**64 - 1
     for w in range(n):
         hashes = []
         for h in first:
@@ -33,23 +36,27 @@ def plain_sketch(text, n=8):
     return out
 
 
-def plain_sketch_components(rows, most):
-    ids, sketches = [i for i, _ in rows], [plain_sketch(t) for _, t in rows]
-    parent = {i: i for i in ids}
+def alike(a, b, least=0.8):
+    a, b = set(plain_shingles(a, 5)), set(plain_shingles(b, 5))
+    return len(a & b) >= least * len(a | b)
+
+
+def plain_groups(rows, n=16):
+    """Smallest index of each row's group: links are near in a fingerprint and alike in their five-word shingles."""
+    sketches = [plain_sketch(t, n) for t in rows]
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, a in zip(ids, sketches, strict=True):
-        for j, b in zip(ids, sketches, strict=True):
-            if i < j:
-                d = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
-                if min(d) <= 3 and sum(d) <= most:
-                    x, y = root(i), root(j)
-                    parent[max(x, y)] = min(x, y)
-    return {i: root(i) for i in ids}
+    for i in range(len(rows)):
+        for j in range(i):
+            if min((x ^ y).bit_count() for x, y in zip(sketches[i], sketches[j], strict=True)) <= 3 and alike(rows[i], rows[j]):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(rows))]
 
 
 def plain_components(ids, prints, radius=3):
@@ -91,20 +98,58 @@ def test_bit_counts():
     assert (S.bit_counts(np.full(1000, 2**64 - 1, np.uint64), np.array([0, 1000])) == 1000).all()
 
 
-@pytest.mark.parametrize("cell_rows", [10**6, 2])
-def test_several_words(spark, cell_rows):
-    rng = np.random.default_rng(2)
-    base = [f"w{k}" for k in rng.integers(0, 500, 120)]
-    rows = [(0, " ".join(base)), (1, None), (2, "")]
-    for k in range(3, 60):
+def variants(rng, n, size=150, most=9):
+    """A text and copies of it with up to ``most`` words replaced."""
+    base = [f"w{k}" for k in rng.integers(0, 500, size)]
+    out = [" ".join(base)]
+    for _ in range(n):
         words = list(base)
-        for p in rng.integers(0, 120, int(rng.integers(0, 9))):
+        for p in rng.integers(0, size, int(rng.integers(0, most + 1))):
             words[p] = f"x{rng.integers(0, 500)}"
-        rows.append((k, " ".join(words)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(df, words=8, most_share=0.12, cell_rows=cell_rows).collect()}
-    assert got == plain_sketch_components(rows, 61)
-    assert len(set(got.values())) > 2
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize(("cell_rows", "few"), [(10**6, 4), (2, 4), (10**6, 0)])
+def test_representatives_against_brute_force(spark, monkeypatch, cell_rows, few):
+    rng = np.random.default_rng(2)
+    texts = [None, "", "  ", "one", "One ", "a b c d e f", *variants(rng, 40), *variants(rng, 15, 60, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain_confirmed = S.confirmed
+    monkeypatch.setattr(S, "confirmed", lambda edges, sets, least: plain_confirmed(edges, sets, least, few=few))
+    got = sorted(r["doc_id"] for r in S.representatives(df, cell_rows=cell_rows).collect())
+    assert got == sorted(set(plain_groups(texts)))
+    assert 6 < len(got) < len(texts) - 20
+
+
+def test_recall_of_alike_texts(spark):
+    """Of couples with a five-word similarity of 0.8 to 0.95, at least nine in ten lose a member; none below 0.8 does."""
+    rng = np.random.default_rng(7)
+    rows, couples = [], []
+    while len(couples) < 300:
+        size = int(rng.integers(60, 400))
+        words = [f"v{k}" for k in rng.zipf(1.3, size) % 5000]
+        other = list(words)
+        for p in rng.integers(0, size, max(1, int(size * rng.uniform(0.01, 0.035)))):
+            other[p] = f"y{rng.integers(0, 5000)}"
+        a, b = set(plain_shingles(" ".join(words), 5)), set(plain_shingles(" ".join(other), 5))
+        j = len(a & b) / len(a | b)
+        if 0.7 <= j < 0.95:
+            couples.append(j)
+            rows += [(2 * len(couples), " ".join(words)), (2 * len(couples) + 1, " ".join(other))]
+    kept = {r["doc_id"] for r in S.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [2 * k + 3 not in kept for k in range(len(couples))]
+    assert not any(gone for j, gone in zip(couples, lost, strict=True) if j < 0.8)
+    near = [gone for j, gone in zip(couples, lost, strict=True) if j >= 0.8]
+    assert len(near) > 100 and sum(near) >= 0.9 * len(near)
+
+
+def test_representatives_of_odd_rows(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, copy long")
+    assert S.representatives(empty).count() == 0
+    rows = [(None, "a b c", 1), (None, "a b c", 1), (None, "d e f", 1), (5, "g h i", 1), (5, "j k l", 1), (5, "j k l", 2), (7, "D E F ", 0)]
+    got = [tuple(r) for r in S.representatives(spark.createDataFrame(rows, "doc_id long, text string, copy long")).collect()]
+    assert {(r[0], r[1]) for r in got} == {(None, "a b c"), (7, "D E F "), (5, "g h i"), (5, "j k l")} and len(got) == 4
 
 
 @pytest.mark.parametrize("cell_rows", [10**6, 3])
@@ -146,8 +191,8 @@ def test_edge_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(empty).count() == 0
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "w x y z w"), (None, "a b c d"), (1, "w x y z w"), (9, "quite another text")]
-    got = sorted((r["doc_id"], r["component_id"]) for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (9, 9)]
+    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 1), (1, 1), (1, 1), (1, 1), (2, 1), (9, 9)]
 
 
 def test_gray_rank_is_an_inverse_gray_code(spark):
