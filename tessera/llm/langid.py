@@ -29,9 +29,12 @@ UNKNOWN = "und"
 TRAIN_DOCS = 1_000
 #: Trigrams share 2**BUCKET_BITS counters.
 BUCKET_BITS = 17
-#: Languages a model may hold, and those a document may mix.
-MAX_LANGUAGES, MAX_MIX = 64, 3
-EM_STEPS, SMOOTHING, PENALTY = 6, 0.5, 2.0
+SMOOTHING, PENALTY = 0.5, 2.0
+#: Expectation-maximisation ends when no proportion of a document moves further, at the latest after EM_STEPS.
+EM_STEPS, EM_TOLERANCE = 1_000, 1e-4
+#: Logarithms of likelihoods that are looked up at once.
+LOOKED_UP = 1 << 22
+WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
@@ -70,44 +73,68 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Counts trigrams by language over labelled rows (non-null text and language).
 
     About ``train_docs`` whole documents of each language are read, those with
-    the smallest hashes of their ids; fewer labelled rows are all read.  What
-    reaches the driver is a count for each language and bucket.  The
-    MAX_LANGUAGES most frequent languages are learned."""
-    bounded_batches(docs.sparkSession)
-    labelled = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
-    languages = tuple(sorted(r[0] for r in sizes))
+    the smallest hashes of their ids; fewer labelled rows are all read.  Rows without an
+    id share a hash; rows that repeat an id are read together.  Every label is learned, a
+    blank one as well.  What reaches the driver is a count for each language and bucket that
+    occurs; the model takes half a megabyte a language."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = labelled.groupBy("lang").count().toArrow().sort_by("lang")
+    languages = tuple(sizes["lang"].to_pylist())
     if not languages:
         return LanguageModel((), np.zeros((1 << BUCKET_BITS, 0), np.float32))
-    share = {r[0]: train_docs / r[1] for r in sizes}
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for lang in languages:
-        chosen = chosen | ((F.col(lang_col) == lang) & (draw < share[lang]))
-    index = F.array_position(F.array(*map(F.lit, languages)), F.col(lang_col)).cast("int") - 1
-    sample = labelled.filter(chosen).select(index.alias("lang"), F.col(text_col).cast("string").alias("text"))
     n = len(languages)
+    drawn = pa.table({"lang": sizes["lang"], "own": pa.array(range(n), pa.int32()), "share": pa.array(train_docs / sizes["count"].to_numpy())})
+    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    sample = labelled.join(F.broadcast(spark.createDataFrame(drawn)), "lang").filter(draw < F.col("share")).select("own", "text")  # a row a language
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        slots, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return slots, np.bincount(back, np.concatenate([p[1] for p in parts]), len(slots)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((n, 1 << BUCKET_BITS), np.int64)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for batch in batches:
-            lang = batch.column(0).to_numpy()
+            own = batch.column(0).to_numpy().astype(np.int64)
             for first, end, data, offs in runs(_lower(batch.column(1))):
                 bucket, starts, words = trigram_buckets(data, offs)
                 letters = np.append(starts, len(bucket))[words]
-                own = np.repeat(lang[first:end], np.diff(letters))
-                counts += np.bincount(own * (1 << BUCKET_BITS) + bucket, minlength=n << BUCKET_BITS).reshape(n, -1)
-        where = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(counts.ravel()[where])], names=["slot", "n"])
+                parts.append(np.unique((np.repeat(own[first:end], np.diff(letters)) << BUCKET_BITS) + bucket, return_counts=True))
+                if sum(len(p[0]) for p in parts[1:]) > 1 << 22:
+                    parts = [merged(parts)]
+        slots, counts = merged(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts)], names=["slot", "n"])
 
     rows = sample.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((n, 1 << BUCKET_BITS))
+    counts = np.zeros((n, 1 << BUCKET_BITS), np.float32)
     counts.ravel()[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    total = counts.sum(axis=1, keepdims=True)
-    used = max(1, int((counts.sum(axis=0) > 0).sum()))
+    total = counts.sum(axis=1, keepdims=True, dtype=np.float64)
+    used = max(1, int((counts > 0).any(axis=0).sum()))
     return LanguageModel(languages, np.log((counts + SMOOTHING) / (total + SMOOTHING * used)).T.astype(np.float32).copy(), -float(np.log(used)))
 
 
+def word_scores(model: LanguageModel, bucket: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct word of each word, log-likelihood of each distinct word in each language); words are runs of buckets from ``starts``."""
+    size = np.diff(np.append(starts, len(bucket)))
+    place = np.arange(len(bucket)) - np.repeat(starts, size)
+    power = np.full(int(size.max()), WORD_BASE)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    letter = (bucket.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    names = np.add.reduceat((letter ^ (letter >> np.uint64(29))) * power[place], starts)
+    _, first, own = np.unique(names, return_index=True, return_inverse=True)
+    size, n = size[first], len(model.languages)
+    word = np.repeat(np.arange(len(first)), size)
+    at = np.arange(len(word)) + np.repeat(starts[first] - (np.cumsum(size) - size), size)
+    score, step = np.zeros((len(first), n)), max(1, LOOKED_UP // n)
+    for a in range(0, len(word), step):
+        w = word[a : a + step]
+        cut = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        score[w[cut]] += np.add.reduceat(model.log_likelihood[bucket[at[a : a + step]]], cut, axis=0)
+    return own, score
+
+
 def mixtures(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Proportions of the model's languages in each document; zero rows where no letter is."""
     return judged(model, data, offsets)[0]
@@ -125,33 +152,56 @@ def judged(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> tuple
     bucket, starts, bounds = trigram_buckets(data, offsets)
     if not len(starts):
         return out, evidence
-    score = np.add.reduceat(model.log_likelihood[bucket], starts, axis=0)
+    own, score = word_scores(model, bucket, starts)
+    words = np.maximum(np.diff(bounds), 1)
+    # a word that a document repeats is one row with its count
+    pairs, weight = np.unique(np.repeat(np.arange(docs), np.diff(bounds)) * len(score) + own, return_counts=True)
+    doc, score = pairs // len(score), score[pairs % len(score)]
     most = score.max(axis=1, keepdims=True)
     like = np.exp(score - most) + 1e-12
-    size = np.diff(bounds)
-    doc = np.repeat(np.arange(docs), size)
-    words = np.maximum(size, 1)[:, None]
-
-    def em(proportion: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.searchsorted(doc, np.arange(docs + 1))
+
+    def some(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of these documents, where each one's begin among them)"""
+        size = np.diff(rows)[which]
+        begin = np.concatenate(([0], np.cumsum(size)))
+        return np.arange(begin[-1]) + np.repeat(rows[which] - begin[:-1], size), begin
+
+    def em(which: np.ndarray, proportion: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(proportions, log-likelihood) of documents, from their starting proportions."""
+        proportion = proportion.copy()
+        live, (at, begin) = np.arange(len(which)), some(which)
+        part, count = like[at], weight[at]
         for _ in range(EM_STEPS):
-            joint = like * proportion[doc]
-            joint /= joint.sum(axis=1, keepdims=True)
-            proportion = per_document(joint, bounds) / words
-        fit = np.log((like * proportion[doc]).sum(axis=1))
-        return proportion, per_document(fit, bounds)
-
-    full, _ = em(np.full((docs, n), 1.0 / n))
-    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
+            joint = part * np.repeat(proportion[live], np.diff(begin), axis=0)
+            joint *= (count / joint.sum(axis=1))[:, None]
+            new = per_document(joint, begin) / words[which[live], None]
+            moved = np.abs(new - proportion[live]).max(axis=1) >= EM_TOLERANCE
+            proportion[live] = new
+            if not moved.any():
+                break
+            if moved.mean() < 0.8:
+                live = live[moved]
+                at, begin = some(which[live])
+                part, count = like[at], weight[at]
+        at, begin = some(which)
+        fit = np.log((like[at] * np.repeat(proportion, np.diff(begin), axis=0)).sum(axis=1)) * weight[at]
+        return proportion, per_document(fit, begin)
+
+    open_ = np.flatnonzero(np.diff(bounds))
+    full, _ = em(open_, np.full((len(open_), n), 1.0 / n))
+    rank = np.zeros((docs, n), np.int64)
+    rank[open_] = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
     best = np.full(docs, -np.inf)
-    for k in range(1, min(MAX_MIX, n) + 1):
-        allowed = (rank < k) / k
-        proportion, value = (allowed, per_document(np.log((like * allowed[doc]).sum(axis=1)), bounds)) if k == 1 else em(allowed)
-        value = value - PENALTY * (k - 1) * np.log(words[:, 0] + 1)
-        better = value > best
-        best[better] = value[better]
-        out[better] = proportion[better]
-    out[size == 0] = 0
-    total = per_document(most[:, 0] + np.log((like * out[doc]).sum(axis=1)), bounds)
+    for k in range(1, n + 1):  # one more language as long as that pays
+        proportion, value = em(open_, (rank[open_] < k) / k)
+        value = value - PENALTY * (k - 1) * np.log(words[open_] + 1)
+        better = value > best[open_]
+        open_, proportion = open_[better], proportion[better]
+        if not len(open_):
+            break
+        best[open_], out[open_] = value[better], proportion
+    total = per_document((most[:, 0] + np.log(np.maximum((like * out[doc]).sum(axis=1), 1e-300))) * weight, rows)
     letters = np.diff(np.append(starts, len(bucket))[bounds])
     return out, np.divide(total, letters, out=evidence, where=letters > 0) - np.where(letters > 0, model.background, 0.0)
 
@@ -175,7 +225,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", mi
         for batch in batches:
             text = batch.column(position)
             model = shared.value
-            parts = [judged(model, data, offs) for _, _, data, offs in runs(_lower(text), max(1 << 18, (4 << 20) // max(1, len(languages) - 1)))]
+            parts = [judged(model, data, offs) for _, _, data, offs in runs(_lower(text), max(1 << 16, (4 << 20) // max(1, len(languages) - 1)))]
             share = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, len(model.languages)))
             evidence = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
             no_letter = np.array(pc.fill_null(pc.invert(pc.match_substring_regex(text, r"\pL")), True))

@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -54,3 +57,92 @@ def test_chunks_do_not_matter(judged):
     for k, t in enumerate(texts):
         one, o = flat(pa.array([t]))
         assert np.allclose(L.mixtures(model, one, o)[0], whole[k], atol=1e-4)
+
+
+def plain_words(text):
+    """Buckets of the trigrams of each run of letter bytes."""
+    out = []
+    for word in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").lower().encode()):
+        padded = b" " + word + b" "
+        keys = [padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2] for i in range(len(word))]
+        out.append(tuple((k * 2654435761 % 2**32) >> (32 - L.BUCKET_BITS) for k in keys))
+    return out
+
+
+def plain_mixture(words, languages, logs):
+    """(proportions, value) of the best nested set of languages, one word and one language at a time."""
+    tally = Counter(words)
+    like = {w: [sum(logs(b, lang) for b in w) for lang in languages] for w in tally}
+    like = {w: [math.exp(x - max(v)) + 1e-12 for x in v] for w, v in like.items()}
+
+    def em(p):
+        for _ in range(L.EM_STEPS):
+            new = [0.0] * len(p)
+            for w, c in tally.items():
+                total = sum(a * b for a, b in zip(p, like[w], strict=True))
+                for k, (a, b) in enumerate(zip(p, like[w], strict=True)):
+                    new[k] += c * a * b / total
+            new = [x / len(words) for x in new]
+            moved = max(abs(a - b) for a, b in zip(new, p, strict=True))
+            p = new
+            if moved < L.EM_TOLERANCE:
+                break
+        return p, sum(c * math.log(sum(a * b for a, b in zip(p, like[w], strict=True))) for w, c in tally.items())
+
+    n = len(languages)
+    full, _ = em([1 / n] * n)
+    order = sorted(range(n), key=lambda k: -full[k])
+    best = (None, -math.inf)
+    for k in range(1, n + 1):
+        p, value = em([1 / k if j in order[:k] else 0.0 for j in range(n)])
+        value -= L.PENALTY * (k - 1) * math.log(len(words) + 1)
+        if value <= best[1]:
+            break
+        best = (p, value)
+    return best[0]
+
+
+def test_query_against_plain_expectation_maximisation(spark, sf_dir):
+    """The registered query, every document of the smallest table."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and not held(r):
+            counts[r["lang"]].update(b for w in plain_words(r["text"]) for b in w)
+    languages, used = sorted(counts), len({b for c in counts.values() for b in c})
+    total = {lang: c.total() for lang, c in counts.items()}
+    memo = {}
+
+    def logs(b, lang):
+        return memo.setdefault((b, lang), math.log((counts[lang][b] + L.SMOOTHING) / (total[lang] + L.SMOOTHING * used)))
+
+    got = {r["doc_id"]: r for r in L.op8_langid(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        words, mine = plain_words(r["text"]), got[r["doc_id"]]
+        assert mine["held_out"] == held(r)
+        if not words:
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0.0)
+            continue
+        want = plain_mixture(words, languages, logs)
+        top = max(range(len(languages)), key=lambda k: (want[k], -k))
+        assert abs(mine["score"] - want[top]) < 5e-3
+        if sorted(want)[-1] - sorted(want)[-2] > 1e-2:
+            assert mine["lang_pred"] == languages[top]
+
+
+def test_many_languages_and_mixtures_of_many(spark):
+    """Every label is learned, however rare, and a document of five languages is found to mix five."""
+    rng = np.random.default_rng(4)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 800)]
+    own = ["".join(alphabet[8 * k : 8 * k + 8]) for k in range(90)]
+    text = lambda k, n: " ".join("".join(rng.choice(list(own[k]), 4)) for _ in range(n))
+    rows = [(10 * k + j, text(k, 60), f"x{k:02d}") for k in range(90) for j in range(1 if k % 3 else 4)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 90
+    five = " ".join(text(k, 80) for k in (3, 17, 40, 61, 88))
+    asked = [(k, text(k, 30)) for k in range(90)] + [(1000, five), (1001, "a" * 200_000)]
+    got = {r["doc_id"]: r for r in L.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert all(got[k]["lang_pred"] == f"x{k:02d}" for k in range(90))
+    assert set(got[1000]["mixture"]) == {"x03", "x17", "x40", "x61", "x88"} and got[1000]["score"] < 0.25
