@@ -3,8 +3,9 @@
 Token counts are summed by cell (source, language, topic); the fit scales the
 cells until their shares meet the target marginals of all three dimensions, no
 cell beyond its tokens; documents are then drawn with their cell's probability.
-Topics are clusters of hashed content words, found on a bounded sample and
-assigned over whole texts.
+Topics are clusters of hashed content words: spherical k-means whose every step
+is a distributed sum over all documents, in integers, so that neither the order
+of rows nor a task that runs again changes a centre.
 """
 
 from __future__ import annotations
@@ -19,101 +20,167 @@ from pyspark.sql import functions as F
 
 from tessera.storage import bounded_batches, materialize
 
+from .rows import row_key
 from .textbytes import runs
+from .vocabulary import BYTE_BPE, byte_bpe
 
 #: The class of missing values; every other value of a dimension is a class of its own.
 NONE = ""
 #: Up to so many cells their rates are broadcast to the documents; beyond, the join is Catalyst's choice.
 BROADCAST_CELLS = 100_000
-TOPICS, TOPIC_SAMPLE, TOPIC_WORDS, TOPIC_STEPS = 6, 2_000, 1 << 11, 8
+#: Topics, slots that words are hashed to (2**SLOT_BITS), steps of k-means over all documents, and documents among which the first centres are chosen.
+TOPICS, SLOT_BITS, TOPIC_STEPS, FIRST_CENTRES = 6, 11, 8, 2_000
+SLOTS, LONG_WORD = 1 << SLOT_BITS, 5
+#: Whole numbers that stand for 1 in a document's vector and in a centre; products of both stay exact in a double.
+UNIT, CENTRE_UNIT = 4095, 1 << 20
 FIT_STEPS, TOLERANCE = 200, 1e-9
+WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def word_vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(square roots of hashed counts of words of five bytes or more, scaled to length 1; words) of each text."""
+def word_vectors(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The vector of each text: little-endian pairs (slot, weight) of 16 bits, by slot.
+
+    Words of LONG_WORD bytes and more are hashed, whole, to slots; weights are square
+    roots of a slot's count, scaled to a vector of length UNIT and rounded (to 1 at least)."""
     docs = len(offsets) - 1
-    vectors = np.zeros((docs, TOPIC_WORDS), np.float32)
-    if not len(data):
-        return vectors, np.zeros(docs, np.int64)
     word = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     start = np.flatnonzero(word & ~(np.concatenate(([False], word[:-1])) & ~edge[:-1]))
     end = np.flatnonzero(word & ~(np.concatenate((word[1:], [False])) & ~edge[1:])) + 1
-    bounds = np.searchsorted(start, offsets)
-    n_words = np.diff(bounds)
-    # the first five bytes and the last three name a word well enough to tell topics apart
-    long_ = np.flatnonzero(end - start >= 5)
-    key = np.zeros(len(long_), np.uint64)
-    for k in range(5):
-        key = key * np.uint64(257) + data[start[long_] + k]
-    for k in range(1, 4):
-        key = key * np.uint64(257) + data[end[long_] - k]
-    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 11)).astype(np.int64)
-    doc = np.repeat(np.arange(docs), n_words)[long_]
-    flat = np.bincount(doc * TOPIC_WORDS + slot, minlength=docs * TOPIC_WORDS).reshape(docs, TOPIC_WORDS)
-    vectors = np.sqrt(flat, dtype=np.float32)
-    length = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
-    return vectors / np.maximum(length, 1e-9), n_words
-
-
-def topic_centres(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> np.ndarray:
-    """Centres of spherical k-means over about ``sample`` whole documents, those with the smallest hashes of their ids."""
-    n = docs.select(F.count("*")).first()[0]
-    if not n:
-        return np.zeros((1, TOPIC_WORDS), np.float32)
-    draw = F.pmod(F.xxhash64(F.lit("topics"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.filter(draw < sample / n).select(F.col(text_col).cast("string").alias("text"))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offs in runs(batch.column(0)):
-                v = np.round(word_vectors(data, offs)[0] * 255).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in v], pa.binary())], names=["v"])
-
-    rows = sorted(r.as_py() for r in chosen.mapInArrow(vectors, "v binary").toArrow()["v"])
-    points = np.array([np.frombuffer(r, np.uint8) for r in rows], np.float32).reshape(-1, TOPIC_WORDS)
-    points = points[points.any(axis=1)]
-    if not len(points):
-        return np.zeros((1, TOPIC_WORDS), np.float32)
-    points /= np.sqrt((points**2).sum(axis=1, keepdims=True))
+    doc = np.searchsorted(offsets, start, "right") - 1
+    long_ = end - start >= LONG_WORD
+    start, end, doc = start[long_], end[long_], doc[long_]
+    if not len(start):
+        return [b""] * docs
+    size = end - start
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    power = np.full(int(size.max()), WORD_BASE)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    key = np.add.reduceat((data[np.repeat(start, size) + place].astype(np.uint64) + np.uint64(1)) * power[place], begin)
+    slot = ((key ^ (key >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SLOT_BITS)
+    cell, count = np.unique(doc * SLOTS + slot.astype(np.int64), return_counts=True)
+    own = cell // SLOTS
+    bounds = np.searchsorted(own, np.arange(docs + 1))
+    words = np.bincount(own, count, docs)
+    weight = np.maximum(1, np.rint(UNIT * np.sqrt(count / words[own])))
+    pairs = np.stack((cell % SLOTS, weight.astype(np.int64)), axis=1).astype("<u2")
+    return [pairs[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def dense(vectors: list[bytes]) -> np.ndarray:
+    """(texts, SLOTS) doubles of packed vectors."""
+    out = np.zeros((len(vectors), SLOTS))
+    pairs = np.frombuffer(b"".join(vectors), "<u2").reshape(-1, 2).astype(np.int64)
+    out[np.repeat(np.arange(len(vectors)), [len(v) // 4 for v in vectors]), pairs[:, 0]] = pairs[:, 1]
+    return out
+
+
+def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Centre with the largest product for each point, the first of equals; -1 for a point without words."""
+    return np.where(points.any(axis=1), (points @ centres.T).argmax(axis=1), -1)
+
+
+def unit_centres(sums: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Sums of vectors scaled to whole numbers of length CENTRE_UNIT; a centre without points stays."""
+    length = np.sqrt((sums.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+    return np.where(length > 0, np.rint(sums * (CENTRE_UNIT / np.maximum(length, 1e-9))), before)
+
+
+def first_centres(points: np.ndarray, topics: int) -> np.ndarray:
+    """The first point, then points drawn in proportion to the square of what they lack in likeness to the nearest centre."""
+    points, draws = unit_centres(points, points), np.random.default_rng(0)
     centres = points[:1]
-    while len(centres) < topics and len(centres) < len(points):  # each next centre is the point least like the others
-        centres = np.vstack((centres, points[(points @ centres.T).max(axis=1).argmin()]))
-    for _ in range(TOPIC_STEPS):
-        own = (points @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, points)
-        length = np.sqrt((sums**2).sum(axis=1, keepdims=True))
-        centres = np.where(length > 0, sums / np.maximum(length, 1e-9), centres)
-    return centres.astype(np.float32)
-
-
-def with_topics(docs: DataFrame, centres: np.ndarray, *, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``topic`` (``t0`` and on; ``""`` for texts without a
-    word of five bytes) and ``tokens`` (its words), over whole texts; null text has none."""
-    keep = docs.drop("topic", "tokens")
+    while len(centres) < topics:
+        gap = np.cumsum(np.maximum(0, 1 - (points @ centres.T).max(axis=1) / CENTRE_UNIT**2) ** 2)
+        if gap[-1] < 1e-6:
+            break
+        centres = np.vstack((centres, points[np.searchsorted(gap, draws.random() * gap[-1], "right")]))
+    return centres
+
+
+DENSE_ROWS = 1_024
+
+
+def topic_centres(vectors: DataFrame, *, topics: int = TOPICS, steps: int = TOPIC_STEPS, first: int = FIRST_CENTRES) -> np.ndarray:
+    """(topics, SLOTS) centres of k-means over all rows of ``vectors`` (column ``vector``).
+
+    Only the centres it starts from are chosen among ``first`` documents, those with the
+    smallest hashes of their words; every step then sums the vectors of all documents by
+    centre, and ends early when no centre moves."""
+    some = vectors.filter(F.length("vector") > 0).select("vector")
+    start = some.distinct().orderBy(F.xxhash64(F.lit("topics"), F.col("vector")), "vector").limit(first).toArrow()["vector"].to_pylist()
+    if not start:
+        return np.zeros((1, SLOTS))
+    centres = first_centres(dense(start), topics)
+    for _ in range(steps):
+        shared = vectors.sparkSession.sparkContext.broadcast(centres)  # topics x SLOTS
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(shared.value.shape)
+            for batch in batches:
+                column = batch.column(0).to_pylist()
+                for a in range(0, len(column), DENSE_ROWS):
+                    points = dense(column[a : a + DENSE_ROWS])
+                    near = nearest(points, shared.value)
+                    own += (near == np.arange(len(own))[:, None]).astype(np.float64) @ points
+            flat = own.ravel()
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at].astype(np.int64))], names=["at", "n"])
+
+        rows = some.mapInArrow(sums, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        total = np.zeros(centres.size)
+        total[rows["at"].to_numpy()] = rows["n"].to_numpy()
+        moved = unit_centres(total.reshape(centres.shape), centres)
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def with_vectors(docs: DataFrame, *, text_col: str = "text", vocabulary: str = BYTE_BPE) -> DataFrame:
+    """``docs`` without its text, with ``vector`` (see :func:`word_vectors`) and ``tokens``
+    (its ids in ``vocabulary``), over whole texts; null text has neither words nor tokens."""
+    keep = docs.drop("vector", "tokens")
     position = keep.columns.index(text_col)
     others = [c for c in keep.columns if c != text_col]
-    shared = docs.sparkSession.sparkContext.broadcast(centres)  # topics x TOPIC_WORDS
-    schema = keep.select(*others, F.lit("").alias("topic"), F.lit(0).cast("long").alias("tokens")).schema
+    schema = keep.select(*others, F.lit("").cast("binary").alias("vector"), F.lit(0).cast("long").alias("tokens")).schema
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(vocabulary)
         for batch in batches:
-            topic, tokens = [], []
-            for _, _, data, offs in runs(batch.column(position), 1 << 20):
-                vectors, n = word_vectors(data, offs)
-                like = vectors @ shared.value.T
-                topic += [f"t{k}" if some else NONE for k, some in zip(like.argmax(axis=1).tolist(), vectors.any(axis=1).tolist(), strict=True)]
-                tokens += n.tolist()
+            text = batch.column(position)
+            vectors = [v for _, _, data, offs in runs(text) for v in word_vectors(data, offs)]
+            tokens = [len(bpe.ids(t)) for t in text.to_pylist()]
             columns = [c for i, c in enumerate(batch.columns) if i != position]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(topic, pa.string()), pa.array(tokens, pa.int64())], names=[*others, "topic", "tokens"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(vectors, pa.binary()), pa.array(tokens, pa.int64())], names=[*others, "vector", "tokens"])
 
     return keep.mapInArrow(run, schema)
 
 
+def with_topics(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``vectors`` with ``topic`` (``t0`` and on; ``""`` for texts without a long word) in place of ``vector``."""
+    keep = vectors.drop("topic")
+    position = keep.columns.index("vector")
+    others = [c for c in keep.columns if c != "vector"]
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)  # topics x SLOTS
+    names = np.array([*[f"t{k}" for k in range(len(centres))], NONE], dtype=object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(position).to_pylist()
+            near = [nearest(dense(column[a : a + DENSE_ROWS]), shared.value) for a in range(0, len(column), DENSE_ROWS)]
+            topic = pa.array(names[np.concatenate(near)] if near else [], pa.string())
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != position], topic], names=[*others, "topic"])
+
+    return keep.mapInArrow(run, keep.select(*others, F.lit("").alias("topic")).schema)
+
+
 @dataclass(frozen=True)
 class Fit:
     """Kept tokens of each cell, and how far the marginals are from their targets (largest share missed)."""
@@ -168,12 +235,15 @@ def tempered(tokens: dict[str, float], power: float) -> dict[str, float]:
 
 def mixing_rates(rows: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep_share: float = 0.5) -> DataFrame:
     """``rows`` (``source, lang, topic, tokens``) with their classes, the calibrated
-    ``probability`` of their cell and ``weight``, the factor that restores
-    expected token counts by cell (0 for cells that get nothing).
-
-    ``targets`` gives shares by dimension and class; a dimension without is
-    tempered by ``power``.  Every source and language is a class; the driver fits
-    the cells (source, language, topic) that occur, as Arrow and NumPy columns."""
+    ``probability`` of their cell, ``weight``, the factor that restores expected token
+    counts by cell (0 for cells that get nothing), and ``missed``, the largest share of
+    the kept tokens by which a class stays off what it can get.
+
+    ``targets`` gives shares by dimension and class, in any scale; a dimension without is
+    tempered by ``power``.  Classes that targets do not name get nothing; of those they
+    name, classes that do not occur leave their share to the others.  Every source and
+    language is a class (null: ``""``); the driver fits the cells (source, language, topic)
+    that occur, as Arrow and NumPy columns."""
     spark = rows.sparkSession
     dims = ["source", "lang", "topic"]
     classes = [f"{d}_class" for d in dims]
@@ -195,28 +265,39 @@ def mixing_rates(rows: DataFrame, *, targets: dict[str, dict[str, float]] | None
     out = rows.join(F.broadcast(rates) if len(rate) <= BROADCAST_CELLS else rates, classes, "left")
     # a document without a token weighs nothing in any cell: it goes with the share that is kept
     out = out.withColumn("probability", F.when(F.col("tokens") > 0, F.col("probability")).otherwise(F.lit(float(keep_share))))
-    return out.withColumn("weight", F.when(F.col("probability") > 0, 1 / F.col("probability")).otherwise(0.0))
+    return out.withColumn("weight", F.when(F.col("probability") > 0, 1 / F.col("probability")).otherwise(0.0)).withColumn("missed", F.lit(fit.missed))
 
 
-def drawn(probability: Column, *, id_col: str = "doc_id", seed: int = 0) -> Column:
-    """Whether a document is drawn: a hash of seed and id, uniform in [0, 1), below its probability."""
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / float(1 << 53)
+def drawn(probability: Column, name: Column, *, seed: int = 0) -> Column:
+    """Whether a document is drawn: a hash of seed and name, uniform in [0, 1), below its probability."""
+    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), name), 11) / float(1 << 53)
     return uniform < probability
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep_share: float = 0.5, seed: int = 0) -> DataFrame:
-    """The drawn documents: ``doc_id, source, lang, topic, tokens, probability, weight``.
+def rated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep_share: float = 0.5, seed: int = 0, vocabulary: str = BYTE_BPE) -> DataFrame:
+    """A row for each document: ``row`` (:func:`row_key`), ``doc_id, source, lang, topic, tokens, probability, weight, missed, kept``.
 
-    ``docs`` needs ``source`` and ``lang``.  Null and empty sources and languages are
-    a class of their own; null or blank texts have no tokens and are drawn
-    at the share that is kept.  Rows that repeat an id are drawn together.
-    An empty table gives an empty one."""
-    bounded_batches(docs.sparkSession)
-    centres = topic_centres(docs, id_col=id_col, text_col=text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
-    rows = materialize(with_topics(rows, centres), "topics")
-    rated = mixing_rates(rows, targets=targets, power=power, keep_share=keep_share)
-    return rated.filter(drawn(F.col("probability"), seed=seed)).select("doc_id", "source", "lang", "topic", "tokens", "probability", "weight")
+    ``docs`` needs ``source`` and ``lang``.  Null and empty sources and languages are a class of
+    their own.  Null and empty texts have no tokens and are drawn at the share that is kept.
+    Rows that repeat an id are drawn together, rows without one by all their columns."""
+    text = [F.col(text_col).cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")]
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(docs).alias("row"), *text)
+    vectors = materialize(with_vectors(rows, vocabulary=vocabulary), "vectors")
+    topics = with_topics(vectors, topic_centres(vectors))
+    rates = mixing_rates(topics, targets=targets, power=power, keep_share=keep_share)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(" ", F.lit("row"), "row.a", "row.b"))
+    return rates.select("row", "doc_id", "source", "lang", "topic", "tokens", "probability", "weight", "missed", drawn(F.col("probability"), name, seed=seed).alias("kept"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The drawn documents of :func:`rated`: ``doc_id, source, lang, topic, tokens, probability, weight, missed``.  An empty table gives an empty one."""
+    return rated(docs, **options).filter("kept").drop("row", "kept")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`rated` draws, as they are."""
+    kept = rated(docs, **options).filter("kept").select(F.col("row").alias("_row")).distinct()
+    return docs.withColumn("_row", row_key(docs)).join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

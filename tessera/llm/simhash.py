@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tessera.operators.graph import connected_components
 from tessera.storage import bounded_batches, materialize, remove
 
+from .rows import row_key
 from .textbytes import per_document, runs
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -473,9 +474,7 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     the empty one) are copies.  Rows that agree in every column are one; rows that share an id but
     differ elsewhere, or have none, are rows of their own.  Columns may have any names."""
     spark = docs.sparkSession
-    plain = [f.name for f in docs.schema.fields if "map" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
-    columns = [F.col(f"`{c}`") for c in plain]
-    row = F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+    row = row_key(docs)
     keyed = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
     prints = materialize(with_proposals(keyed, shingle=proposal, words=words), "proposals")
     repeated = not prints.groupBy("row").count().filter("count > 1").isEmpty()
