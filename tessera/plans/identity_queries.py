@@ -118,10 +118,10 @@ def support_summary(spark, sf_dir):
 
 @query(
     "agreement_sources",
-    "WITH s AS (SELECT p_brand AS strain, p_size % 3 AS source, p_name AS seq FROM part WHERE p_partkey <= 300) SELECT x.strain, x.source AS source_a, y.source AS source_b, round(max(1 - levenshtein(x.seq, y.seq) / greatest(length(x.seq), length(y.seq))), 6) AS identity FROM s x JOIN s y ON x.strain = y.strain AND x.source < y.source GROUP BY 1, 2, 3",
+    "WITH s AS (SELECT p_brand AS strain, p_size % 3 AS source, p_name AS seq FROM part) SELECT x.strain, x.source AS source_a, y.source AS source_b, round(max(1 - levenshtein(x.seq, y.seq) / greatest(length(x.seq), length(y.seq))), 6) AS identity FROM s x JOIN s y ON x.strain = y.strain AND x.source < y.source GROUP BY 1, 2, 3",
 )
 def agreement_sources(spark, sf_dir):
-    s = table(spark, sf_dir, "part").filter("p_partkey <= 300").select(F.col("p_brand").alias("strain"), (F.col("p_size") % 3).alias("source"), F.col("p_name").alias("seq"))
+    s = table(spark, sf_dir, "part").select(F.col("p_brand").alias("strain"), (F.col("p_size") % 3).alias("source"), F.col("p_name").alias("seq"))
     return I.agreement(s).withColumn("identity", r6("identity"))
 
 
@@ -171,11 +171,11 @@ def min_pairwise_distance(spark, sf_dir):
     return I.distances(n, n).filter("query < ref").agg(F.min("bp").alias("min_distance"))
 
 
-@query("revcomp_translate", "SELECT doc_id, reverse(translate(left(text, 40), 'ACGTacgt', 'TGCAtgca')) AS rc, length(regexp_replace(left(text, 200), '[^A-Za-z]', '', 'g')) AS letters FROM documents")
+@query("revcomp_translate", "SELECT doc_id, reverse(translate(text, 'ACGTacgt', 'TGCAtgca')) AS rc, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM documents")
 def revcomp_translate(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    rc = F.reverse(F.translate(F.substring("text", 1, 40), "ACGTacgt", "TGCAtgca"))
-    return d.select("doc_id", rc.alias("rc"), F.length(F.regexp_replace(F.substring("text", 1, 200), "[^A-Za-z]", "")).cast("long").alias("letters"))
+    rc = F.reverse(F.translate("text", "ACGTacgt", "TGCAtgca"))
+    return d.select("doc_id", rc.alias("rc"), F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("long").alias("letters"))
 
 
 @query(

@@ -50,10 +50,10 @@ def univariate_screen(spark, sf_dir):
     return s.select("feature", "n", r6("pearson_r").alias("pearson_r"), r6("sign_accuracy").alias("sign_accuracy"))
 
 
-@query("transform_support", f"WITH {CELLS} SELECT 'identity' AS transform, count(*) AS n, count(*) AS supported FROM cells WHERE plate = 0 AND row BETWEEN 2 AND 13 AND col BETWEEN 2 AND 21")
+@query("transform_support", f"WITH {CELLS} SELECT plate, 'identity' AS transform, count(*) AS n, count(*) AS supported FROM cells WHERE row BETWEEN 2 AND 13 AND col BETWEEN 2 AND 21 GROUP BY 1")
 def transform_support(spark, sf_dir):
-    cells = _cells(spark, sf_dir).filter("plate = 0").select("row", "col", F.col("p_brand").alias("label"))
-    return P.transform_support(cells, cells, P.candidate_transforms(spark)).filter("transform = 'identity'").select("transform", "n", "supported")
+    cells = _cells(spark, sf_dir).select("plate", "row", "col", F.col("p_brand").alias("label"))
+    return P.transform_support(cells, cells, P.candidate_transforms(spark), by=["plate"]).filter("transform = 'identity'").select("plate", "transform", "n", "supported")
 
 
 @query("adjacency_enrichment")
@@ -238,23 +238,33 @@ def echo_volumes(spark, sf_dir):
     return design.normalised_volumes(od, blank=0.05, ref_quantile=0.5, floor_nl=50, cap_nl=400).select("strain", F.col("shot_nL").alias("shot_nl"))
 
 
-@query("pair_design_blocks", "SELECT x.l_suppkey AS a, y.l_suppkey AS b, round(x.q - y.q, 6) AS diff_q, round(x.d - y.d, 6) AS diff_d, round(x.q + y.q, 6) AS sum_q, round(x.d + y.d, 6) AS sum_d FROM (SELECT l_suppkey, avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1) x JOIN (SELECT l_suppkey, avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1) y ON x.l_suppkey < y.l_suppkey")
+@query(
+    "pair_design_blocks",
+    "WITH z AS (SELECT l_suppkey AS s, avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem GROUP BY 1), p AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey) SELECT a, b, round(x.q - y.q, 6) AS diff_q, round(x.d - y.d, 6) AS diff_d, round(x.q + y.q, 6) AS sum_q, round(x.d + y.d, 6) AS sum_d FROM p JOIN z x ON x.s = a JOIN z y ON y.s = b",
+)
 def pair_design_blocks(spark, sf_dir):
-    z = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 20").groupBy("l_suppkey").agg(F.array(F.avg("l_quantity"), F.avg("l_discount")).alias("z"))
-    both = z.select(F.col("l_suppkey").alias("a"), F.col("z").alias("za")).join(F.broadcast(z.select(F.col("l_suppkey").alias("b"), F.col("z").alias("zb"))), F.col("a") < F.col("b"))
+    from .scoring_queries import _order_pairs
+
+    z = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array(F.avg("l_quantity"), F.avg("l_discount")).alias("z"))
+    both = _order_pairs(spark, sf_dir).join(z.select(F.col("l_suppkey").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("l_suppkey").alias("b"), F.col("z").alias("zb")), "b")
     x = features.pair_design(F.col("za"), F.col("zb"), symmetric=False)
     return both.withColumn("x", x).select("a", "b", *[r6(F.col("x")[k]).alias(n) for k, n in enumerate(("diff_q", "diff_d", "sum_q", "sum_d"))])
 
 
-@query("stream_trend")
+@query(
+    "stream_trend",
+    "SELECT date_trunc('hour', ts) AS start, count(*) AS n, round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END), 6) AS share_good, round(avg(value), 6) AS mean_value FROM events GROUP BY 1",
+)
 def stream_trend(spark, sf_dir):
-    """The hourly trend as a stream that runs once over the events and stops."""
+    """The hourly trend as a stream that runs once over the events and stops.
+
+    Files of a finished table come in no order of time, so no event is too late."""
     from tessera.storage import shared_path
     from tessera.streaming import run_trend
 
     source = table(spark, sf_dir, "events")
     events = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    trend = run_trend.hourly_trend(events, good=F.col("event_type") == "click")
+    trend = run_trend.hourly_trend(events, good=F.col("event_type") == "click", late="100000 days")
     path = shared_path(spark, "trend")
-    run_trend.run_to_table(trend, path, shared_path(spark, "trend-state"))
-    return spark.read.schema(trend.schema).parquet(path)
+    run_trend.run_to_latest(trend, path, shared_path(spark, "trend-state"))
+    return run_trend.latest(spark, path, ["start"]).select("start", "n", r6("share_good").alias("share_good"), r6("mean_value").alias("mean_value"))

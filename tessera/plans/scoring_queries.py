@@ -134,43 +134,41 @@ def win_from_pooled(spark, sf_dir):
     return p.select("strain_a", "strain_b", scoring.outcome(F.col("n_reads_a") / (F.col("n_reads_a") + F.col("n_reads_b"))).alias("outcome"))
 
 
-def _month_pairs(spark, sf_dir):
-    """Supplier pairs of urgent orders in one month: a sparse graph of several components."""
-    orders = table(spark, sf_dir, "orders").filter((F.col("o_orderpriority") == "1-URGENT") & (F.date_trunc("month", "o_orderdate") == F.lit("1995-03-01").cast("timestamp"))).select(F.col("o_orderkey").alias("l_orderkey"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(orders, "l_orderkey", "left_semi").distinct()
+def _order_pairs(spark, sf_dir):
+    """Supplier pairs that share an order."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     other = lines.select("l_orderkey", F.col("l_suppkey").alias("b"))
     return lines.select("l_orderkey", F.col("l_suppkey").alias("a")).join(other, "l_orderkey").filter("a < b").select("a", "b").distinct()
 
 
-MONTH_COMPONENTS = """RECURSIVE e AS (
+ORDER_COMPONENTS = """RECURSIVE e AS (
   SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey
-  JOIN orders ON o_orderkey = x.l_orderkey WHERE o_orderpriority = '1-URGENT' AND date_trunc('month', o_orderdate) = TIMESTAMP '1995-03-01'
 ), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS v, a AS r FROM both_ways UNION SELECT reach.v, b FROM reach JOIN both_ways ON reach.r = both_ways.a),
 comp AS (SELECT v AS vertex, min(r) AS component FROM reach GROUP BY 1)"""
 
 
-@query("components", f"WITH {MONTH_COMPONENTS} SELECT vertex, component FROM comp")
+@query("components", f"WITH {ORDER_COMPONENTS} SELECT vertex, component FROM comp")
 def components(spark, sf_dir):
-    return connected_components(_month_pairs(spark, sf_dir), "a", "b")
+    return connected_components(_order_pairs(spark, sf_dir), "a", "b")
 
 
 @query(
     "component_sizes",
-    f"WITH {MONTH_COMPONENTS} SELECT component, count(*) AS n_members, CAST(row_number() OVER (ORDER BY count(*) DESC, component) AS INTEGER) AS component_rank FROM comp GROUP BY 1",
+    f"WITH {ORDER_COMPONENTS} SELECT component, count(*) AS n_members, CAST(row_number() OVER (ORDER BY count(*) DESC, component) AS INTEGER) AS component_rank FROM comp GROUP BY 1",
 )
 def component_sizes(spark, sf_dir):
     from pyspark.sql import Window
 
-    sizes = connected_components(_month_pairs(spark, sf_dir), "a", "b").groupBy("component").agg(F.count("*").alias("n_members"))
+    sizes = connected_components(_order_pairs(spark, sf_dir), "a", "b").groupBy("component").agg(F.count("*").alias("n_members"))
     return sizes.withColumn("component_rank", F.row_number().over(Window.orderBy(F.desc("n_members"), "component")))
 
 
 @query(
     "main_component_pairs",
-    f"WITH {MONTH_COMPONENTS}, main AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) SELECT a AS strain_a, b AS strain_b FROM e JOIN comp ON a = vertex JOIN main USING (component)",
+    f"WITH {ORDER_COMPONENTS}, main AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) SELECT a AS strain_a, b AS strain_b FROM e JOIN comp ON a = vertex JOIN main USING (component)",
 )
 def main_component_pairs(spark, sf_dir):
-    edges = _month_pairs(spark, sf_dir).toDF("strain_a", "strain_b")
+    edges = _order_pairs(spark, sf_dir).toDF("strain_a", "strain_b")
     return scoring.in_component(edges, scoring.main_component(edges))
 
 

@@ -169,9 +169,9 @@ def canonical_pairs(spark, sf_dir):
 # ---- folds and leakage --------------------------------------------------------------------
 
 
-def _pairs(spark, sf_dir, orders="l_orderkey <= 2000"):
-    """Supplier pairs of the orders that the SQL below names; ``orders="true"`` takes all."""
-    lines = table(spark, sf_dir, "lineitem").filter(orders)
+def _pairs(spark, sf_dir):
+    """Supplier pairs that share an order."""
+    lines = table(spark, sf_dir, "lineitem")
     a = lines.select("l_orderkey", F.col("l_suppkey").alias("strain_a"))
     b = lines.select("l_orderkey", F.col("l_suppkey").alias("strain_b"))
     return a.join(b, "l_orderkey").filter("strain_a < strain_b").select("strain_a", "strain_b").distinct()
@@ -182,7 +182,7 @@ def _folds(pairs_):
     return units.select(F.lit(0).alias("rep"), "strain", (F.col("strain") % 5).cast("int").alias("fold"))
 
 
-FOLDS = """pr AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey WHERE x.l_orderkey <= 2000),
+FOLDS = """pr AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey),
 f AS (SELECT unnest([0, 1, 2, 3, 4]) AS fold), ro AS (SELECT fold, a, b, CASE WHEN a % 5 = fold AND b % 5 = fold THEN 'test' WHEN a % 5 <> fold AND b % 5 <> fold THEN 'train' END AS role FROM pr, f),
 roles AS (SELECT * FROM ro WHERE role IS NOT NULL AND fold IN (SELECT fold FROM ro WHERE role = 'test' GROUP BY 1 HAVING count(*) >= 5))"""
 
@@ -308,7 +308,7 @@ def unit_folds(spark, sf_dir):
 
 @query("pair_folds")
 def pair_folds(spark, sf_dir):
-    return folds.pair_folds(_pairs(spark, sf_dir, "true"), 5)
+    return folds.pair_folds(_pairs(spark, sf_dir), 5)
 
 
 @query("replicate_direction")

@@ -219,17 +219,16 @@ def multiset_difference(spark, sf_dir):
 
 @query(
     "jaccard_features",
-    """WITH f AS (SELECT DISTINCT o_custkey AS s, p_brand AS g FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey <= 60), n AS (SELECT s, count(*) AS n FROM f GROUP BY 1),
+    """WITH f AS (SELECT DISTINCT l_suppkey AS s, o_custkey AS g FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT s, count(*) AS n FROM f GROUP BY 1),
 p AS (SELECT x.s AS a, y.s AS b, count(*) AS shared FROM f x JOIN f y ON x.g = y.g AND x.s < y.s GROUP BY 1, 2)
 SELECT a, b, shared, na.n - shared AS only_a, nb.n - shared AS only_b, round(shared / (na.n + nb.n - shared), 6) AS jaccard FROM p JOIN n na ON na.s = a JOIN n nb ON nb.s = b""",
 )
 def jaccard_features(spark, sf_dir):
     from tessera.operators.features import shared_features
 
-    o = table(spark, sf_dir, "orders").filter("o_custkey <= 60").select(F.col("o_custkey").alias("strain"), F.col("o_orderkey").alias("l_orderkey"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"))
-    f = o.join(lines, "l_orderkey").join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("feature")), "p_partkey")
-    return shared_features(f).select("a", "b", "shared", "only_a", "only_b", r6("jaccard").alias("jaccard"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("feature"), F.col("o_orderkey").alias("l_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("strain"))
+    return shared_features(o.join(lines, "l_orderkey").select("strain", "feature")).select("a", "b", "shared", "only_a", "only_b", r6("jaccard").alias("jaccard"))
 
 
 @query(
@@ -249,7 +248,7 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("sampled_files", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem WHERE l_suppkey % 4 = 1) WHERE k <= 25")
+@query("sampled_files", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k <= 25")
 def sampled_files(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_suppkey % 4 = 1").select("l_suppkey", "l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
     return W.best(lines, ["l_suppkey"], ["l_orderkey", "l_linenumber"], 25).drop("l_suppkey")

@@ -30,3 +30,23 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     """Process what is there and stop; a restart goes on from the checkpoint."""
     query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def run_to_latest(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what is there and stop, keeping windows that the watermark has not closed, too.
+
+    Every micro-batch writes the rows that it changed to a folder of its own, so a
+    batch that runs again replaces itself; :func:`latest` reads the last state of each."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The row of the last batch for each key of a table that :func:`run_to_latest` wrote."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_last"))
+    return last.select(*keys, *[F.col("_last")[c].alias(c) for c in others])
