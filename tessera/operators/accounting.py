@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.draws import uniform
+
 from .windows import left_closed_bin, right_closed_bin
 
 
@@ -121,11 +123,11 @@ def nested_sets(scored: DataFrame, score: str, limits: list[float]) -> DataFrame
 
 def downsampled(reads: DataFrame, fraction: float, *, key: str = "read_id", seed: int = 0) -> DataFrame:
     """Reads whose seeded hash falls below the fraction: the same ones on any partitioning, larger samples holding smaller ones."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key).cast("string")), 11) / float(1 << 53)
+    u = uniform(seed, key)
     return reads.filter(u < fraction)
 
 
 def stratified_sample(df: DataFrame, stratum: str, per: int, *, key: str, seed: int = 0) -> DataFrame:
     """``per`` rows of each stratum by seeded hash order."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key)
+    w = Window.partitionBy(stratum).orderBy(uniform(seed, key), key)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per).drop("_n")

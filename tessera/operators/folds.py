@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.draws import uniform
+
 #: A fold of pairs needs so many test pairs to be evaluated (fixed value).
 MIN_TEST_PAIRS = 5
 
 
 def unit_folds(units: DataFrame, unit: str, n_splits: int, *, seed: int = 0, repeats: int = 1) -> DataFrame:
     """(rep, unit, fold): units dealt evenly to folds in the order of a seeded hash, anew for each repeat."""
-    draw = F.xxhash64(F.lit(seed), "rep", F.col(unit).cast("string"))
+    draw = uniform(seed, "rep", unit)
     every = units.select(unit).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     place = F.row_number().over(Window.partitionBy("rep").orderBy(draw, unit))
     return every.select("rep", unit, ((place - 1) % n_splits).alias("fold"))
@@ -34,8 +36,8 @@ def strain_folds(pairs: DataFrame, folds: DataFrame, *, unit: str = "strain", a:
 
 def pair_folds(pairs: DataFrame, n_splits: int, *, seed: int = 0, a: str = "strain_a", b: str = "strain_b") -> DataFrame:
     """(strain_a, strain_b, fold): unordered pairs dealt to folds, so both orientations share one."""
-    key = F.concat_ws("|", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
-    return pairs.select(a, b).withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n_splits)).cast("int"))
+    draw = uniform(seed, F.least(a, b), F.greatest(a, b))
+    return pairs.select(a, b).withColumn("fold", F.floor(draw * n_splits).cast("int"))
 
 
 def purge(roles: DataFrame, organism: DataFrame, *, a: str = "strain_a", b: str = "strain_b") -> DataFrame:

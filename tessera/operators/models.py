@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.draws import uniform
+
 # ---- plain numerics -----------------------------------------------------------------------
 
 
@@ -338,16 +340,23 @@ def fold_scores(predictions: DataFrame, *, symmetric: bool = False, by: tuple[st
     return score(predictions, "y_true", "y_pred", list(by)).join(rho, list(by))
 
 
+#: Strains of one experiment that a fit takes (its matrix of doubles then has 200 MB).
+MAX_STRAINS = 5_000
+
+
 def fit_bradley_terry(pooled: DataFrame) -> DataFrame:
     """(strain, bt_strength, bt_se, bt_rank, pseudo_r2, deviance, null_deviance, df_resid) of the pairs of one component.
 
     ``pooled``: strain_a, strain_b, n_reads_a, n_reads_b, a row for each pair: the strains of one
-    experiment, so one task fits them.  The smallest strain is the baseline; logs are natural."""
+    experiment, so one task fits them; more than MAX_STRAINS are an error, as its matrix has a
+    row and a column for each.  The smallest strain is the baseline; logs are natural."""
     kind = dict(pooled.dtypes)["strain_a"]
     schema = f"strain {kind}, bt_strength double, bt_se double, bt_rank int, pseudo_r2 double, deviance double, null_deviance double, df_resid int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         strains = np.unique(np.concatenate((pdf["strain_a"], pdf["strain_b"])))
+        if len(strains) > MAX_STRAINS:
+            raise ValueError(f"{len(strains)} strains in one fit; at most {MAX_STRAINS}")
         fit = bradley_terry(np.searchsorted(strains, pdf["strain_a"]), np.searchsorted(strains, pdf["strain_b"]), pdf["n_reads_a"].to_numpy(float), pdf["n_reads_b"].to_numpy(float), len(strains))
         out = pd.DataFrame({"strain": strains, "bt_strength": fit["strength"], "bt_se": fit["se"]}).sort_values(["bt_strength", "strain"], ascending=[False, True])
         out["bt_rank"] = np.arange(1, len(out) + 1)
@@ -498,7 +507,7 @@ def learning_curve(pairs: DataFrame, *, sizes: list[int], unit: str = "strain",
     from pyspark.sql import Window
 
     strains = pairs.select(F.explode(F.array("strain_a", "strain_b")).alias("s")).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", F.col("s").cast("string")), "s"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(uniform(seed, "rep", "s"), "s"))
     placed = strains.withColumn("_n", place)
     both = pairs.join(placed.select(F.col("s").alias("strain_a"), "rep", F.col("_n").alias("_na")), "strain_a").join(placed.select(F.col("s").alias("strain_b"), "rep", F.col("_n").alias("_nb")), ["strain_b", "rep"])
     listed = F.array(*map(F.lit, sizes))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.draws import uniform
+
 
 def pair_key(a: Column, b: Column) -> Column:
     """The unordered key of a pair: a struct of its smaller and larger member."""
@@ -44,7 +46,7 @@ def within_pair_replicates(wells: DataFrame, *, id_col: str = "sample_id", value
     regression of y on x has no preferred direction and reruns agree."""
     left = wells.select("strain_a", "strain_b", F.col(id_col).alias("_i"), F.col(value).alias("_x"))
     right = wells.select("strain_a", "strain_b", F.col(id_col).alias("_j"), F.col(value).alias("_y"))
-    flip = F.pmod(F.xxhash64(F.lit(seed), "_i", "_j"), F.lit(2)) == 1
+    flip = uniform(seed, "_i", "_j") < 0.5
     both = left.join(right, ["strain_a", "strain_b"]).filter(F.col("_i") < F.col("_j"))
     return both.select("strain_a", "strain_b", F.when(flip, F.col("_y")).otherwise(F.col("_x")).alias("x"), F.when(flip, F.col("_x")).otherwise(F.col("_y")).alias("y"))
 

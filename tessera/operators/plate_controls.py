@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.draws import uniform
+
 from .stats import correlation, permuted_labels, spearman
 
 # wells are (row, col) from 0 within a plate of rows x cols
@@ -100,7 +102,7 @@ def locality(events: DataFrame, homes: DataFrame, wells: DataFrame, *, draws: in
     n = numbered.count()
     keyed = events.withColumn("_e", F.concat_ws(":", "plate", "row", "col", "label"))
     drawn = keyed.select("plate", "label", "_e", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    drawn = drawn.withColumn("_w", F.pmod(F.xxhash64(F.lit(seed), "draw", "_e"), F.lit(n)).cast("int")).join(numbered, "_w").select("plate", "label", "_e", "draw", "row", "col")
+    drawn = drawn.withColumn("_w", F.floor(uniform(seed, "draw", "_e") * n).cast("int")).join(numbered, "_w").select("plate", "label", "_e", "draw", "row", "col")
     every = keyed.select("plate", "label", "_e", F.lit(0).alias("draw"), "row", "col").unionByName(drawn)
     near = every.join(homes.select("plate", "label", F.col("row").alias("_r"), F.col("col").alias("_c")), ["plate", "label"])
     far = F.sqrt((F.col("row") - F.col("_r")) * (F.col("row") - F.col("_r")) + (F.col("col") - F.col("_c")) * (F.col("col") - F.col("_c")))

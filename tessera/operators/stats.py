@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tessera.functions.draws import uniform
+
 from .windows import average_rank, with_q_values
 
 
@@ -234,12 +236,9 @@ def bootstrap(df: DataFrame, *, unit: str, replicates: int, seed: int = 0) -> Da
 
     Weights come from a hash of replicate and unit, so they are the same on any
     partitioning; aggregates have to be weighted by them."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", F.col(unit).cast("string")), F.lit(1 << 53)) / float(1 << 53)
-    cumulative = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-    weight = F.lit(12)
-    for k in reversed(range(12)):
-        weight = F.when(u < float(cumulative[k]), k).otherwise(weight)
-    return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("weight", weight).filter("weight > 0")
+    below = [(F.col("_u") >= float(c)).cast("int") for c in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])]
+    every = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_u", uniform(seed, "replicate", unit))
+    return every.withColumn("weight", sum(below[1:], below[0])).drop("_u").filter("weight > 0")
 
 
 def percentile_interval(df: DataFrame, value: str, by: list[str], level: float = 0.95) -> DataFrame:
@@ -249,7 +248,7 @@ def percentile_interval(df: DataFrame, value: str, by: list[str], level: float =
 
 def coin_flips(edges: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """Null outcomes: every edge once for each replicate, its winner drawn by a hash of both."""
-    flip = F.pmod(F.xxhash64(F.lit(seed), "replicate", "strain_a", "strain_b"), F.lit(2)) == 0
+    flip = uniform(seed, "replicate", "strain_a", "strain_b") < 0.5
     return edges.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("a_wins", flip)
 
 
@@ -262,7 +261,7 @@ def permutation_p(nulls: DataFrame, value: str, observed: float, *, upper: bool
 
 def permuted_labels(df: DataFrame, *, key: str, label: str, replicates: int, seed: int = 0, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """(replicate, by, key, label): labels dealt anew among the keys of each group of ``by``, for each replicate, by hash order."""
-    draw = F.xxhash64(F.lit(seed), "replicate", F.col(key).cast("string"))
+    draw = uniform(seed, "replicate", key)
     every = df.select(*by, key, label).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     place = F.row_number().over(Window.partitionBy("replicate", *by).orderBy(key))
     dealt = F.row_number().over(Window.partitionBy("replicate", *by).orderBy(draw, key))

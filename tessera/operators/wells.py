@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import consensus as C
+from tessera.functions.draws import uniform
 
 from .quality import consensus_status
 
@@ -20,7 +21,7 @@ LEN_LO, LEN_HI, READ_CAP = 1300, 1600, 800
 
 def capped_reads(reads: DataFrame, *, by: str = "sample_id", cap: int = READ_CAP, low: int = LEN_LO, high: int = LEN_HI, seed: int = 0) -> DataFrame:
     """Reads within the length window, at most ``cap`` of each well, chosen by a seeded hash of their ids."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), by, "read_id"), "read_id")
+    w = Window.partitionBy(by).orderBy(uniform(seed, by, "read_id"), "read_id")
     inside = reads.filter(F.length("seq").between(low, high))
     return inside.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).drop("_n")
 

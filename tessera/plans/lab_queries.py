@@ -6,11 +6,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions.draws import uniform_sql
 from tessera.operators import design, features, folds, genomes, models, scoring, wells
 from tessera.operators import plate_controls as P
 
 from .registry import query
-from .tables import r6, supplier_wells, table
+from .tables import SUPPLIER_WELLS, r6, supplier_wells, table
 
 
 def _cells(spark, sf_dir):
@@ -56,21 +57,50 @@ def transform_support(spark, sf_dir):
     return P.transform_support(cells, cells, P.candidate_transforms(spark), by=["plate"]).filter("transform = 'identity'").select("plate", "transform", "n", "supported")
 
 
-@query("adjacency_enrichment")
+@query(
+    "adjacency_enrichment",
+    f"""WITH {CELLS}, c AS (SELECT *, concat_ws(':', plate, row, col) AS id FROM cells), e AS (SELECT r, id, p_brand FROM c, range(1, 31) t(r)), l AS (SELECT r, p_brand, row_number() OVER (PARTITION BY r ORDER BY id) AS n FROM e),
+d AS (SELECT r, id, row_number() OVER (PARTITION BY r ORDER BY {uniform_sql(0, "r", "id")}, id) AS n FROM e), x AS (SELECT r, id, p_brand FROM d JOIN l USING (r, n) UNION ALL SELECT 0, id, p_brand FROM c),
+near AS (SELECT a.id AS i, b.id AS j FROM c a JOIN c b ON a.plate = b.plate AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 AND (a.row < b.row OR (a.row = b.row AND a.col < b.col))),
+k AS (SELECT a.r, count(*) FILTER (a.p_brand = b.p_brand) AS n FROM near JOIN x a ON a.id = i JOIN x b ON b.id = j AND b.r = a.r GROUP BY 1), s AS (SELECT max(n) FILTER (r = 0) AS o, avg(n) FILTER (r > 0) AS m, stddev_pop(n) FILTER (r > 0) AS d FROM k)
+SELECT o AS observed, round(m, 6) AS null_mean, round(d, 6) AS null_sd, round((o - m) / nullif(d, 0), 6) AS z, round((SELECT count(*) FILTER (n >= o) / count(*) FROM k WHERE r > 0), 6) AS p_value FROM s""",
+)
 def adjacency_enrichment(spark, sf_dir):
-    return P.adjacency_enrichment(_cells(spark, sf_dir), "p_brand", replicates=30)
+    out = P.adjacency_enrichment(_cells(spark, sf_dir), "p_brand", replicates=30)
+    return out.select("observed", *[r6(c).alias(c) for c in ("null_mean", "null_sd", "z", "p_value")])
+
 
+TRANSFORMS = """grid AS (SELECT CAST(i // 24 AS INTEGER) AS row, CAST(i % 24 AS INTEGER) AS col FROM range(384) t(i)), shifts AS (SELECT a, b FROM range(-2, 3) s(a), range(-2, 3) t(b) WHERE (a, b) <> (0, 0)),
+named AS (SELECT 'identity' AS transform, row, col, row AS to_row, col AS to_col FROM grid UNION ALL SELECT 'flip_rows', row, col, 15 - row, col FROM grid UNION ALL SELECT 'flip_cols', row, col, row, 23 - col FROM grid UNION ALL SELECT 'half_turn', row, col, 15 - row, 23 - col FROM grid
+  UNION ALL SELECT 'shift_' || a || '_' || b, row, col, row + a, col + b FROM grid, shifts UNION ALL SELECT 'swap_odd_rows', row, col, row + CASE WHEN row % 2 = 0 THEN 1 ELSE -1 END, col FROM grid UNION ALL SELECT 'swap_odd_cols', row, col, row, col + CASE WHEN col % 2 = 0 THEN 1 ELSE -1 END FROM grid),
+inside AS (SELECT * FROM named WHERE to_row BETWEEN 0 AND 15 AND to_col BETWEEN 0 AND 23), moves AS (SELECT * FROM inside WHERE (row, col) IN (SELECT (row, col) FROM inside GROUP BY row, col HAVING count(*) = (SELECT count(DISTINCT transform) FROM inside)))"""
 
-@query("transform_search")
+
+@query(
+    "transform_search",
+    f"""WITH {CELLS}, {TRANSFORMS}, e AS (SELECT r, plate, row, col, concat_ws(':', row, col) AS id, p_brand FROM cells, range(1, 21) t(r)), l AS (SELECT r, plate, p_brand, row_number() OVER (PARTITION BY r, plate ORDER BY id) AS n FROM e),
+d AS (SELECT r, plate, row, col, row_number() OVER (PARTITION BY r, plate ORDER BY {uniform_sql(0, "r", "id")}, id) AS n FROM e), x AS (SELECT r, plate, row, col, p_brand FROM d JOIN l USING (r, plate, n) UNION ALL SELECT 0, plate, row, col, p_brand FROM cells),
+k AS (SELECT r, x.plate, transform, count(*) AS n, count(*) FILTER (x.p_brand = c.p_brand) AS k FROM moves m JOIN x USING (row, col) JOIN cells c ON c.plate = x.plate AND c.row = to_row AND c.col = to_col GROUP BY 1, 2, 3),
+best AS (SELECT r, plate, max(k) AS k FROM k WHERE r > 0 GROUP BY 1, 2)
+SELECT plate, transform, n, k AS supported, round(k / n, 6) AS share, round(((SELECT count(*) FROM best b WHERE b.plate = o.plate AND b.k >= o.k) + 1) / ((SELECT count(*) FROM best b WHERE b.plate = o.plate) + 1), 6) AS family_p FROM k o WHERE r = 0""",
+)
 def transform_search(spark, sf_dir):
     cells = _cells(spark, sf_dir).select("plate", "row", "col", F.col("p_brand").alias("label"))
-    return P.transform_search(cells, cells, P.candidate_transforms(spark), replicates=20, by=["plate"])
+    out = P.transform_search(cells, cells, P.candidate_transforms(spark), replicates=20, by=["plate"])
+    return out.select("plate", "transform", "n", "supported", r6("share").alias("share"), r6("family_p").alias("family_p"))
 
 
-@query("locality")
+@query(
+    "locality",
+    f"""WITH {CELLS}, wells AS (SELECT row, col, row_number() OVER (ORDER BY row, col) - 1 AS w FROM (SELECT DISTINCT row, col FROM cells)), v AS (SELECT plate, row, col, p_brand, concat_ws(':', plate, row, col, p_brand) AS e FROM cells WHERE p_size = 7),
+a AS (SELECT plate, p_brand, e, draw, CAST(floor({uniform_sql(0, "draw", "e")} * (SELECT count(*) FROM wells)) AS BIGINT) AS w FROM v, range(1, 51) t(draw)), x AS (SELECT plate, p_brand, e, draw, row, col FROM a JOIN wells USING (w) UNION ALL SELECT plate, p_brand, e, 0, row, col FROM v),
+n AS (SELECT draw, e, min(sqrt((x.row - h.row) ** 2 + (x.col - h.col) ** 2)) AS d FROM x JOIN cells h ON h.p_size <> 7 AND h.plate = x.plate AND h.p_brand = x.p_brand GROUP BY 1, 2), m AS (SELECT draw, avg(d) AS d FROM n GROUP BY 1), o AS (SELECT max(d) FILTER (draw = 0) AS o FROM m)
+SELECT round(any_value(o), 6) AS observed, round(avg(d), 6) AS null_mean, round(count(*) FILTER (d <= o + 1e-12) / count(*), 6) AS p_value FROM m, o WHERE draw > 0""",
+)
 def locality(spark, sf_dir):
     cells = _cells(spark, sf_dir).select("plate", "row", "col", F.col("p_brand").alias("label"), "p_size")
-    return P.locality(cells.filter("p_size = 7").drop("p_size"), cells.filter("p_size <> 7").drop("p_size"), cells.select("row", "col"), draws=50)
+    out = P.locality(cells.filter("p_size = 7").drop("p_size"), cells.filter("p_size <> 7").drop("p_size"), cells.select("row", "col"), draws=50)
+    return out.select(*[r6(c).alias(c) for c in ("observed", "null_mean", "p_value")])
 
 
 @query(
@@ -149,10 +179,21 @@ def clone_features(spark, sf_dir):
     return features.present(f).groupBy("strain").agg(F.count("*").alias("n_features"))
 
 
-@query("greedy_seed")
+@query(
+    "greedy_seed",
+    """WITH o AS (SELECT p_brand AS sample_id, list({'seqs': [p_name], 'seeds': [p_name], 'own': [1]} ORDER BY p_partkey) AS l FROM part GROUP BY 1),
+g AS (SELECT sample_id, list_reduce(l, lambda a, x: CASE WHEN list_contains(a.seqs, x.seqs[1]) THEN {'seqs': list_concat(a.seqs, x.seqs), 'seeds': a.seeds, 'own': list_append(a.own, a.own[list_position(a.seqs, x.seqs[1])])}
+  WHEN list_min(list_transform(a.seeds, lambda s: levenshtein(s, x.seqs[1]) / greatest(length(s), length(x.seqs[1])))) <= 0.35 THEN {'seqs': list_concat(a.seqs, x.seqs), 'seeds': a.seeds, 'own': list_append(a.own, list_position(list_transform(a.seeds, lambda s: levenshtein(s, x.seqs[1]) / greatest(length(s), length(x.seqs[1]))), list_min(list_transform(a.seeds, lambda s: levenshtein(s, x.seqs[1]) / greatest(length(s), length(x.seqs[1]))))))}
+  ELSE {'seqs': list_concat(a.seqs, x.seqs), 'seeds': list_concat(a.seeds, x.seqs), 'own': list_append(a.own, len(a.seeds) + 1)} END) AS g FROM o),
+r AS (SELECT sample_id, unnest(g.seqs) AS seq, unnest(g.own) AS own, generate_subscripts(g.seqs, 1) AS i FROM g), c AS (SELECT sample_id, own, count(*) AS n FROM r GROUP BY 1, 2),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY sample_id, own ORDER BY i) <= 25), d AS (SELECT x.sample_id, x.own, x.i, any_value(x.seq) AS seq, sum(levenshtein(x.seq, y.seq)) AS d FROM f x JOIN f y ON x.sample_id = y.sample_id AND x.own = y.own GROUP BY 1, 2, 3),
+m AS (SELECT sample_id, own, arg_min(seq, (d, i)) AS seq FROM d GROUP BY 1, 2), t AS (SELECT sample_id, sum(n) AS n_reads, list(n ORDER BY n DESC, own) AS sizes FROM c GROUP BY 1), s AS (SELECT c.sample_id, list(m.seq ORDER BY c.n DESC, c.own) AS reps FROM c JOIN m USING (sample_id, own) JOIN t USING (sample_id) WHERE c.n >= greatest(3, 0.1 * n_reads) GROUP BY 1)
+SELECT t.sample_id, CAST(n_reads AS INTEGER) AS n_reads, CAST(coalesce(len(reps), 0) AS INTEGER) AS n_strains, CAST(len(sizes) AS INTEGER) AS n_raw_clusters, array_to_string(sizes[1:6], ',') AS cluster_sizes, round(sizes[1] / n_reads, 6) AS top_frac, round(coalesce(sizes[2], 0) / n_reads, 6) AS minority_frac, coalesce(array_to_string(reps, ','), '') AS representatives FROM t LEFT JOIN s USING (sample_id)""",
+)
 def greedy_seed(spark, sf_dir):
     reads = table(spark, sf_dir, "part").select(F.col("p_brand").alias("sample_id"), F.col("p_partkey").alias("read_id"), F.col("p_name").alias("seq"))
-    return wells.cluster_wells(reads, 0.35)
+    out = wells.cluster_wells(reads, 0.35)
+    return out.select("sample_id", "n_reads", "n_strains", "n_raw_clusters", F.array_join(F.col("cluster_sizes").cast("array<string>"), ",").alias("cluster_sizes"), r6("top_frac").alias("top_frac"), r6("minority_frac").alias("minority_frac"), F.array_join("representatives", ",").alias("representatives"))
 
 
 @query("consensus_vote")
@@ -162,7 +203,12 @@ def consensus_vote(spark, sf_dir):
     return wells.strain_consensus(reps).drop("consensus")
 
 
-@query("tiled_hits")
+@query(
+    "tiled_hits",
+    """WITH h AS (SELECT l_partkey, CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity + l_linenumber * 3 AS BIGINT) AS e, l_extendedprice AS score FROM lineitem), o AS (SELECT l_partkey, list([{'s': s, 'e': e}] ORDER BY score DESC, s, e) AS l FROM h GROUP BY 1),
+k AS (SELECT l_partkey, list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda y: x[1].e > y.s AND x[1].s < y.e)) = 0 THEN list_concat(a, x) ELSE a END) AS kept FROM o)
+SELECT l_partkey, CAST(len(kept) AS INTEGER) AS n_hits, CAST(list_sum(list_transform(kept, lambda y: y.e - y.s)) AS BIGINT) AS covered FROM k""",
+)
 def tiled_hits(spark, sf_dir):
     hits = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("long").alias("start"), (F.col("l_quantity") + F.col("l_linenumber") * 3).cast("long").alias("end"), F.col("l_extendedprice").alias("score"))
     return wells.tiled_hits(hits, ["l_partkey"])
@@ -172,14 +218,29 @@ def _pair_stats(spark, sf_dir):
     return scoring.replicate_stability(supplier_wells(spark, sf_dir))
 
 
-@query("bt_glm")
+#: Maximum likelihood strengths by minorisation: p = wins / sum(games / (p + p of the rival)), until nothing moves.
+BRADLEY_TERRY = f"""{SUPPLIER_WELLS}, pc AS (SELECT strain_a AS a, strain_b AS b, sum(n1) AS w, sum(n1) + sum(n2) AS n FROM swells GROUP BY 1, 2 HAVING sum(n1) + sum(n2) > 0), g AS (SELECT a AS i, b AS j, w, n FROM pc UNION ALL SELECT b, a, n - w, n FROM pc), wins AS (SELECT i, sum(w) AS w FROM g GROUP BY 1),
+fit AS (SELECT 0 AS k, i, 1.0::DOUBLE AS p FROM wins UNION ALL (SELECT k + 1, i, p / exp(avg(ln(p)) OVER ()) FROM (SELECT x.k AS k, x.i AS i, any_value(wins.w) / sum(g.n / (x.p + y.p)) AS p FROM fit x JOIN g ON g.i = x.i JOIN fit y ON y.i = g.j JOIN wins ON wins.i = x.i WHERE x.k < 120 GROUP BY x.k, x.i))),
+bt AS (SELECT i AS strain, ln(p) - first_value(ln(p)) OVER (ORDER BY i) AS s FROM fit WHERE k = 120), q AS (SELECT w, n, 1 / (1 + exp(y.s - x.s)) AS p, sum(w) OVER () / sum(n) OVER () AS p0 FROM pc JOIN bt x ON x.strain = a JOIN bt y ON y.strain = b),
+dev AS (SELECT 2 * sum(CASE WHEN w > 0 THEN w * ln(w / (n * p)) ELSE 0 END + CASE WHEN n > w THEN (n - w) * ln((n - w) / (n * (1 - p))) ELSE 0 END) AS d, 2 * sum(CASE WHEN w > 0 THEN w * ln(w / (n * p0)) ELSE 0 END + CASE WHEN n > w THEN (n - w) * ln((n - w) / (n * (1 - p0))) ELSE 0 END) AS d0, count(*) - ((SELECT count(*) FROM bt) - 1) AS df FROM q)"""
+
+
+@query(
+    "bt_glm",
+    f"WITH RECURSIVE {BRADLEY_TERRY} SELECT strain, round(s, 4) AS bt_strength, CAST(row_number() OVER (ORDER BY s DESC, strain) AS INTEGER) AS bt_rank, round(1 - d / d0, 4) AS pseudo_r2, round(d, 2) AS deviance, round(d0, 2) AS null_deviance, CAST(df AS INTEGER) AS df_resid FROM bt, dev",
+)
 def bt_glm(spark, sf_dir):
-    return models.fit_bradley_terry(scoring.pooled_counts(supplier_wells(spark, sf_dir)))
+    fit = models.fit_bradley_terry(scoring.pooled_counts(supplier_wells(spark, sf_dir)))
+    return fit.select("strain", F.round("bt_strength", 4).alias("bt_strength"), "bt_rank", F.round("pseudo_r2", 4).alias("pseudo_r2"), F.round("deviance", 2).alias("deviance"), F.round("null_deviance", 2).alias("null_deviance"), "df_resid")
 
 
-@query("bt_goodness_of_fit")
+@query(
+    "bt_goodness_of_fit",
+    f"WITH RECURSIVE {BRADLEY_TERRY} SELECT (SELECT count(*) FROM bt) AS n_strains, round(d0 - d, 2) AS lr_stat, CAST(df AS INTEGER) AS df_resid, round(d / df, 4) AS dispersion_ratio FROM dev",
+)
 def bt_goodness_of_fit(spark, sf_dir):
-    return models.goodness_of_fit(bt_glm(spark, sf_dir))
+    fit = models.goodness_of_fit(models.fit_bradley_terry(scoring.pooled_counts(supplier_wells(spark, sf_dir))))
+    return fit.select("n_strains", F.round("lr_stat", 2).alias("lr_stat"), "df_resid", F.round("dispersion_ratio", 4).alias("dispersion_ratio"))
 
 
 @query("group_cv")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions.draws import uniform_sql
 from tessera.operators import folds, pairs, scoring, stats
 from tessera.operators import windows as W
 from tessera.operators.tables import canonical_matrix, merged_counts, same_rows, share_dispersion
@@ -70,9 +74,17 @@ def overdispersion(spark, sf_dir):
     return d.select("levels", r6("rate").alias("rate"), F.round("chi2", 4).alias("chi2"), r6("dispersion").alias("dispersion"))
 
 
-@query("exact_factor_tests")
+@query(
+    "exact_factor_tests",
+    """WITH c AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS k FROM lineitem GROUP BY 1), o AS (SELECT *, sum(k) OVER () / sum(n) OVER () AS p0 FROM c),
+m AS (SELECT l_suppkey, i, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p0) + (n - i) * ln(1 - p0) AS lp FROM o, LATERAL (SELECT unnest(generate_series(0, n)) AS i)),
+t AS (SELECT o.l_suppkey, least(1.0, sum(exp(m.lp)) FILTER (m.lp <= x.lp + 1e-7)) AS p FROM o JOIN m USING (l_suppkey) JOIN m x ON x.l_suppkey = o.l_suppkey AND x.i = o.k GROUP BY 1),
+r AS (SELECT l_suppkey, p, p * count(*) OVER () / (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1) AS raw FROM t)
+SELECT l_suppkey, n, k, round(p0, 6) AS p0, round(k / n, 6) AS rate, round(p, 6) AS p_value, round(least(1.0, min(raw) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value FROM o JOIN r USING (l_suppkey)""",
+)
 def exact_factor_tests(spark, sf_dir):
-    return stats.overdispersion(table(spark, sf_dir, "lineitem"), "l_suppkey", F.col("l_returnflag") == "R")
+    out = stats.overdispersion(table(spark, sf_dir, "lineitem"), "l_suppkey", F.col("l_returnflag") == "R")
+    return out.select("l_suppkey", "n", "k", *[r6(c).alias(c) for c in ("p0", "rate", "p_value", "q_value")])
 
 
 @query(
@@ -276,42 +288,68 @@ def purge_control(spark, sf_dir):
     return wide.agg(r6(F.avg(F.col("A") - F.col("N"))).alias("delta_first"), r6(F.avg(F.col("N") - F.col("R"))).alias("delta_second"))
 
 
-# ---- seeded resampling: no SQL ------------------------------------------------------------
+# ---- seeded resampling: draws are hashes that SQL computes as well ------------------------
 
 
-@query("pseudo_perm")
+@query(
+    "pseudo_perm",
+    f"""WITH {SUPPLIER_WELLS}, edges AS (SELECT strain_a, strain_b FROM spairs WHERE mra <> 0.5), s AS (SELECT r, avg(CASE WHEN {uniform_sql(0, "r", "strain_a", "strain_b")} < 0.5 THEN 1.0 ELSE 0.0 END) AS share FROM edges, range(1, 201) t(r) GROUP BY 1)
+SELECT round((count(*) FILTER (share >= 0.52) + 1) / (count(*) + 1), 6) AS p_value, round(avg(share), 6) AS null_mean, round(stddev_pop(share), 6) AS null_sd, count(*) AS n FROM s""",
+)
 def pseudo_perm(spark, sf_dir):
     edges = scoring.win_edges(scoring.replicate_stability(supplier_wells(spark, sf_dir)), F.col("mean_relative_abundance_a"))
     flips = stats.coin_flips(edges, 200).groupBy("replicate").agg(F.avg(F.col("a_wins").cast("double")).alias("share"))
-    return stats.permutation_p(flips, "share", 0.52)
+    out = stats.permutation_p(flips, "share", 0.52)
+    return out.select(*[r6(c).alias(c) for c in ("p_value", "null_mean", "null_sd")], "n")
+
 
+POISSON_1 = [float(x) for x in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])]
 
-@query("bootstrap_ci")
+
+@query(
+    "bootstrap_ci",
+    f"""WITH {SUPPLIER_WELLS}, u AS (SELECT l_orderkey, r, {uniform_sql(0, "r", "l_orderkey")} AS u FROM (SELECT DISTINCT l_orderkey FROM swells), range(1, 101) t(r)),
+w AS (SELECT l_orderkey, r, list_sum(list_transform({POISSON_1}, lambda c: CASE WHEN u >= c THEN 1 ELSE 0 END)) AS w FROM u),
+m AS (SELECT strain_a, r, sum(lr * w) / sum(w) AS m FROM swells JOIN w USING (l_orderkey) WHERE w > 0 GROUP BY 1, 2) SELECT strain_a, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m GROUP BY 1""",
+)
 def bootstrap_ci(spark, sf_dir):
     wells = supplier_wells(spark, sf_dir).select("strain_a", F.col("l_orderkey").alias("well"), F.col("log2_ratio_a_over_b").alias("x"))
     drawn = stats.bootstrap(wells, unit="well", replicates=100)
     means = drawn.groupBy("strain_a", "replicate").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m"))
-    return stats.percentile_interval(means, "m", ["strain_a"])
+    return stats.percentile_interval(means, "m", ["strain_a"]).select("strain_a", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
 
-@query("permuted_labels")
+@query(
+    "permuted_labels",
+    f"""WITH e AS (SELECT CAST(r AS INTEGER) AS replicate, s_suppkey AS strain, s_nationkey AS genome FROM supplier, range(1, 6) t(r)), l AS (SELECT replicate, genome, row_number() OVER (PARTITION BY replicate ORDER BY strain) AS n FROM e),
+d AS (SELECT replicate, strain, row_number() OVER (PARTITION BY replicate ORDER BY {uniform_sql(0, "replicate", "strain")}, strain) AS n FROM e) SELECT replicate, strain, genome FROM d JOIN l USING (replicate, n)""",
+)
 def permuted_labels(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("strain"), F.col("s_nationkey").alias("genome"))
     return stats.permuted_labels(s, key="strain", label="genome", replicates=5)
 
 
-@query("unit_folds")
+@query(
+    "unit_folds",
+    f"WITH e AS (SELECT CAST(r AS INTEGER) AS rep, s_suppkey AS strain FROM supplier, range(3) t(r)) SELECT rep, strain, CAST((row_number() OVER (PARTITION BY rep ORDER BY {uniform_sql(0, 'rep', 'strain')}, strain) - 1) % 5 AS INTEGER) AS fold FROM e",
+)
 def unit_folds(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("strain"))
     return folds.unit_folds(s, "strain", 5, repeats=3)
 
 
-@query("pair_folds")
+@query("pair_folds", f"WITH {FOLDS} SELECT a AS strain_a, b AS strain_b, CAST(floor({uniform_sql(0, 'a', 'b')} * 5) AS INTEGER) AS fold FROM pr")
 def pair_folds(spark, sf_dir):
     return folds.pair_folds(_pairs(spark, sf_dir), 5)
 
 
-@query("replicate_direction")
+@query(
+    "replicate_direction",
+    f"""WITH {SUPPLIER_WELLS}, c AS (SELECT p.strain_a, p.lr AS x, q.lr AS y, {uniform_sql(0, "p.l_orderkey", "q.l_orderkey")} < 0.5 AS flip FROM swells p JOIN swells q ON p.strain_a = q.strain_a AND p.strain_b = q.strain_b AND p.l_orderkey < q.l_orderkey),
+d AS (SELECT strain_a, CASE WHEN flip THEN y ELSE x END AS a, CASE WHEN flip THEN x ELSE y END AS b FROM c)
+SELECT strain_a, count(*) AS n, round(1 - sum((b - a) * (b - a)) / nullif(var_pop(b) * count(*), 0), 6) AS r2_identity, round(CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) * corr(a, b) END, 6) AS r2_linear, round(CASE WHEN var_pop(a) > 0 THEN regr_slope(b, a) END, 6) AS slope, round(avg(CASE WHEN (a > 0) = (b > 0) THEN 1.0 ELSE 0.0 END), 6) AS winner_agreement FROM d GROUP BY 1""",
+)
 def replicate_direction(spark, sf_dir):
     couples = pairs.within_pair_replicates(supplier_wells(spark, sf_dir), id_col="l_orderkey")
-    return stats.identity_metrics(couples, "x", "y", ["strain_a"])
+    m = stats.identity_metrics(couples, "x", "y", ["strain_a"])
+    return m.select("strain_a", "n", *[r6(c).alias(c) for c in ("r2_identity", "r2_linear", "slope", "winner_agreement")])
