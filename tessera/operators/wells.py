@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import consensus as C
+from tessera.functions import pileup
 from tessera.functions.draws import uniform
 
 from .quality import consensus_status
@@ -123,8 +124,8 @@ def haplotypes(reads: DataFrame, consensus: DataFrame, *, by: str = "strain") ->
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         seqs, base = pdf.sort_values("read_id")["seq"].tolist(), pdf["consensus"].iloc[0]
-        sites = C.het_sites(base, seqs) or []
-        rows = [(str(pdf[by].iloc[0]), k, s, frac, pattern, len(sites)) for k, (s, frac, pattern) in enumerate(C.phase_haplotypes(base, sites, seqs))]
+        sites = pileup.het_sites(base, seqs) or []
+        rows = [(str(pdf[by].iloc[0]), k, s, frac, pattern, len(sites)) for k, (s, frac, pattern) in enumerate(pileup.haplotypes(base, sites, seqs))]
         return pd.DataFrame(rows, columns=["strain", "haplotype", "seq", "frac", "pattern", "n_sites"])
 
     both = reads.select(by, "read_id", "seq").join(consensus.select(by, "consensus"), by)
