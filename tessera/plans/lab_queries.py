@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.draws import uniform_sql
-from tessera.operators import design, features, folds, genomes, models, scoring, wells
+from tessera.operators import communities, design, features, folds, genomes, models, scoring, wells
 from tessera.operators import plate_controls as P
 
 from .registry import query
@@ -273,9 +273,9 @@ def community_design(spark, sf_dir):
     d = {frozenset((r["query"], r["ref"])): float(r["bp"]) for r in found(spark, sf_dir).collect() if r["query"] != r["ref"]}
     names = sorted({x.replace(" ", "_") for k in d for x in k})
     d = {frozenset(x.replace(" ", "_") for x in k): v for k, v in d.items()}
-    c = design.Communities(names, d, np.random.default_rng(0))
-    c.stratified({2: 10, 4: 6}, names, 6, "stratified")
-    c.leave_out_series(5, 1, names, 6)
+    c = communities.Pool.of(names, d, np.random.default_rng(0))
+    c.over_distances({2: 10, 4: 6}, 6, "stratified")
+    c.with_removals(5, 1, 6)
     return spark.createDataFrame([(r["community_id"], r["members"], r["size"], r["module"], r["min_sep_bp"], r["mpd_bp"]) for r in c.table()], "community_id string, members string, size int, module string, min_sep_bp double, mpd_bp double")
 
 

@@ -11,6 +11,7 @@ from tessera.functions.pileup import Pileup
 from tessera.functions import sequence as S
 from tessera.operators import accounting, design, features, folds, identity, models, plate_features, tables, wells
 from tessera.operators import plate_controls as P
+from tessera.operators.communities import Pool
 from tessera.sources import plates, sequences, tabular
 
 
@@ -104,10 +105,10 @@ def test_bands_and_join(spark):
 
 def test_designs(spark):
     d = {frozenset((a, b)): 20.0 for a in "abcd" for b in "abcd" if a != b}
-    c = design.Communities(list("abcd"), d, np.random.default_rng(0))
-    c.preload([{"community_id": "C0007", "members": "a b", "size": 2, "module": "old"}])
-    again = c.add(["b", "a"], "new")
-    assert again["community_id"] == "C0007" and again["module"] == "old;new" and c.usage["a"] == 1
+    c = Pool.of(list("abcd"), d, np.random.default_rng(0))
+    c.keep([{"community_id": "C0007", "members": "a b", "size": 2, "module": "old"}])
+    again = c.put([1, 0], "new")
+    assert again["community_id"] == "C0007" and again["module"] == "old;new" and c.usage[0] == 1
     bc = spark.createDataFrame([("x", 100, 50, 0.001), ("y", 100, 5, 0.001), ("z", 100, 40, 0.5)], "barcode string, n long, k long, q double")
     assert [r["barcode"] for r in design.failed_barcodes(bc).collect()] == ["x"]
     assert len(design.all_wells()) == 384
