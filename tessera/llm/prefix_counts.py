@@ -11,8 +11,9 @@ where a budget of tokens ends and what a truncation costs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -121,15 +122,27 @@ class PrefixCounter:
         keys, back = np.unique((first.astype(np.int64) + 1) * self.base + tokens, return_inverse=True)
         return np.array([self.may_follow(k // self.base - 1, k % self.base) for k in keys.tolist()], bool)[back]
 
+    @cached_property
+    def suffixes(self) -> ahocorasick.Automaton:
+        """Finds all tokens that end at each byte of a word in one pass."""
+        out = ahocorasick.Automaton()
+        for token, i in self.bpe.ranks.items():
+            out.add_word(token.decode("latin-1"), (i, len(token)))
+        out.make_automaton()
+        return out
+
     def _one(self, word: bytes) -> np.ndarray:
-        count, last = [0], [-1]
-        for i in range(1, len(word) + 1):
-            for size in range(min(i, self.table.longest), 0, -1):
-                token = self.bpe.ranks.get(word[i - size : i])
-                if token is not None and self.may_follow(last[i - size], token):
-                    count.append(count[i - size] + 1)
-                    last.append(token)
-                    break
+        """Counts of a single word: at each byte the tokens that end there are tried until one may follow."""
+        count, last = [0] * (len(word) + 1), [-1] * (len(word) + 1)
+        pairs, base, done = self.pairs, self.base, 0
+        for end, (token, size) in self.suffixes.iter(word.decode("latin-1")):
+            if end < done:
+                continue
+            first = last[end + 1 - size]
+            fits = pairs.get((first + 1) * base + token)
+            if fits or fits is None and self.may_follow(first, token):
+                done = end + 1
+                count[done], last[done] = count[done - size] + 1, token
         return np.array(count, np.int32)
 
     def _side_by_side(self, words: list[bytes]) -> list[np.ndarray]:

@@ -56,3 +56,21 @@ def test_documents(spark, sf_dir):
 def test_empty_table(spark, keep):
     out = C.prefix_token_counts(spark.createDataFrame([], "doc_id long, text string"), keep_table=keep)
     assert out.count() == 0 and "n_tokens" in out.columns
+
+
+def test_long_words_are_counted_at_speed():
+    """Words of thousands of bytes: ids of the library at every prefix that is drawn, and a bounded time for a byte."""
+    import random
+    import time
+
+    draw = random.Random(1)
+    counter = C.prefix_counter()
+    chinese = "".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(20_000))
+    for text in (chinese, "a" * 60_000, " " * 30_000, "xyz" * 20_000):
+        began = time.process_time()
+        counts, bounds = counter.counts([text])
+        assert time.process_time() - began < 10 * len(text.encode()) / 1e6 + 1  # seconds, under a loaded machine
+        raw = text.encode()
+        for n in [draw.randrange(len(text)) for _ in range(3)] + [len(text)]:
+            assert counts[len(text[:n].encode())] == len(counter.bpe.encode(text[:n]))
+        assert bounds.tolist() == [0, len(raw) + 1]
