@@ -17,11 +17,8 @@ from pyspark.sql import functions as F
 from tessera.functions.ranges import quantile_bounds, range_number
 
 K, WINDOW = 5, 4
-#: A selected k-gram is one long: 39 bits of hash above 25 bits of position, counted down so that ties go right.
-POSITION_BITS = 25
-POSITION_MASK = (1 << POSITION_BITS) - 1
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
-#: Documents in a range of ids that one window task sorts; ranges are at most MAX_RANGES.
+#: Documents in a range of ids that one window task sorts; ranges are at most MAX_RANGES, beyond that they hold more (and sort on disk).
 RANGE_ROWS, MAX_RANGES = 2048, 65_536
 
 
@@ -46,11 +43,11 @@ def _rolled(by: int):
 
 
 def winnow_columns(df: DataFrame, text: Column, name: str, *, k: int = K, window: int = WINDOW) -> DataFrame:
-    """``df`` with ``name``: array<long> of packed (hash, position), in text order.
+    """``df`` with ``name``: array<struct<hash: long, position: int>> of the selected k-grams, in text order.
 
     Fewer words than ``k`` make one k-gram of all; no word (null, empty, blank)
     gives an empty array.  Fewer k-grams than ``window`` make one window.
-    Positions count k-grams from 0, modulo 2**25.  Equal texts get equal arrays."""
+    Positions count k-grams from 0.  Equal texts get equal arrays."""
     t = f"_{name}"
     df = df.withColumn(f"{t}w", F.transform(words(text), lambda w: F.xxhash64(w)))
     powers = {1: F.col(f"{t}w")}
@@ -67,40 +64,33 @@ def winnow_columns(df: DataFrame, text: Column, name: str, *, k: int = K, window
     n_words = F.size(f"{t}w")
     whole = F.when(n_words > 0, F.array(F.xxhash64(F.col(f"{t}w")))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn(f"{t}g", F.when(n_words >= k, grams).otherwise(whole))
-    packed = F.transform(
-        F.col(f"{t}g"),
-        lambda g, i: g.bitwiseAND(F.lit(~POSITION_MASK)).bitwiseOR(F.lit(POSITION_MASK).cast("long") - i.bitwiseAND(F.lit(POSITION_MASK))),
-    )
-    df = df.withColumn(f"{t}p", packed)
-    least = F.col(f"{t}p")
+    grams = least = F.col(f"{t}g")
     covered = 1
     while covered < window:
         step = min(covered, window - covered)
         df = df.withColumn(f"{t}m{covered}", _join(least, least, step, lambda a, b: F.least(a, b)))
         least = F.col(f"{t}m{covered}")
         covered += step
-    one = F.when(F.size(f"{t}p") > 0, F.array(F.array_min(f"{t}p"))).otherwise(F.col(f"{t}p"))
-    df = df.withColumn(name, F.when(F.size(f"{t}p") >= window, F.array_distinct(least)).otherwise(one))
-    return df.drop(*[c for c in df.columns if c.startswith(t)])
 
+    def rightmost(m: Column, i: Column) -> Column:
+        found = i
+        for j in range(1, window):
+            found = F.when(F.get(grams, i + j) == m, i + j).otherwise(found)
+        return found
 
-def fingerprint_entries(packed: Column) -> Column:
-    """array<struct<hash, position>> of a packed fingerprint."""
-    return F.transform(
-        packed,
-        lambda x: F.struct(
-            F.shiftright(x, POSITION_BITS).alias("hash"),
-            (F.lit(POSITION_MASK).cast("long") - x.bitwiseAND(F.lit(POSITION_MASK))).alias("position"),
-        ),
-    )
+    n = F.size(grams)
+    one = F.when(n > 0, F.array((n - F.array_position(F.reverse(grams), F.array_min(grams))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn(f"{t}p", F.when(n >= window, F.array_distinct(F.transform(least, rightmost))).otherwise(one))
+    df = df.withColumn(name, F.transform(f"{t}p", lambda p: F.struct(F.get(grams, p).alias("hash"), p.alias("position"))))
+    return df.drop(*[c for c in df.columns if c.startswith(t)])
 
 
-def fingerprint_hashes(packed: Column) -> Column:
-    return F.array_distinct(F.transform(packed, lambda x: F.shiftright(x, POSITION_BITS)))
+def fingerprint_hashes(entries: Column) -> Column:
+    return F.array_distinct(entries["hash"])
 
 
-def fingerprint_digest(packed: Column) -> Column:
-    return F.concat(F.lower(F.lpad(F.hex(F.xxhash64(packed)), 16, "0")), F.lit("-"), F.size(packed).cast("string"))
+def fingerprint_digest(entries: Column) -> Column:
+    return F.concat(F.lower(F.lpad(F.hex(F.xxhash64(entries)), 16, "0")), F.lit("-"), F.size(entries).cast("string"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,7 +102,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """``docs`` with ``fingerprint``: its selected (hash, position) entries; see :func:`winnow_columns`."""
-    return winnow_columns(docs, F.col(text_col), "_fp", k=k, window=window).withColumn("fingerprint", fingerprint_entries(F.col("_fp"))).drop("_fp")
+    return winnow_columns(docs.drop("fingerprint"), F.col(text_col), "fingerprint", k=k, window=window)
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -157,7 +147,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     text), after the smallest the largest; a lone document is its own next.  The
     edited text has its last floor(n/3) code points replaced by the first as many
     of the next document.  Returns ``doc_id, n_chars, edited, fp, edited_fp,
-    fp_hashes, edited_hashes, next_hashes`` (packed fingerprints, distinct hashes)."""
+    fp_hashes, edited_hashes, next_hashes`` (fingerprints, distinct hashes)."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = with_next(base)
     dealt = winnow_columns(dealt, F.col("text"), "fp")
