@@ -17,8 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The index is part of the plan that is sent to every task, so the number of rules is bounded.
-MAX_RULES = 20_000
+#: Up to so many rules the index is part of the plan that every task gets; more rules are tables that URLs are joined with.
+LITERAL_RULES = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN_SPLIT = "[^0-9A-Za-z]+"
 
@@ -94,8 +94,6 @@ def build_index(urls: DataFrame, rules: Iterable[Rule], url_col: str = "url") ->
 
     Ties between equally rare tokens go to the longer, then to the smaller token."""
     rules = list(rules)
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit into the plan")
     counts = token_counts(urls, rules, url_col)
     size = max(1, 2 * len(rules))
     spark = urls.sparkSession
@@ -128,8 +126,14 @@ def judge(urls: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, *, default: st
     The longest matching rule (by its name, ties to the earlier rule) decides;
     without one, ``rule`` is null and ``verdict`` is ``default``.  Null, empty and
     scheme-less URLs have empty host and path.  Columns of the input that clash
-    with the added ones are replaced.  Repeated rows are judged alike, each on its own."""
+    with the added ones are replaced.  Repeated rows are judged alike, each on its own.
+
+    Up to LITERAL_RULES rules this is one projection.  More rules are filed in a table
+    by their rarest token; distinct (host, path) are joined with it on their tokens, judged,
+    and joined back, with the same result."""
     rules = list(rules)
+    if len(rules) > LITERAL_RULES:
+        return _judge_by_tables(urls, rules, default, url_col)
     index, size, loose = build_index(urls, rules, url_col)
     out = urls.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
     found = F.flatten(
@@ -151,6 +155,29 @@ def judge(urls: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, *, default: st
     )
 
 
+def _judge_by_tables(urls: DataFrame, rules: list[Rule], default: str, url_col: str) -> DataFrame:
+    spark = urls.sparkSession
+    listed = spark.createDataFrame([(-k, r.name, r.verdict, r.pattern, len(r.name)) for k, r in enumerate(rules)], "rank int, name string, verdict string, pattern string, length int")
+    named = spark.createDataFrame([(-k, t) for k, r in enumerate(rules) for t in r.tokens], "rank int, token string")
+    out = urls.drop("host", "path", "rule", "verdict", "candidates").withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
+    keys = out.select("host", "path").distinct()
+    tokens = keys.select("host", "path", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
+    counts = tokens.join(named.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    rarity = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), (-F.length("token")).alias("l"), "token")).alias("r")
+    index = named.join(counts, "token", "left").groupBy("rank").agg(rarity).select("rank", "r.token").join(listed, "rank")
+    key = F.concat(F.lit("//"), F.col("host"), F.col("path"))
+    hit = F.struct("length", "rank", "name", "verdict")
+    run = tokens.join(index, "token").groupBy("host", "path").agg(F.count("*").alias("candidates"), F.max(F.when(F.rlike(key, F.col("pattern")), hit)).alias("best"))
+    judged = keys.join(run, ["host", "path"], "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)).cast("int"))
+    loose = [(r, -k) for k, r in enumerate(rules) if not r.tokens]  # these run on every URL
+    for a in range(0, len(loose), LITERAL_RULES or 1):
+        some = F.array(*[F.struct(F.lit(len(r.name)).alias("length"), F.lit(k).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern")) for r, k in loose[a : a + (LITERAL_RULES or 1)]])
+        hits = F.transform(F.filter(some, lambda r: F.rlike(key, r["pattern"])), lambda r: F.struct(r["length"], r["rank"], r["name"], r["verdict"]))
+        judged = judged.withColumns({"best": F.greatest("best", F.array_max(hits)), "candidates": F.col("candidates") + F.size(some)})
+    verdicts = judged.select("host", "path", F.col("best.name").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), "candidates")
+    return out.join(verdicts, ["host", "path"]).select(*[F.col(f"`{c}`") for c in out.columns], "rule", "verdict", "candidates")
+
+
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(pages).select("page_id", "host", "path", "rule", "verdict")

@@ -44,8 +44,28 @@ def test_rarest_token_and_empty_table(spark):
     assert (counts["com"], counts["en"], counts["de"], counts["net"]) == (10, 9, 1, 0)
     assert U.judge(df.limit(0)).count() == 0
     assert U.judge(df, []).filter("verdict <> 'allow'").count() == 0
-    with pytest.raises(ValueError):
-        U.judge(df, [U.Rule(str(k), "block", "x") for k in range(U.MAX_RULES + 1)])
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_rules_as_tables(spark, sf_dir, monkeypatch, most):
+    """More rules than fit into the plan are judged alike, row by row."""
+    rules = [*U.DEFAULT_RULES, *[U.Rule(f"r{k}", "block", rf"/{k}\b", (str(k),)) for k in range(40)], U.Rule("digits", "block", r"/\d{3}"), U.Rule("no", "allow", "never"), U.host_path_rule("block", "com", "/en/")]
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(-k, u) for k, u in enumerate([*URLS, *URLS])], "page_id long, url string"))
+    df = df.withColumn("rule", F.lit("mine"))
+    want = sorted(map(tuple, U.judge(df, rules).select("page_id", "url", "host", "path", "rule", "verdict", "candidates").collect()), key=str)
+    monkeypatch.setattr(U, "LITERAL_RULES", most)
+    out = U.judge(df, rules)
+    got = out.select("page_id", "url", "host", "path", "rule", "verdict", "candidates").collect()
+    assert [r[:-1] for r in sorted(map(tuple, got), key=str)] == [r[:-1] for r in want]
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert max(r["candidates"] for r in got) < len(rules) / 2
+
+
+def test_very_many_rules(spark):
+    rules = [U.host_path_rule("block", f"host{k}.example", "/a/") for k in range(30_000)]
+    df = spark.createDataFrame([("http://host7.example/a/x",), ("http://w.host29999.example/a/",), ("http://host30000.example/a/",), (None,)], "url string")
+    got = {r["url"]: (r["rule"], r["candidates"]) for r in U.judge(df, rules).collect()}
+    assert got == {"http://host7.example/a/x": ("host7.example/a/", 1), "http://w.host29999.example/a/": ("host29999.example/a/", 1), "http://host30000.example/a/": (None, 0), None: (None, 0)}
 
 
 def test_query_is_one_projection(spark, sf_dir):
