@@ -432,13 +432,13 @@ def _alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").filter(both >= least * (F.size("_a") + F.size("_b") - both)).select("src", "dst")
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, least: float, *, few: int = 4) -> DataFrame:
+def confirmed(edges: DataFrame, sets: DataFrame, least: float, *, few: int = 8, sample: int = 64) -> DataFrame:
     """(vertex, component) of the graph of those ``edges`` (src, dst, bits) that the exact similarity confirms.
 
     Where there are at most ``few`` edges a vertex, all are judged.  Otherwise each
     component has its lightest edge judged, what these connect is contracted, and
-    edges inside a component are not judged at all; then up to eight edges of each
-    component, and so on eightfold.  The result is the same, and a large group of
+    edges inside a component are not judged at all; then up to ``sample`` edges of each
+    component, then all that are left.  The result is the same, and a large group of
     copies costs about one comparison for each text."""
     proven: list[DataFrame] = []
     each = 1
@@ -446,13 +446,13 @@ def confirmed(edges: DataFrame, sets: DataFrame, least: float, *, few: int = 4)
     while True:
         ends = open_.select(F.explode(F.array("a", "b")).alias("v"))
         n_edges = open_.count()
-        all_ = n_edges <= few * (ends.agg(F.approx_count_distinct("v")).first()[0])
+        all_ = each > sample or n_edges <= few * (ends.agg(F.approx_count_distinct("v")).first()[0])
         batch = open_
         if not all_:
             light = F.min(F.struct("bits", "src", "dst")).alias("e")
             sides = open_.select("bits", "src", "dst", F.explode(F.array("a", "b")).alias("v"))
             batch = sides.groupBy("v", F.pmod(F.xxhash64("src", "dst"), F.lit(each))).agg(light).select("e.src", "e.dst").distinct()
-            each *= 8
+            each *= sample
         proven.append(materialize(_alike(batch.select("src", "dst"), sets, least), "proven"))
         known = proven[0]
         for p in proven[1:]:

@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sequence import header_label, read_quality, sample_id
 
 
-def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+def _pieces(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
+    """(path, n, value): the pieces of text files (lines, without a ``separator``), numbered from 0 in file order.
 
-
-def _lines() -> Column:
-    return F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
+    Files are split among tasks as Spark's text source does, so no row is as large as a
+    file: pieces are numbered within their split, and splits by the pieces before them."""
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    rows = reader.text(path).select("value", F.input_file_name().alias("path"), F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).select("path", "_block", "_first", "_before")
+    return rows.join(splits, ["path", "_block"]).select("path", (F.col("_id") - F.col("_first") + F.col("_before")).alias("n"), "value")
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, read_id, header, seq upper-cased, quality, q) of FASTQ files, gzipped or not.
 
     One record for four lines; an empty file has none, a last incomplete record is
-    dropped.  ``q`` is the header's quality tag, else the mean Phred score.  A
-    file is read whole by one task: files are per well, not per run."""
-    lines = _files(spark, path).select("path", _lines().alias("l"))
-    records = lines.select("path", "l", F.explode(F.when(F.size("l") >= 4, F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1)).otherwise(F.array().cast("array<int>"))).alias("k"))
-    at = lambda n: F.get("l", F.col("k") * 4 + n)
-    rows = records.select("path", F.col("k").alias("ordinal"), at(0).alias("header"), F.upper(at(1)).alias("seq"), at(3).alias("quality")).filter(F.startswith("header", F.lit("@")))
+    dropped.  ``q`` is the header's quality tag, else the mean Phred score.  A plain
+    file is read by as many tasks as it has splits, a gzipped one by one task, line by line."""
+    lines = _pieces(spark, path)
+    at = lambda k: F.max(F.when(F.col("n") % 4 == k, F.rtrim("value", F.lit("\r"))))
+    records = lines.groupBy("path", F.floor(F.col("n") / 4).alias("ordinal")).agg(at(0).alias("header"), F.upper(at(1)).alias("seq"), at(3).alias("quality"), F.count("*").alias("_lines"))
+    rows = records.filter((F.col("_lines") == 4) & F.startswith("header", F.lit("@"))).drop("_lines")
     phred = F.aggregate(F.transform(F.array_remove(F.split("quality", ""), ""), lambda c: F.ascii(c) - 33), F.lit(0), lambda s, x: s + x) / F.length("quality")
     return rows.withColumns({"read_id": F.regexp_extract("header", r"^@(\S+)", 1), "q": F.coalesce(read_quality(F.col("header")), phred)})
 
@@ -36,9 +41,11 @@ def count_reads(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, ordinal, header, name, seq upper-cased) of FASTA files; sequences may span lines; order and duplicates are kept."""
-    parts = F.filter(F.split(F.concat(F.lit("\n"), F.regexp_replace("value", "\r\n?", "\n")), "\n>"), lambda p: p != "")
-    rows = _files(spark, path).select("path", F.posexplode(parts).alias("ordinal", "p")).filter(F.trim("p") != "")
+    """(path, ordinal, header, name, seq upper-cased) of FASTA files; sequences may span lines; order and duplicates are kept.
+
+    A row is a record: files are cut where a line begins with ``>``."""
+    text = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "^>", "")
+    rows = _pieces(spark, path, "\n>").select("path", F.col("n").alias("ordinal"), text.alias("p")).filter(F.trim("p") != "")
     header = F.regexp_extract("p", r"^([^\n]*)", 1)
     seq = F.upper(F.regexp_replace(F.regexp_replace("p", r"^[^\n]*", ""), r"\s", ""))
     return rows.select("path", "ordinal", header.alias("header"), F.regexp_extract(header, r"^(\S+)", 1).alias("id"), header_label(header).alias("name"), seq.alias("seq"))
@@ -60,8 +67,9 @@ def header_values(records: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_genbank(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, name, seq) of GenBank files; records of N alone are left out."""
-    records = _files(spark, path).select("path", F.explode(F.split("value", r"(?m)^//\s*$")).alias("r")).filter(F.rlike("r", F.lit(r"(?m)^LOCUS")))
+    """(path, name, seq) of GenBank files, a row for each record (up to ``//``); records of N alone are left out."""
+    text = F.regexp_replace("value", "\r\n?", "\n")
+    records = _pieces(spark, path, "\n//").select("path", text.alias("r")).filter(F.rlike("r", F.lit(r"(?m)^LOCUS")))
     seq = F.upper(F.regexp_replace(F.regexp_extract("r", r"(?s)\nORIGIN[^\n]*\n(.*)$", 1), r"[\s0-9]", ""))
     out = records.select("path", F.regexp_extract("r", r"(?m)^LOCUS\s+(\S+)", 1).alias("name"), seq.alias("seq"))
     return out.filter(F.rlike("seq", F.lit("[^N]")))

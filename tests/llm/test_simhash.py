@@ -110,7 +110,7 @@ def variants(rng, n, size=150, most=9):
     return out
 
 
-@pytest.mark.parametrize(("cell_rows", "few"), [(10**6, 4), (2, 4), (10**6, 0)])
+@pytest.mark.parametrize(("cell_rows", "few"), [(10**6, 8), (2, 8), (10**6, 0)])
 def test_representatives_against_brute_force(spark, monkeypatch, cell_rows, few):
     rng = np.random.default_rng(2)
     texts = [None, "", "  ", "one", "One ", "a b c d e f", *variants(rng, 40), *variants(rng, 15, 60, 2)]

@@ -114,3 +114,22 @@ def test_plate_reader(spark, folder):
     (folder / "p3.csv").write_text(plate_text(11), encoding="latin-1")
     with pytest.raises(ValueError):
         plates.load_folder(spark, str(folder))
+
+
+def test_files_of_many_splits(spark, folder):
+    """Records keep their number and their lines wherever a split falls."""
+    reads = [(f"r{k}", "ACGT"[k % 4] * (1 + k % 17)) for k in range(3000)]
+    (folder / "many.fastq").write_text("".join(f"@{i} x\n{s}\n+\n{'@' * len(s)}\n" for i, s in reads))
+    (folder / "many.fa").write_text("".join(f">{i}\n{s}\n{s}\n" for i, s in reads))
+    (folder / "many.gb").write_text("".join(f"LOCUS       {i} 1 bp\nORIGIN\n        1 {s}\n//\n" for i, s in reads))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        got = sequences.read_fastq(spark, str(folder / "many.fastq"))
+        assert [(r["read_id"], r["seq"]) for r in got.orderBy("ordinal").collect()] == reads
+        got = sequences.read_fasta(spark, str(folder / "many.fa"))
+        assert got.select(F.spark_partition_id()).distinct().count() > 1
+        assert [(r["ordinal"], r["id"], r["seq"]) for r in got.orderBy("ordinal").collect()] == [(k, i, s * 2) for k, (i, s) in enumerate(reads)]
+        assert {(r["name"], r["seq"]) for r in sequences.read_genbank(spark, str(folder / "many.gb")).collect()} == set(reads)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
