@@ -34,7 +34,11 @@ SEGMENTS = ((16, 16, 16, 16), (12, 12, 12, 12), (9, 9, 9, 9), (7, 7, 7, 6))
 CELL_ROWS = 200_000
 FANOUT, FRONTIER = 8, 32_768
 #: Proposed links are kept so many times over, since not all of them are confirmed.
-FORESTS = 4
+FORESTS = 3
+#: Words whose links are judged first.
+FIRST_WORDS = 4
+#: Texts with the same fingerprint that the smallest cells hold.
+REPEATS = 16
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -187,12 +191,13 @@ def lightest_forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.n
         own = components_of(len(own), a[picked[-1]], b[picked[-1]], own)
 
 
-def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS, found: list | None = None, forests: int = 1) -> np.ndarray:
+def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS, found: list | None = None, forests: int = 1, known: np.ndarray | None = None) -> np.ndarray:
     """For fingerprints sorted by (cell, Gray rank): the smallest index that links
     of at most ``radius`` bits within a cell lead to.  Links are added to ``found`` as
     (a, b, bits) arrays: a forest, light links first, that connects all they connect,
     then a forest of the links that are left, and so on up to ``forests``.  So a link
     that is not among them joins what as many separate paths of found links join.
+    Rows of equal ``known`` values are taken to be connected from the start.
 
     Levels of nodes over runs of FANOUT neighbours hold the bits that all below
     share (mask, pattern).  Pairs of nodes are expanded from the roots; a pair is
@@ -213,7 +218,11 @@ def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS, found
         starts.append(lead)
         counts.append(np.diff(np.append(lead, len(own))))
         cells.append(own[lead])
-    joined = [np.arange(n) for _ in range(forests)]
+    start = np.arange(n)
+    if known is not None and n:
+        _, first, own = np.unique(known, return_index=True, return_inverse=True)
+        start = first[own]
+    joined = [start.copy() for _ in range(forests)]
     same: list[np.ndarray] = []
 
     def refresh() -> None:
@@ -272,7 +281,7 @@ def _cells(rows: DataFrame, level: int) -> DataFrame:
         below = rest.bitwiseAND(F.lit((1 << low) - 1).cast("long"))
         parts.append(F.struct(F.xxhash64(F.col("cell"), F.lit(k), value).alias("cell"), above.bitwiseOR(below).alias("rest")))
         low += bits
-    return rows.withColumn("_part", F.explode(F.array(*parts))).select("rep", "simhash", F.col("_part.cell").alias("cell"), F.col("_part.rest").alias("rest"))
+    return rows.withColumn("_part", F.explode(F.array(*parts))).select("rep", "known", "simhash", F.col("_part.cell").alias("cell"), F.col("_part.rest").alias("rest"))
 
 
 def _links_in_cells(rows: DataFrame, radius: int, forests: int) -> DataFrame:
@@ -287,15 +296,15 @@ def _links_in_cells(rows: DataFrame, radius: int, forests: int) -> DataFrame:
         def flush(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
             shared = rows[0][1:] == rows[0][:-1]  # a fingerprint alone in its cell has no link there
             some = np.concatenate(([False], shared)) | np.concatenate((shared, [False]))
-            cell, prints, rep = (c[some] for c in rows)
+            cell, prints, rep, known = (c[some] for c in rows)
             found = [(np.zeros(0, np.int64),) * 3]
-            gray_links(cell, prints.view(np.uint64), radius, found, forests)
+            gray_links(cell, prints.view(np.uint64), radius, found, forests, known)
             a, b, bits = (np.concatenate(c) for c in zip(*found, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(bits.astype(np.int32))], names=["src", "dst", "bits"])
 
         waiting = 0
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
             waiting += batch.num_rows
             if waiting >= 1 << 18:
                 rows = joined()
@@ -307,7 +316,7 @@ def _links_in_cells(rows: DataFrame, radius: int, forests: int) -> DataFrame:
         if waiting:
             yield flush(joined())
 
-    dealt = rows.select("cell", "simhash", "rep").repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("simhash")))
+    dealt = rows.select("cell", "simhash", "rep", "known").repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("simhash")))
     return dealt.mapInArrow(search, "src long, dst long, bits int")
 
 
@@ -327,12 +336,14 @@ def links(prints: DataFrame, *, radius: int = RADIUS, cell_rows: int = CELL_ROWS
 
     ``prints`` has a row (``simhash``, ``rep``) for each fingerprint and, if there are
     independent fingerprints of a text, the number ``word`` that tells them apart;
-    only equal numbers are compared.  Enough links are returned to connect whatever
+    only equal numbers are compared.  Representatives of equal ``known`` (a long, optional)
+    are connected already, and nothing is returned for them.  Enough links are returned to connect whatever
     is connected, ``forests`` times over, the lightest of a cell first; none joins fingerprints that are not alike."""
     if radius >= 4:
         raise ValueError("four segments find at most three differing bits")
     word = F.col("word") if "word" in prints.columns else F.lit(0)
-    rows = prints.select("rep", "simhash", word.cast("long").alias("cell"), F.col("simhash").alias("rest"))
+    known = F.col("known") if "known" in prints.columns else F.col("rep")
+    rows = prints.select("rep", known.alias("known"), "simhash", word.cast("long").alias("cell"), F.col("simhash").alias("rest"))
     found: DataFrame | None = None
     for level in range(len(SEGMENTS)):
         rows = _cells(rows, level)
@@ -342,12 +353,15 @@ def links(prints: DataFrame, *, radius: int = RADIUS, cell_rows: int = CELL_ROWS
         found = part_ if found is None else found.unionByName(part_)
         if hot is None:
             break
-        # equal fingerprints of one word are linked to one of them, so that a cell's size is bounded by its free bits
-        rows = materialize(rows.join(hot, "cell", "left_semi").select("rep", "simhash", "cell", "rest"), "cells")
-        first = rows.groupBy("cell", "simhash", "rest").agg(F.min("rep").alias("first"))
-        equal = rows.join(first, ["cell", "simhash", "rest"]).filter("rep <> first")
-        found = found.unionByName(equal.select(F.col("first").alias("src"), F.col("rep").alias("dst"), F.lit(0).alias("bits")))
-        rows = first.withColumnRenamed("first", "rep")
+        rows = materialize(rows.join(hot, "cell", "left_semi").select("rep", "known", "simhash", "cell", "rest"), "cells")
+        if level + 2 == len(SEGMENTS):
+            # of equal fingerprints REPEATS go on, the others are linked to one of these, so that the last cells are bounded by their free bits
+            equal = ["cell", "simhash", "rest", "_k"]
+            rows = rows.withColumn("_k", F.pmod(F.xxhash64("rep"), F.lit(REPEATS)))
+            first = rows.groupBy(*equal).agg(F.min(F.struct("rep", "known")).alias("_f")).select(*equal, F.col("_f.rep").alias("first"), F.col("_f.known").alias("first_known"))
+            others = rows.join(first, equal).filter("rep <> first AND known <> first_known")
+            found = found.unionByName(others.select(F.col("first").alias("src"), F.col("rep").alias("dst"), F.lit(0).alias("bits")))
+            rows = first.select("cell", "simhash", "rest", F.col("first").alias("rep"), F.col("first_known").alias("known"))
     return found
 
 
@@ -432,17 +446,28 @@ def _alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").filter(both >= least * (F.size("_a") + F.size("_b") - both)).select("src", "dst")
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, least: float, *, few: int = 8, sample: int = 64) -> DataFrame:
-    """(vertex, component) of the graph of those ``edges`` (src, dst, bits) that the exact similarity confirms.
+def confirmed(edges: DataFrame, sets: DataFrame, least: float, *, known: DataFrame | None = None, few: int = 8, sample: int = 64) -> DataFrame:
+    """(vertex, component) of the graph of those ``edges`` (src, dst, bits) that the exact similarity confirms,
+    and of ``known`` (vertex, component), what is confirmed already.
 
     Where there are at most ``few`` edges a vertex, all are judged.  Otherwise each
     component has its lightest edge judged, what these connect is contracted, and
     edges inside a component are not judged at all; then up to ``sample`` edges of each
     component, then all that are left.  The result is the same, and a large group of
     copies costs about one comparison for each text."""
-    proven: list[DataFrame] = []
+    proven = [] if known is None else [known.select(F.col("vertex").alias("src"), F.col("component").alias("dst"))]
+
+    def contracted(rows: DataFrame, components: DataFrame | None) -> DataFrame:
+        for end, name in (("src", "a"), ("dst", "b")):
+            if components is None:
+                rows = rows.withColumn(name, F.col(end))
+            else:
+                label = components.select(F.col("vertex").alias(end), F.col("component").alias("_c"))
+                rows = rows.join(label, end, "left").withColumn(name, F.coalesce("_c", end)).drop("_c")
+        return materialize(rows.filter("a <> b"), "open")
+
+    open_ = contracted(edges.groupBy("src", "dst").agg(F.min("bits").alias("bits")), known)
     each = 1
-    open_ = materialize(edges.groupBy("src", "dst").agg(F.min("bits").alias("bits")).withColumns({"a": F.col("src"), "b": F.col("dst")}), "open")
     while True:
         ends = open_.select(F.explode(F.array("a", "b")).alias("v"))
         n_edges = open_.count()
@@ -454,17 +479,14 @@ def confirmed(edges: DataFrame, sets: DataFrame, least: float, *, few: int = 8,
             batch = sides.groupBy("v", F.pmod(F.xxhash64("src", "dst"), F.lit(each))).agg(light).select("e.src", "e.dst").distinct()
             each *= sample
         proven.append(materialize(_alike(batch.select("src", "dst"), sets, least), "proven"))
-        known = proven[0]
+        joined = proven[0]
         for p in proven[1:]:
-            known = known.unionByName(p)
-        components = connected_components(known)
+            joined = joined.unionByName(p)
+        components = connected_components(joined)
         if all_:
             return components
-        rest = open_.select("src", "dst", "bits").join(batch, ["src", "dst"], "left_anti")
-        for end, name in (("src", "a"), ("dst", "b")):
-            label = components.select(F.col("vertex").alias(end), F.col("component").alias("_c"))
-            rest = rest.join(label, end, "left").withColumn(name, F.coalesce("_c", end)).drop("_c")
-        open_ = materialize(rest.filter("a <> b"), "open")
+        before, open_ = open_, contracted(open_.select("src", "dst", "bits").join(batch, ["src", "dst"], "left_anti"), components)
+        remove(edges.sparkSession, before)
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, words: int = 16, proposal: int = 2, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -484,14 +506,31 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     copies = prints.groupBy("copy").agg(first, F.any_value("sketch").alias("sketch")).withColumn("vertex", F.xxhash64("copy"))
     copies = materialize(copies, "copies")
-    parts = copies.select(F.col("vertex").alias("rep"), F.posexplode("sketch").alias("word", "simhash"))
-    found = links(parts, radius=radius, cell_rows=cell_rows, forests=FORESTS).filter("src <> dst")
-    edges = materialize(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits"), "proposed")
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
-    texts = keyed.select("row", "text").join(copies.join(ends, "vertex", "left_semi").select("vertex", "first.row"), "row")
-    texts = texts.dropDuplicates(["vertex"]) if repeated else texts
-    sets = materialize(with_shingle_sets(texts.select("vertex", "text"), shingle=shingle), "shingles")
-    components = confirmed(edges, sets, least)
+    texts = keyed.select("row", "text")
+
+    def proposed(parts: DataFrame, forests: int) -> DataFrame:
+        found = links(parts, radius=radius, cell_rows=cell_rows, forests=forests).filter("src <> dst")
+        return materialize(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits"), "proposed")
+
+    def shingle_sets(edges: DataFrame, have: DataFrame | None) -> DataFrame:
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
+        ends = ends if have is None else ends.join(have.select("vertex"), "vertex", "left_anti")
+        wanted = texts.join(copies.join(ends, "vertex", "left_semi").select("vertex", "first.row"), "row")
+        wanted = wanted.dropDuplicates(["vertex"]) if repeated else wanted
+        return materialize(with_shingle_sets(wanted.select("vertex", "text"), shingle=shingle), "shingles")
+
+    # the first words join most of a large group of copies; all words then look for what these missed
+    word = F.posexplode("sketch").alias("word", "simhash")
+    some = proposed(copies.select(F.col("vertex").alias("rep"), F.posexplode(F.slice("sketch", 1, FIRST_WORDS)).alias("word", "simhash")), 1)
+    sets = shingle_sets(some, None)
+    components = confirmed(some, sets, least)
+    spent = [prints, copies, some, sets, components]
+    if words > FIRST_WORDS or FORESTS > 1:
+        known = copies.join(components, "vertex", "left").withColumn("known", F.coalesce("component", "vertex"))
+        edges = proposed(known.select(F.col("vertex").alias("rep"), "known", word), FORESTS)
+        more = shingle_sets(edges, sets)
+        components = confirmed(edges, sets.unionByName(more), least, known=components)
+        spent += [edges, more, components]
     # should two word sequences ever share a vertex, only the first is a member of its component
     own = copies.select("first", "copy", "vertex").join(components, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     again = own.groupBy("vertex").agg(F.count("*").alias("n"), F.min("copy").alias("least_copy")).filter("n > 1").select("vertex", "least_copy")
@@ -499,7 +538,7 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kept = materialize(own.groupBy("component", "other").agg(F.min("first").alias("first")).select("first.row"), "kept")
     out = docs.withColumn("_row", row).join(kept.withColumnRenamed("row", "_row"), "_row", "left_semi")
     out = (out.dropDuplicates(["_row"]) if repeated else out).select(*[F.col(f"`{c}`") for c in docs.columns])
-    for df in (prints, copies, edges, sets, components):
+    for df in spent:
         remove(spark, df)
     return out
 

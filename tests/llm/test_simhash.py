@@ -110,13 +110,13 @@ def variants(rng, n, size=150, most=9):
     return out
 
 
-@pytest.mark.parametrize(("cell_rows", "few"), [(10**6, 8), (2, 8), (10**6, 0)])
+@pytest.mark.parametrize(("cell_rows", "few"), [(10**6, 8), (12, 8), (10**6, 0)])
 def test_representatives_against_brute_force(spark, monkeypatch, cell_rows, few):
     rng = np.random.default_rng(2)
     texts = [None, "", "  ", "one", "One ", "a b c d e f", *variants(rng, 40), *variants(rng, 15, 60, 2)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     plain_confirmed = S.confirmed
-    monkeypatch.setattr(S, "confirmed", lambda edges, sets, least: plain_confirmed(edges, sets, least, few=few))
+    monkeypatch.setattr(S, "confirmed", lambda edges, sets, least, **how: plain_confirmed(edges, sets, least, few=few, **how))
     got = sorted(r["doc_id"] for r in S.representatives(df, cell_rows=cell_rows).collect())
     assert got == sorted(set(plain_groups(texts)))
     assert 6 < len(got) < len(texts) - 20
