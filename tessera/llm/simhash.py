@@ -495,7 +495,9 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Two texts are linked if any of ``words`` independent fingerprints of their
     ``proposal``-word shingles lies within ``radius`` bits and their sets of
     ``shingle``-word shingles then have a Jaccard similarity of at least ``least``; a
-    group is what links connect.  Equal word sequences (null, empty and blank texts:
+    group is what links connect.  Of the proposed links of a cell only FORESTS spanning
+    forests are judged, so that proposals grow in proportion to a group: in a dense group of
+    texts most of which are not alike a link can be missed, none is invented.  Equal word sequences (null, empty and blank texts:
     the empty one) are copies.  Rows that agree in every column are one; rows that share an id but
     differ elsewhere, or have none, are rows of their own.  Columns may have any names."""
     spark = docs.sparkSession

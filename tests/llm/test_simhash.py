@@ -112,14 +112,22 @@ def variants(rng, n, size=150, most=9):
 
 @pytest.mark.parametrize(("cell_rows", "few"), [(10**6, 8), (12, 8), (10**6, 0)])
 def test_representatives_against_brute_force(spark, monkeypatch, cell_rows, few):
+    """Families of a few variants: exactly the groups of all links.  A dense family, whose members are near in many
+    fingerprints and mostly not alike: nothing is joined that is not linked, and at most one in twenty links is missed."""
     rng = np.random.default_rng(2)
-    texts = [None, "", "  ", "one", "One ", "a b c d e f", *variants(rng, 40), *variants(rng, 15, 60, 2)]
+    odd = [None, "", "  ", "one", "One ", "a b c d e f"]
+    dense = variants(rng, 40)
+    small = [t for _ in range(8) for t in variants(rng, 4, 60, 2)]
+    texts = [*odd, *small, *dense]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     plain_confirmed = S.confirmed
     monkeypatch.setattr(S, "confirmed", lambda edges, sets, least, **how: plain_confirmed(edges, sets, least, few=few, **how))
     got = sorted(r["doc_id"] for r in S.representatives(df, cell_rows=cell_rows).collect())
-    assert got == sorted(set(plain_groups(texts)))
-    assert 6 < len(got) < len(texts) - 20
+    want = sorted(set(plain_groups(texts)))
+    first = len(odd) + len(small)
+    assert [i for i in got if i < first] == [i for i in want if i < first]
+    assert set(want) <= set(got) and len(got) - len(want) <= len(dense) / 20
+    assert 14 <= len([i for i in want if i < first]) < first - 10
 
 
 def test_recall_of_alike_texts(spark):
