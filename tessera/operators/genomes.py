@@ -98,6 +98,6 @@ def races(reads: DataFrame, references: DataFrame, neighbours: DataFrame) -> Dat
     ``reads``: strain, seq; ``neighbours``: strain, rival."""
     ref = references.select("name", "seq")
     both = reads.select("strain", F.col("seq").alias("_r")).join(neighbours, "strain")
-    both = both.join(F.broadcast(ref.select(F.col("name").alias("strain"), F.col("seq").alias("_own"))), "strain").join(F.broadcast(ref.select(F.col("name").alias("rival"), F.col("seq").alias("_riv"))), "rival")
+    both = both.join((ref.select(F.col("name").alias("strain"), F.col("seq").alias("_own"))), "strain").join((ref.select(F.col("name").alias("rival"), F.col("seq").alias("_riv"))), "rival")
     d = both.withColumn("_d", F.levenshtein("_r", "_riv") - F.levenshtein("_r", "_own"))
     return d.groupBy("strain", "rival").agg(F.count("*").alias("n"), F.count_if(F.col("_d") > 0).alias("correct"), F.count_if(F.col("_d") == 0).alias("tied"), F.count_if(F.col("_d") < 0).alias("wrong"))

@@ -1,9 +1,8 @@
 """Nearest references, rank retrieval, twins and label verdicts by edit distance.
 
-Queries against references is a stated query set against all references: the
-reference side is a dimension of a few hundred sequences.  ``distances`` refuses a
-larger one; with a distance limit the length filter prunes pairs before any edit
-distance is computed.
+Without a limit, a stated set of references is compared with every query: a dimension
+of a few hundred sequences, broadcast after a check of its bytes.  With a limit on the
+distance, couples are found by equi-joins on shared segments, whatever the tables' sizes.
 """
 
 from __future__ import annotations
@@ -13,28 +12,47 @@ from pyspark.sql import functions as F
 
 from tessera.functions.sequence import norm_edit_distance
 
-#: Most reference sequences that are sent to every task.
-MAX_REFERENCES = 20_000
+#: Bytes of a table that is sent to every task.
+MAX_BROADCAST = 64 << 20
 
 
-def checked(references: DataFrame) -> DataFrame:
-    n = references.limit(MAX_REFERENCES + 1).count()
-    if n > MAX_REFERENCES:
-        raise ValueError(f"more than {MAX_REFERENCES} reference sequences; give a distance limit and split the references")
-    return F.broadcast(references)
+def checked(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """``df``, to be broadcast; an error if its rows have more than ``most`` bytes as text."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"{size} bytes are too many to send to every task ({most}); give a distance limit or split the references")
+    return F.broadcast(df)
+
+
+def _near(q: DataFrame, r: DataFrame, limit: int) -> DataFrame:
+    """Couples (query, _q, ref, _r) that may be within ``limit`` edits: a text cut into ``limit`` + 1 segments keeps
+    one of them whole, at most ``limit`` places off, in any text within ``limit`` edits."""
+    parts = limit + 1
+    begin = lambda length, i: F.floor(i * length / parts).cast("int")
+    pieces = F.sequence(F.lit(0), F.lit(limit))
+    own = F.transform(pieces, lambda i: F.struct(F.length("_r").alias("n"), i.alias("i"), F.substring(F.col("_r"), begin(F.length("_r"), i) + 1, begin(F.length("_r"), i + 1) - begin(F.length("_r"), i)).alias("part")))
+    left = r.select("ref", "_r", F.explode(own).alias("k")).select("ref", "_r", "k.*")
+    n = F.length("_q")
+    asked = q.select("query", "_q", F.explode(F.sequence(F.greatest(n - limit, F.lit(0)), n + limit)).alias("n")).select("query", "_q", "n", F.explode(pieces).alias("i"))
+    start, size = begin(F.col("n"), F.col("i")), begin(F.col("n"), F.col("i") + 1) - begin(F.col("n"), F.col("i"))
+    last = F.least(start + limit, F.length("_q") - size)
+    first = F.greatest(start - limit, F.lit(0))
+    places = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    right = asked.withColumn("_size", size).withColumn("part", F.explode(F.array_distinct(F.transform(places, lambda p: F.substring(F.col("_q"), p + 1, F.col("_size")))))).drop("_size")
+    return right.join(left, ["n", "i", "part"]).select("query", "_q", "ref", "_r").distinct()
 
 
 def distances(queries: DataFrame, references: DataFrame, *, limit: int | None = None) -> DataFrame:
     """(query, ref, bp, dist) of every query against every reference: ``name, seq`` of each.
 
-    With ``limit``, only pairs within that many edits, found by length first."""
+    With ``limit``, only pairs within that many edits.  Null sequences are near to nothing."""
     q = queries.select(F.col("name").alias("query"), F.col("seq").alias("_q"))
-    r = checked(references.select(F.col("name").alias("ref"), F.col("seq").alias("_r")))
-    near = F.lit(True) if limit is None else F.abs(F.length("_q") - F.length("_r")) <= limit
-    both = q.join(r, near)
-    bp = F.levenshtein("_q", "_r") if limit is None else F.levenshtein("_q", "_r", limit)
-    out = both.withColumn("bp", bp).withColumn("dist", norm_edit_distance(F.col("_q"), F.col("_r"))) if limit is None else both.withColumn("bp", bp).filter("bp >= 0").withColumn("dist", F.try_divide("bp", F.greatest(F.length("_q"), F.length("_r"))))
-    return out.select("query", "ref", "bp", "dist")
+    r = references.select(F.col("name").alias("ref"), F.col("seq").alias("_r"))
+    if limit is None:
+        both = q.join(checked(r), F.lit(True)).withColumn("bp", F.levenshtein("_q", "_r"))
+        return both.select("query", "ref", "bp", norm_edit_distance(F.col("_q"), F.col("_r")).alias("dist"))
+    both = _near(q, r, limit).withColumn("bp", F.levenshtein("_q", "_r", limit)).filter("bp >= 0")
+    return both.select("query", "ref", "bp", F.try_divide("bp", F.greatest(F.length("_q"), F.length("_r"))).alias("dist"))
 
 
 def nearest(found: DataFrame) -> DataFrame:

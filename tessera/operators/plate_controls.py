@@ -98,7 +98,7 @@ def locality(events: DataFrame, homes: DataFrame, wells: DataFrame, *, draws: in
 
     ``events`` and ``homes``: plate, row, col, label; ``wells``: all wells of a plate (row, col), numbered by hash order for the draws."""
     place = F.row_number().over(Window.orderBy("row", "col")) - 1
-    numbered = F.broadcast(wells.select("row", "col").distinct().withColumn("_w", place))
+    numbered = wells.select("row", "col").distinct().withColumn("_w", place)  # the wells of a plate
     n = numbered.count()
     keyed = events.withColumn("_e", F.concat_ws(":", "plate", "row", "col", "label"))
     drawn = keyed.select("plate", "label", "_e", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))

@@ -20,7 +20,7 @@ def well_densities(cells: DataFrame, layout: DataFrame, *, value: str = "od") ->
     ``cells``: plate, row, col, od; ``layout``: plate, row, col and what describes the wells."""
     unused = cells.join(layout.select("plate", "row", "col"), ["plate", "row", "col"], "left_anti")
     blank = unused.groupBy("plate").agg(F.median(value).alias("_blank"))
-    wells = layout.join(cells, ["plate", "row", "col"]).join(F.broadcast(blank), "plate", "left")
+    wells = layout.join(cells, ["plate", "row", "col"]).join(blank, "plate", "left")
     wells = wells.withColumn("od_net", F.col(value) - F.coalesce("_blank", F.lit(0.0))).drop("_blank")
     wells = wells.withColumn("od_flat", detrend("od_net", ["plate"], "row", "col"))
     return wells.withColumn("od_z", zscore("od_flat", ["plate"]))

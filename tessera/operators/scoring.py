@@ -170,7 +170,7 @@ def main_component(pairs: DataFrame, a: str = "strain_a", b: str = "strain_b") -
     """(strain) of the largest connected component; of equally large ones that with the smallest member."""
     members = connected_components(pairs, a, b)
     sizes = members.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    return members.join(F.broadcast(sizes.select("component")), "component", "left_semi").select(F.col("vertex").alias("strain"))
+    return members.join(sizes.select("component"), "component", "left_semi").select(F.col("vertex").alias("strain"))
 
 
 def in_component(pairs: DataFrame, members: DataFrame, a: str = "strain_a", b: str = "strain_b") -> DataFrame:

@@ -199,4 +199,4 @@ def mask_mismatches(spark, sf_dir):
     plain = F.regexp_replace("n_name", "[^ACGT]", "-")
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"), S.base_masks(plain).alias("m"))
     x, y = n.select(F.col("n_nationkey").alias("i"), F.col("name").alias("a"), F.col("m").alias("ma")), n.select(F.col("n_nationkey").alias("j"), F.col("name").alias("b"), F.col("m").alias("mb"))
-    return x.join(F.broadcast(y), F.col("i") < F.col("j")).select("a", "b", S.mask_mismatches(F.col("ma"), F.col("mb"), 0).alias("mismatches"))
+    return x.join(I.checked(y), F.col("i") < F.col("j")).select("a", "b", S.mask_mismatches(F.col("ma"), F.col("mb"), 0).alias("mismatches"))

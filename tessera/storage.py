@@ -17,8 +17,22 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders that this process named and has not cleaned up.
+_named: set[str] = set()
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _named.add(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all folders below :func:`shared_root` that this process wrote, once results that read them are written."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _named:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_named.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -155,3 +155,32 @@ def test_plate_controls(spark):
     d = spark.createDataFrame([(a, b, 0 if a == b else 9) for a in "xyz" for b in "xyz"], "a string, b string, d int")
     combos = spark.createDataFrame([("s1", "x", "y"), ("s2", "x", "y"), ("s3", "z", "y")], "sample string, fwd string, rev string")
     assert {r["sample"]: r["n"] for r in P.confusable(d, combos, 3).collect()} == {"s1": 1, "s2": 1, "s3": 0}
+
+
+def test_bounded_distances_against_all_couples(spark):
+    """Segments find every couple within the limit, short and repeated texts included."""
+    import random
+
+    from tessera.functions.alignment import distance
+    from tessera.operators import identity
+
+    draw = random.Random(3)
+    base = ["".join(draw.choices("AC", k=n)) for n in (0, 1, 2, 3, 5, 8, 12, 20, 20)]
+    texts = base + ["".join(c for c in t if draw.random() > 0.1) + "C" * draw.randrange(3) for t in base for _ in range(6)]
+    rows = [(f"t{k}", t) for k, t in enumerate(texts)] + [("none", None)]
+    df = spark.createDataFrame(rows, "name string, seq string")
+    for limit in (0, 1, 3):
+        got = {(r["query"], r["ref"]): r["bp"] for r in identity.distances(df, df, limit=limit).collect()}
+        want = {(a, b): distance(x, y) for a, x in rows[:-1] for b, y in rows[:-1] if distance(x, y) <= limit}
+        assert got == want
+
+
+def test_intermediate_tables_are_cleaned_up(spark):
+    import os
+
+    from tessera import storage
+
+    path = storage.materialize(spark.range(3), "some").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.exists(path)
+    storage.clean(spark)
+    assert not os.path.exists(path)
