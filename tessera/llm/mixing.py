@@ -113,9 +113,14 @@ def topic_centres(vectors: DataFrame, *, topics: int = TOPICS, steps: int = TOPI
     smallest hashes of their words; every step then sums the vectors of all documents by
     centre, and ends early when no centre moves."""
     some = vectors.filter(F.length("vector") > 0).select("vector")
-    start = some.distinct().orderBy(F.xxhash64(F.lit("topics"), F.col("vector")), "vector").limit(first).toArrow()["vector"].to_pylist()
-    if not start:
+    n = some.count()
+    if not n:
         return np.zeros((1, SLOTS))
+    draw, by_hash = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) / float(1 << 30), F.xxhash64(F.lit("topics"), F.col("vector"))
+    for share in (4 * first / n, 1.0):  # some four times as many are enough to choose from, unless nearly all are copies
+        start = some.filter(draw < share).distinct().orderBy(by_hash, "vector").limit(first).toArrow()["vector"].to_pylist()
+        if len(start) >= min(first, TOPICS):
+            break
     centres = first_centres(dense(start), topics)
     for _ in range(steps):
         shared = vectors.sparkSession.sparkContext.broadcast(centres)  # topics x SLOTS
