@@ -60,9 +60,11 @@ def test_group_cv_and_locality(spark, wide, monkeypatch):
     seen = {}
     whole = models.cross_validate
     monkeypatch.setattr(models, "cross_validate", lambda roles, pairs, frame, **k: seen.update(frame=frame, pairs=pairs) or whole(roles, pairs, frame, **k))
-    monkeypatch.setattr(P, "locality", lambda events, homes, wells, **k: wells)
+    locality = P.locality
+    monkeypatch.setattr(P, "locality", lambda events, homes, wells, **k: seen.update(wells=wells) or locality(events, homes, wells, **k))
     assert QUERIES["group_cv"](spark, root).count() > 0
     assert set(seen["frame"].index) == set(lines["l_suppkey"])
     assert seen["pairs"].agg(F.max("strain_a")).first()[0] > 1000
-    wells = {(r["row"], r["col"]) for r in QUERIES["locality"](spark, root).collect()}
+    QUERIES["locality"](spark, root)
+    wells = {(r["row"], r["col"]) for r in seen["wells"].collect()}
     assert wells == {(k % 384 // 24, k % 24) for k in parts["p_partkey"]} and (0, 0) in wells
