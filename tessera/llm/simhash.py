@@ -447,7 +447,7 @@ def _alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, least: float, *, known: DataFrame | None = None, few: int = 8, sample: int = 64) -> DataFrame:
-    """(vertex, component) of the graph of those ``edges`` (src, dst, bits) that the exact similarity confirms,
+    """(vertex, component) of the graph of those ``edges`` (src, dst, bits; each once) that the exact similarity confirms,
     and of ``known`` (vertex, component), what is confirmed already.
 
     Where there are at most ``few`` edges a vertex, all are judged.  Otherwise each
@@ -466,7 +466,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, least: float, *, known: DataFra
                 rows = rows.join(label, end, "left").withColumn(name, F.coalesce("_c", end)).drop("_c")
         return materialize(rows.filter("a <> b"), "open")
 
-    open_ = contracted(edges.groupBy("src", "dst").agg(F.min("bits").alias("bits")), known)
+    open_ = contracted(edges, known)
     each = 1
     while True:
         ends = open_.select(F.explode(F.array("a", "b")).alias("v"))
@@ -512,7 +512,8 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def proposed(parts: DataFrame, forests: int) -> DataFrame:
         found = links(parts, radius=radius, cell_rows=cell_rows, forests=forests).filter("src <> dst")
-        return materialize(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits"), "proposed")
+        pair = found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits")
+        return materialize(pair.groupBy("src", "dst").agg(F.min("bits").alias("bits")), "proposed")  # a pair meets in several cells
 
     def shingle_sets(edges: DataFrame, have: DataFrame | None) -> DataFrame:
         ends = edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
