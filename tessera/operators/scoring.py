@@ -116,9 +116,14 @@ def outcome(share: Column) -> Column:
     return F.when(share > 0.5, 1.0).when(share < 0.5, 0.0).when(share == 0.5, 0.5)
 
 
+#: Mean shares this near to a half are ties: a mean of fractions is off by its last bits, depending on the order they were added in.
+TIE = 1e-12
+
+
 def win_edges(pairs: DataFrame, share: Column) -> DataFrame:
-    """``strain_a < strain_b`` and ``a_wins`` of the pairs that are decided; ties and unknown outcomes are no edge."""
-    return pairs.withColumn("_w", outcome(share)).filter("_w IN (0.0, 1.0)").select("strain_a", "strain_b", (F.col("_w") == 1.0).alias("a_wins"))
+    """``strain_a < strain_b`` and ``a_wins`` of the pairs that are decided; ties (within ``TIE``) and unknown outcomes are no edge."""
+    exact = F.when(F.abs(share - 0.5) <= TIE, 0.5).otherwise(share)
+    return pairs.withColumn("_w", outcome(exact)).filter("_w IN (0.0, 1.0)").select("strain_a", "strain_b", (F.col("_w") == 1.0).alias("a_wins"))
 
 
 def win_ranks(edges: DataFrame, strains: DataFrame | None = None) -> DataFrame:

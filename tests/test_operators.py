@@ -184,3 +184,10 @@ def test_intermediate_tables_are_cleaned_up(spark):
     assert os.path.exists(path)
     storage.clean(spark)
     assert not os.path.exists(path)
+
+
+def test_win_edges_do_not_depend_on_the_order_of_a_sum(spark):
+    """A mean of a half is a tie even if its last bit was lost on the way."""
+    rows = [(1, 2, 0.5 - 2**-54), (1, 3, 0.5 + 2**-53), (1, 4, 0.5), (5, 6, 0.5 + 1e-9), (5, 7, 0.5 - 1e-9), (5, 8, None)]
+    edges = scoring.win_edges(spark.createDataFrame(rows, "strain_a int, strain_b int, m double"), F.col("m"))
+    assert sorted(map(tuple, edges.collect())) == [(5, 6, True), (5, 7, False)]
