@@ -191,3 +191,9 @@ def test_win_edges_do_not_depend_on_the_order_of_a_sum(spark):
     rows = [(1, 2, 0.5 - 2**-54), (1, 3, 0.5 + 2**-53), (1, 4, 0.5), (5, 6, 0.5 + 1e-9), (5, 7, 0.5 - 1e-9), (5, 8, None)]
     edges = scoring.win_edges(spark.createDataFrame(rows, "strain_a int, strain_b int, m double"), F.col("m"))
     assert sorted(map(tuple, edges.collect())) == [(5, 6, True), (5, 7, False)]
+
+
+def test_triads_without_a_tied_edge(spark):
+    rows = [(1, 2, 0.9), (2, 3, 0.8), (1, 3, 0.5 - 2**-54), (1, 4, 0.1), (2, 4, 0.9)]
+    edges = scoring.win_edges(spark.createDataFrame(rows, "strain_a int, strain_b int, m double"), F.col("m"))
+    assert scoring.intransitive_triads(edges).first()[:2] == (1, 1)  # 1 beats 2, 2 beats 4, 4 beats 1; 1 and 3 are tied
