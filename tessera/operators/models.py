@@ -12,10 +12,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.draws import uniform
+from tessera.storage import materialize
+
+from .graph import connected_components
 
 # ---- plain numerics -----------------------------------------------------------------------
 
@@ -68,7 +71,7 @@ def additive_yield(a: np.ndarray, b: np.ndarray, y: np.ndarray, n: int, *, penal
     return np.linalg.solve(m, r), mean
 
 
-def bradley_terry(a: np.ndarray, b: np.ndarray, wins_a: np.ndarray, wins_b: np.ndarray, n: int, *, steps: int = 100) -> dict:
+def bradley_terry(a: np.ndarray, b: np.ndarray, wins_a: np.ndarray, wins_b: np.ndarray, n: int, *, steps: int = 100, errors: bool = True) -> dict:
     """Maximum likelihood strengths with strength 0 for strain 0: iteratively reweighted least squares.
 
     Returns strengths, standard errors (nan for the baseline), deviance, null deviance,
@@ -95,7 +98,7 @@ def bradley_terry(a: np.ndarray, b: np.ndarray, wins_a: np.ndarray, wins_b: np.n
 
     p = 1 / (1 + np.exp(-(s[a] - s[b])))
     se = np.full(n, np.nan)
-    if n > 1:
+    if n > 1 and errors:
         se[1:] = np.sqrt(np.maximum(np.diag(np.linalg.pinv(m[1:, 1:])), 0))
     # the null model knows one share for all pairs
     dev, null = deviance(p), deviance(np.full(len(a), max(1e-12, min(1 - 1e-12, wins_a.sum() / max(total.sum(), 1)))))
@@ -340,29 +343,119 @@ def fold_scores(predictions: DataFrame, *, symmetric: bool = False, by: tuple[st
     return score(predictions, "y_true", "y_pred", list(by)).join(rho, list(by))
 
 
-#: Strains of one experiment that a fit takes (its matrix of doubles then has 200 MB).
-MAX_STRAINS = 5_000
+#: Strains of one component up to which a fit solves dense systems (a matrix of doubles then has 32 MB); larger ones are solved by conjugate gradients.
+DENSE_STRAINS = 2_000
+#: Steps of minorisation from equal strengths, which place components that no pair connects.
+PLACING_STEPS = 120
 
 
-def fit_bradley_terry(pooled: DataFrame) -> DataFrame:
-    """(strain, bt_strength, bt_se, bt_rank, pseudo_r2, deviance, null_deviance, df_resid) of the pairs of one component.
+def minorised(a: np.ndarray, b: np.ndarray, wins_a: np.ndarray, wins_b: np.ndarray, n: int) -> np.ndarray:
+    """Log strengths after PLACING_STEPS steps of p = wins / sum(games / (p + p of the rival)) from p = 1, or once nothing moves; -inf without a win."""
+    total = wins_a + wins_b
+    wins = np.bincount(a, wins_a, n) + np.bincount(b, wins_b, n)
+    p, scale = np.ones(n), 0.0
+    for _ in range(PLACING_STEPS):
+        share = total / (p[a] + p[b])
+        new = wins / (np.bincount(a, share, n) + np.bincount(b, share, n))
+        factor = new.max()
+        moved = np.abs(new - p).max()
+        p, scale = new / factor, scale + np.log(factor)
+        if moved < 1e-15 * factor:
+            break
+        p = np.maximum(p, np.where(wins > 0, 1e-300, 0.0)) + np.where(wins > 0, 0.0, 1e-300)
+    with np.errstate(divide="ignore"):
+        return np.where(wins > 0, np.log(p), -np.inf) + scale
+
+
+def _solve_laplacian(a: np.ndarray, b: np.ndarray, w: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """x with x[0] = 0 of the weighted Laplacian of edges (a, b, w) plus a ridge of 1e-9: conjugate gradients scaled by the diagonal."""
+    n = len(right)
+    diagonal = np.bincount(a, w, n) + np.bincount(b, w, n) + 1e-9
+    x, r = np.zeros(n), right.copy()
+    r[0] = 0
+    z = r / diagonal
+    d, rz, goal = z.copy(), float(r @ z), float(np.abs(r).max(initial=0)) * 1e-14
+    for _ in range(10 * n):
+        if np.abs(r).max(initial=0) <= goal:
+            break
+        q = diagonal * d - np.bincount(a, w * d[b], n) - np.bincount(b, w * d[a], n)
+        q[0] = 0
+        step = rz / float(d @ q)
+        x += step * d
+        r -= step * q
+        z = r / diagonal
+        rz, before = float(r @ z), rz
+        d = z + rz / before * d
+    return x
+
+
+def sparse_bradley_terry(a: np.ndarray, b: np.ndarray, wins_a: np.ndarray, wins_b: np.ndarray, n: int, *, steps: int = 100, errors: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(strengths, standard errors) as :func:`bradley_terry` finds them, with memory for the pairs only; ``errors`` takes a solution for each strain."""
+    total = wins_a + wins_b
+    s, w = np.zeros(n), np.zeros(len(a))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-(s[a] - s[b])))
+        w = np.maximum(total * p * (1 - p), 1e-12)
+        left = wins_a - total * p
+        step = np.clip(_solve_laplacian(a, b, w, np.bincount(a, left, n) - np.bincount(b, left, n)), -5, 5)
+        s += step
+        if np.abs(step).max(initial=0) < 1e-10:
+            break
+    se = np.full(n, np.nan)
+    for k in range(1, n) if errors else ():
+        unit = np.zeros(n)
+        unit[k] = 1
+        se[k] = np.sqrt(max(_solve_laplacian(a, b, w, unit)[k], 0.0))
+    return s, se
 
-    ``pooled``: strain_a, strain_b, n_reads_a, n_reads_b, a row for each pair: the strains of one
-    experiment, so one task fits them; more than MAX_STRAINS are an error, as its matrix has a
-    row and a column for each.  The smallest strain is the baseline; logs are natural."""
-    kind = dict(pooled.dtypes)["strain_a"]
-    schema = f"strain {kind}, bt_strength double, bt_se double, bt_rank int, pseudo_r2 double, deviance double, null_deviance double, df_resid int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        strains = np.unique(np.concatenate((pdf["strain_a"], pdf["strain_b"])))
-        if len(strains) > MAX_STRAINS:
-            raise ValueError(f"{len(strains)} strains in one fit; at most {MAX_STRAINS}")
-        fit = bradley_terry(np.searchsorted(strains, pdf["strain_a"]), np.searchsorted(strains, pdf["strain_b"]), pdf["n_reads_a"].to_numpy(float), pdf["n_reads_b"].to_numpy(float), len(strains))
-        out = pd.DataFrame({"strain": strains, "bt_strength": fit["strength"], "bt_se": fit["se"]}).sort_values(["bt_strength", "strain"], ascending=[False, True])
-        out["bt_rank"] = np.arange(1, len(out) + 1)
-        return out.assign(**{k: fit[k] for k in ("pseudo_r2", "deviance", "null_deviance", "df_resid")})
+def _fit_component(pdf: pd.DataFrame, errors: bool) -> pd.DataFrame:
+    """Strengths of one component on the scale of :func:`minorised`; its sums are in the first row."""
+    strains = np.unique(np.concatenate((pdf["strain_a"], pdf["strain_b"])))
+    n = len(strains)
+    a, b = np.searchsorted(strains, pdf["strain_a"]), np.searchsorted(strains, pdf["strain_b"])
+    wins_a, wins_b = pdf["n_reads_a"].to_numpy(float), pdf["n_reads_b"].to_numpy(float)
+    if n <= DENSE_STRAINS:
+        fit = bradley_terry(a, b, wins_a, wins_b, n, errors=errors)
+        s, se = fit["strength"], fit["se"]
+    else:
+        s, se = sparse_bradley_terry(a, b, wins_a, wins_b, n, errors=errors)
+    placed = minorised(a, b, wins_a, wins_b, n)
+    some = np.isfinite(placed)
+    s = s + (placed[some].mean() - s[some].mean() if some.any() else 0.0)
+    out = pd.DataFrame({"strain": strains, "s": s, "bt_se": se, "fitted": 0.0, "own": 0.0, "won": 0.0, "lost": 0.0, "n_pairs": 0})
+    total, d = wins_a + wins_b, s[a] - s[b]
+    log_p, log_q = -np.logaddexp(0, -d), -np.logaddexp(0, d)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.where(wins_a > 0, wins_a * np.log(wins_a / total), 0.0) + np.where(wins_b > 0, wins_b * np.log(wins_b / total), 0.0)
+    out.loc[0, ["fitted", "own", "won", "lost"]] = [(wins_a * log_p + wins_b * log_q).sum(), own.sum(), wins_a.sum(), wins_b.sum()]
+    out.loc[0, "n_pairs"] = len(a)
+    return out
 
-    return pooled.select("strain_a", "strain_b", "n_reads_a", "n_reads_b", F.lit(1).alias("_g")).groupBy("_g").applyInPandas(run, schema)
+
+def fit_bradley_terry(pooled: DataFrame, *, errors: bool = True) -> DataFrame:
+    """(strain, bt_strength, bt_se, bt_rank, pseudo_r2, deviance, null_deviance, df_resid), any number of strains.
+
+    ``pooled``: strain_a, strain_b, n_reads_a, n_reads_b, a row for each pair.  The smallest
+    strain is the baseline; logs are natural.  A task fits one connected component, so its memory follows the
+    pairs of the largest.  Nothing says how strains that no pairs connect compare: components
+    are placed where minorisation from equal strengths leaves them.  Without ``errors`` bt_se is null;
+    it is relative to the smallest strain of the component."""
+    kind = dict(pooled.dtypes)["strain_a"]
+    schema = f"strain {kind}, s double, bt_se double, fitted double, own double, won double, lost double, n_pairs long"
+    pooled = materialize(pooled.select("strain_a", "strain_b", "n_reads_a", "n_reads_b"), "pooled")
+    component = connected_components(pooled, "strain_a", "strain_b").select(F.col("vertex").alias("strain_a"), "component")
+    fits = pooled.join(component, "strain_a").groupBy("component").applyInPandas(lambda pdf: _fit_component(pdf, errors), schema)
+    fits = materialize(fits, "strengths")
+    one = fits.agg(F.min_by("s", "strain").alias("base"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("fitted", "own", "won", "lost", "n_pairs")])
+    log = lambda k: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (F.col("won") + F.col("lost")))).otherwise(0.0)
+    deviance, null = 2 * (F.col("own") - F.col("fitted")), 2 * (F.col("own") - log("won") - log("lost"))  # the null model knows one share for all pairs
+    one = one.select("base", deviance.alias("deviance"), null.alias("null_deviance"), (F.col("n_pairs") - F.col("n") + 1).cast("int").alias("df_resid"))
+    # strains are a dimension: one ordered window; strengths that differ by rounding only are ties
+    place = F.row_number().over(Window.orderBy(F.desc(F.round("s", 9)), "strain"))
+    ranked = fits.select("strain", "s", F.nanvl("bt_se", F.lit(None).cast("double")).alias("bt_se"), place.alias("bt_rank")).join(F.broadcast(one), F.lit(True))
+    r2 = 1 - F.try_divide("deviance", F.nullif(F.col("null_deviance"), F.lit(0.0)))
+    return ranked.select("strain", (F.col("s") - F.col("base")).alias("bt_strength"), "bt_se", "bt_rank", r2.alias("pseudo_r2"), "deviance", "null_deviance", "df_resid")
 
 
 def strength_residuals(pairs: DataFrame, strengths: DataFrame, *, natural_log: bool = False) -> DataFrame:
@@ -504,8 +597,6 @@ def matched_feature_sets(prevalence: np.ndarray, size: np.ndarray | list[int], d
 
 def learning_curve(pairs: DataFrame, *, sizes: list[int], unit: str = "strain", repeats: int = 5, seed: int = 0) -> DataFrame:
     """(size, rep, strain_a, strain_b, …): the pairs among ``size`` strains, the first in a seeded hash order of each repeat."""
-    from pyspark.sql import Window
-
     strains = pairs.select(F.explode(F.array("strain_a", "strain_b")).alias("s")).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     place = F.row_number().over(Window.partitionBy("rep").orderBy(uniform(seed, "rep", "s"), "s"))
     placed = strains.withColumn("_n", place)

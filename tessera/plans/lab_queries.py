@@ -230,7 +230,7 @@ dev AS (SELECT 2 * sum(CASE WHEN w > 0 THEN w * ln(w / (n * p)) ELSE 0 END + CAS
     f"WITH RECURSIVE {BRADLEY_TERRY} SELECT strain, round(s, 4) AS bt_strength, CAST(row_number() OVER (ORDER BY s DESC, strain) AS INTEGER) AS bt_rank, round(1 - d / d0, 4) AS pseudo_r2, round(d, 2) AS deviance, round(d0, 2) AS null_deviance, CAST(df AS INTEGER) AS df_resid FROM bt, dev",
 )
 def bt_glm(spark, sf_dir):
-    fit = models.fit_bradley_terry(scoring.pooled_counts(supplier_wells(spark, sf_dir)))
+    fit = models.fit_bradley_terry(scoring.pooled_counts(supplier_wells(spark, sf_dir)), errors=False)
     return fit.select("strain", F.round("bt_strength", 4).alias("bt_strength"), "bt_rank", F.round("pseudo_r2", 4).alias("pseudo_r2"), F.round("deviance", 2).alias("deviance"), F.round("null_deviance", 2).alias("null_deviance"), "df_resid")
 
 
@@ -239,7 +239,7 @@ def bt_glm(spark, sf_dir):
     f"WITH RECURSIVE {BRADLEY_TERRY} SELECT (SELECT count(*) FROM bt) AS n_strains, round(d0 - d, 2) AS lr_stat, CAST(df AS INTEGER) AS df_resid, round(d / df, 4) AS dispersion_ratio FROM dev",
 )
 def bt_goodness_of_fit(spark, sf_dir):
-    fit = models.goodness_of_fit(models.fit_bradley_terry(scoring.pooled_counts(supplier_wells(spark, sf_dir))))
+    fit = models.goodness_of_fit(models.fit_bradley_terry(scoring.pooled_counts(supplier_wells(spark, sf_dir)), errors=False))
     return fit.select("n_strains", F.round("lr_stat", 2).alias("lr_stat"), "df_resid", F.round("dispersion_ratio", 4).alias("dispersion_ratio"))
 
 
