@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sequence import norm_edit_distance
+from tessera.storage import materialize
 
 #: Bytes of a table that is sent to every task.
 MAX_BROADCAST = 64 << 20
@@ -109,11 +110,19 @@ def verdicts(found: DataFrame, expected: DataFrame, twin: DataFrame, references:
 
 
 def agreement(sequences: DataFrame) -> DataFrame:
-    """Per strain and couple of sources the highest identity over their copies: ``strain, source, seq``."""
+    """Per strain and couple of sources the highest identity over their copies: ``strain, source, seq``.
+
+    Distinct sequences are compared, and not at all for couples that share one (identity 1)."""
+    sequences = materialize(sequences.select("strain", "source", "seq").distinct(), "sequences")
     a = sequences.select("strain", F.col("source").alias("source_a"), F.col("seq").alias("_a"))
     b = sequences.select("strain", F.col("source").alias("source_b"), F.col("seq").alias("_b"))
-    both = a.join(b, "strain").filter("source_a < source_b")
-    return both.groupBy("strain", "source_a", "source_b").agg(F.max(1 - norm_edit_distance(F.col("_a"), F.col("_b"))).alias("identity"))
+    couple = ["strain", "source_a", "source_b"]
+    same = a.join(b.withColumnRenamed("_b", "_a"), ["strain", "_a"]).filter("source_a < source_b AND length(_a) > 0").select(*couple).distinct()
+    which = sequences.select("strain", "source").distinct()
+    couples = which.select("strain", F.col("source").alias("source_a")).join(which.select("strain", F.col("source").alias("source_b")), "strain").filter("source_a < source_b")
+    both = couples.join(same, couple, "left_anti").join(a, ["strain", "source_a"]).join(b, ["strain", "source_b"])
+    compared = both.groupBy(*couple).agg(F.max(1 - norm_edit_distance(F.col("_a"), F.col("_b"))).alias("identity"))
+    return compared.unionByName(same.withColumn("identity", F.lit(1.0)))
 
 
 def collapse_copies(copies: DataFrame, query: Column | None = None) -> DataFrame:
