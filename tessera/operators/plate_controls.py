@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.draws import uniform
+from tessera.functions.draws import uniform, uniforms
+from tessera.storage import materialize
 
-from .stats import correlation, permuted_labels, spearman
+from .stats import correlation, numbered, permuted_labels, repeated_draws, spearman
 
 # wells are (row, col) from 0 within a plate of rows x cols
 
@@ -20,16 +23,42 @@ def neighbour_pairs(wells: DataFrame, *, reach: int = 1, keep: tuple[str, ...] =
     return side(1).join(side(2), "plate").filter(near & later)
 
 
+def _alike_neighbours(pdf: pd.DataFrame, reach: int, kinds: int) -> np.ndarray:
+    """By replicate: couples of wells of a plate at most ``reach`` apart with the same label; nothing if there is no such couple."""
+    pdf = pdf.sort_values(["replicate", "row", "col"], kind="stable")
+    codes = pd.factorize(pdf["_l"])[0].reshape(kinds, -1)
+    row, col = (pdf[c].to_numpy(np.int64)[: codes.shape[1]] for c in ("row", "col"))
+    wide = int(col.max() - col.min()) + 2 * reach + 1
+    key = row * wide + (col - col.min())
+    times = np.searchsorted(key, key, "right") - np.searchsorted(key, key, "left")  # rows of a well
+    out, couples = np.zeros(kinds, np.int64), 0
+    for d_row, d_col in [(r, c) for r in range(reach + 1) for c in range(-reach, reach + 1) if r or c > 0]:
+        low = np.searchsorted(key, key + d_row * wide + d_col, "left")
+        n = np.searchsorted(key, key + d_row * wide + d_col, "right") - low
+        a = np.repeat(np.arange(len(key)), n)
+        b = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        couples += len(a)
+        out += ((codes[:, a] == codes[:, b]) & (codes[:, a] >= 0)) @ (times[a] * times[b])
+    return out if couples else out[:0]
+
+
 def adjacency_enrichment(wells: DataFrame, label: str, *, reach: int = 2, replicates: int = 200, seed: int = 0) -> DataFrame:
     """One row: couples of neighbours that share the label, their mean over permuted labels, z and p = k / n."""
-    wells = wells.withColumn("_id", F.concat_ws(":", "plate", "row", "col"))
-    pairs = neighbour_pairs(wells, reach=reach, keep=("_id",)).select("_id_1", "_id_2")
-    observed = wells.select("_id", F.col(label).alias("_l")).withColumn("replicate", F.lit(0))
-    nulls = permuted_labels(wells, key="_id", label=label, replicates=replicates, seed=seed).select("_id", F.col(label).alias("_l"), "replicate")
-    every = observed.unionByName(nulls)
-    one = every.select("replicate", F.col("_id").alias("_id_1"), F.col("_l").alias("_a"))
-    two = every.select("replicate", F.col("_id").alias("_id_2"), F.col("_l").alias("_b"))
-    counts = pairs.join(one, "_id_1").join(two, ["replicate", "_id_2"]).groupBy("replicate").agg(F.count_if(F.col("_a") == F.col("_b")).alias("n"))
+    wells = wells.select("plate", "row", "col", F.col(label).alias("_l"), F.concat_ws(":", "plate", "row", "col").alias("_id"))
+    wells = materialize(wells, "wells")
+    total = wells.count()
+    # the n-th of the wells as they are drawn gets the label of the n-th by name; both are numbered over all replicates at once
+    labels = numbered(wells.select("_id", "_l"), ["_id"], "_n").select("_n", "_l")
+    drawn = materialize(repeated_draws(wells.drop("_l"), key="_id", replicates=replicates, seed=seed), "draws")
+    dealt = numbered(drawn, ["replicate", "draw", "_id"], "_n").withColumn("_n", F.col("_n") % max(total, 1))
+    nulls = dealt.join(labels.hint("merge"), "_n").select("plate", "row", "col", "replicate", "_l")
+    every = wells.select("plate", "row", "col", F.lit(0).alias("replicate"), "_l").unionByName(nulls).dropna(subset=["plate", "row", "col"])
+
+    def alike(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = _alike_neighbours(pdf, reach, replicates + 1)
+        return pd.DataFrame({"replicate": np.arange(len(counts), dtype=np.int32), "n": counts})
+
+    counts = every.groupBy("plate").applyInPandas(alike, "replicate int, n long").groupBy("replicate").agg(F.sum("n").alias("n"))
     real, chance = F.max(F.when(F.col("replicate") == 0, F.col("n"))), F.when(F.col("replicate") > 0, F.col("n"))
     out = counts.agg(real.alias("observed"), F.avg(chance).alias("null_mean"), F.stddev_pop(chance).alias("null_sd"), F.sort_array(F.collect_list(chance)).alias("_n"))
     share = F.size(F.filter("_n", lambda x: x >= F.col("observed"))) / F.size("_n")
@@ -80,17 +109,48 @@ def transform_search(claimed: DataFrame, found: DataFrame, transforms: DataFrame
     """Support of each transform with its family-wise p: how often the best transform of permuted labels does as well.
 
     With ``by`` (``["plate"]``) every group is a plate of its own, with labels permuted within it."""
-    keyed = found.withColumn("_id", F.concat_ws(":", "row", "col"))
-    nulls = permuted_labels(keyed, key="_id", label="label", replicates=replicates, seed=seed, by=by).withColumns({"row": F.split("_id", ":")[0].cast("int"), "col": F.split("_id", ":")[1].cast("int")})
-    target = claimed.select(*by, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("label").alias("_c"))
     kinds = transforms.select("transform").distinct().count()
     common = transforms.groupBy("row", "col").agg(F.count("*").alias("_k")).filter(F.col("_k") == kinds).select("row", "col")
-    moved = transforms.join(common, ["row", "col"], "left_semi").join(nulls, ["row", "col"]).join(target, [*by, "to_row", "to_col"])
-    best = moved.groupBy(*by, "replicate", "transform").agg(F.count_if(F.col("label") == F.col("_c")).alias("k")).groupBy(*by, "replicate").agg(F.max("k").alias("k"))
-    spread = best.groupBy(*by).agg(F.collect_list("k").alias("_null"))
-    support = transform_support(claimed, found, transforms, by=by)
-    out = support.join(spread, list(by)) if by else support.join(F.broadcast(spread), F.lit(True))  # one row
-    return out.withColumn("family_p", (F.size(F.filter("_null", lambda x: x >= F.col("supported"))) + 1) / (F.size("_null") + 1)).drop("_null")
+    moves = transforms.join(common, ["row", "col"], "left_semi").toPandas()  # wells of a plate times transforms
+    moves["_t"], names = pd.factorize(moves["transform"], sort=True)
+    moves = moves[["row", "col", "to_row", "to_col", "_t"]]
+    keys = list(by) or ["_all"]
+    sides = [(side if by else side.withColumn("_all", F.lit(0))).select(*keys, "row", "col", "label").dropna(subset=keys) for side in (claimed, found)]
+    types = dict(sides[1].dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "transform string, n long, supported long, share double, family_p double"])
+
+    def search(plate: pd.DataFrame) -> pd.DataFrame:
+        """One plate: labels are permuted among all its wells, also those that no transform keeps on it."""
+        columns = schema.replace("`", "").split(", ")
+        here, there = plate[plate["_found"]], plate[~plate["_found"]]
+        if here.empty or there.empty:
+            return pd.DataFrame(columns=[c.split(" ")[0] for c in columns])
+        ids = [":".join(str(int(x)) for x in rc if not pd.isna(x)) for rc in zip(here["row"], here["col"], strict=True)]
+        code = pd.factorize(pd.concat((here["label"], there["label"])))[0]
+        own, claim = code[: len(here)], code[len(here) :]
+        by_id = np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64)
+        rank = np.empty(len(ids), np.int64)
+        rank[by_id] = np.arange(len(ids))
+        labels = np.empty((replicates + 1, len(ids)), np.int64)
+        labels[0] = own
+        for r, u in enumerate(uniforms(seed, 1, replicates, ids) if ids else (), 1):
+            labels[r, np.lexsort((rank, u))] = own[by_id]
+        both = moves.merge(here[["row", "col"]].assign(_h=np.arange(len(here))).dropna(), on=["row", "col"])
+        both = both.merge(there[["row", "col"]].set_axis(["to_row", "to_col"], axis=1).assign(_c=np.arange(len(there))).dropna(), on=["to_row", "to_col"])
+        if both.empty:
+            return pd.DataFrame(columns=[c.split(" ")[0] for c in columns])
+        t, h, c = (both[k].to_numpy() for k in ("_t", "_h", "_c"))
+        n = np.bincount(t, minlength=len(names))
+        k = np.stack([np.bincount(t, (x[h] == claim[c]) & (claim[c] >= 0), len(names)) for x in labels]).astype(np.int64)
+        best = k[1:].max(axis=1)
+        some = np.flatnonzero(n)
+        p = ((best[:, None] >= k[0, some]).sum(axis=0) + 1) / (replicates + 1)
+        out = pd.DataFrame({"transform": np.asarray(names)[some], "n": n[some], "supported": k[0, some], "share": k[0, some] / n[some], "family_p": p})
+        return out.assign(**{q: here[q].iloc[0] for q in keys})[[c.split(" ")[0] for c in columns]]
+
+    both_ = sides[0].withColumn("_found", F.lit(False)).unionByName(sides[1].withColumn("_found", F.lit(True)))
+    out = both_.groupBy(*keys).applyInPandas(search, schema)
+    return out if by else out.drop("_all")
 
 
 def locality(events: DataFrame, homes: DataFrame, wells: DataFrame, *, draws: int = 200, seed: int = 0) -> DataFrame:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tessera.functions.draws import uniform
+from tessera.functions.draws import uniform, uniforms
+from tessera.storage import materialize
 
 from .windows import average_rank, with_q_values
 
@@ -241,6 +244,47 @@ def bootstrap(df: DataFrame, *, unit: str, replicates: int, seed: int = 0) -> Da
     return every.withColumn("weight", sum(below[1:], below[0])).drop("_u").filter("weight > 0")
 
 
+def bootstrap_means(df: DataFrame, *, unit: str, value: str, by: str, replicates: int, seed: int = 0) -> DataFrame:
+    """(by, replicate, m): the weighted means of :func:`bootstrap` by group, without a row for each draw.
+
+    A group's rows come together, and weights are drawn for whole batches of them; a missing value counts as its weight only."""
+    limits = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    rows = df.groupBy(by, unit).agg(F.coalesce(F.sum(value).cast("double"), F.lit(0.0)).alias("_x"), F.count("*").alias("_n"), F.count(value).alias("_m"))
+    rows = rows.select(by, F.coalesce(F.col(unit).cast("string"), F.lit("")).alias("_k"), "_x", "_n", "_m").repartition(by).sortWithinPartitions(by)
+    kind = dict(df.dtypes)[by]
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the group that may go on in the next batch: its value and sums
+
+        def finished(keys: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
+            at, r = np.nonzero(sums[1] > 0)
+            m = np.where(sums[2][at, r] > 0, sums[0][at, r] / sums[1][at, r], np.nan)
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array((r + 1).astype(np.int32)), pa.array(m, from_pandas=True)], names=[by, "replicate", "m"])
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 8192):
+                batch = whole.slice(lo, 8192)
+                keys = batch.column(0)
+                codes = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                codes = np.where(np.isnan(codes.astype(float)), -1, codes)
+                starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+                weights = np.searchsorted(limits, uniforms(seed, 1, replicates, batch.column(1).to_pylist()), side="right").T.astype(float)
+                columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(float)[:, None] for i in (2, 3, 4)]
+                sums = np.stack([np.add.reduceat(weights * c, starts, axis=0) for c in columns])
+                firsts = keys.take(pa.array(starts))
+                if held is not None and held[0][0].as_py() == firsts[0].as_py():
+                    sums[:, 0] += held[1][:, 0]
+                elif held is not None:
+                    yield finished(*held)
+                if len(starts) > 1:
+                    yield finished(firsts[:-1], sums[:, :-1])
+                held = firsts[-1:], sums[:, -1:]
+        if held is not None:
+            yield finished(*held)
+
+    return rows.mapInArrow(means, f"`{by}` {kind}, replicate int, m double")
+
+
 def percentile_interval(df: DataFrame, value: str, by: list[str], level: float = 0.95) -> DataFrame:
     lo, hi = (1 - level) / 2, (1 + level) / 2
     return _grouped(df, by).agg(F.percentile(value, F.lit(lo)).alias("ci_low"), F.percentile(value, F.lit(hi)).alias("ci_high"))
@@ -252,6 +296,22 @@ def coin_flips(edges: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     return edges.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("a_wins", flip)
 
 
+def coin_shares(edges: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """(replicate, share): how many of the edges ``strain_a`` wins by :func:`coin_flips`, without a row for each flip."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("strain_a", "strain_b")])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, wins = 0, np.zeros(replicates, np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            wins += (uniforms(seed, 1, replicates, batch.column(0).to_pylist()) < 0.5).sum(axis=1)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1, dtype=np.int32)), pa.array(wins), pa.array(np.full(replicates, n))], names=["replicate", "wins", "n"])
+
+    counts = edges.select(key.alias("k")).mapInArrow(count, "replicate int, wins long, n long")
+    return counts.groupBy("replicate").agg((F.sum("wins") / F.sum("n")).alias("share"))
+
+
 def permutation_p(nulls: DataFrame, value: str, observed: float, *, upper: bool = True, plus_one: bool = True) -> DataFrame:
     """One row: share of null values at least (at most) as extreme; (k + 1) / (n + 1) or, without ``plus_one``, k / n."""
     extreme = F.col(value) >= observed if upper else F.col(value) <= observed
@@ -269,6 +329,31 @@ def permuted_labels(df: DataFrame, *, key: str, label: str, replicates: int, see
     return every.select("replicate", *by, key, dealt.alias("_n")).join(labels, ["replicate", *by, "_n"]).drop("_n")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with its place (from 0) in the order of the columns ``order``: ranges are sorted on their own and counted, no task gets all rows."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    rows = materialize(rows.withColumn("_within", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = rows.groupBy("_part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    placed = rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+
+
+def repeated_draws(df: DataFrame, *, key: str, replicates: int, seed: int = 0) -> DataFrame:
+    """``df`` once for each ``replicate`` from 1, with the ``draw`` of seed, replicate and ``key``, a column of texts."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 8192):
+                batch = whole.slice(lo, 8192)
+                drawn = uniforms(seed, 1, replicates, [k or "" for k in batch.column(key).to_pylist()])
+                for r in range(replicates):
+                    columns = [*batch.columns, pa.array(np.full(batch.num_rows, r + 1, np.int32)), pa.array(drawn[r])]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "replicate", "draw"])
+
+    return df.mapInArrow(draw, f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, replicate int, draw double")
+
+
 def split_half(df: DataFrame, *, unit: str, order: str, value: str) -> DataFrame:
     """(unit, first, rest): the first value of each unit and the mean of the others, for units with two or more."""
     w = Window.partitionBy(unit).orderBy(order)
