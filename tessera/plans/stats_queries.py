@@ -298,8 +298,7 @@ SELECT round((count(*) FILTER (share >= 0.52) + 1) / (count(*) + 1), 6) AS p_val
 )
 def pseudo_perm(spark, sf_dir):
     edges = scoring.win_edges(scoring.replicate_stability(supplier_wells(spark, sf_dir)), F.col("mean_relative_abundance_a"))
-    flips = stats.coin_flips(edges, 200).groupBy("replicate").agg(F.avg(F.col("a_wins").cast("double")).alias("share"))
-    out = stats.permutation_p(flips, "share", 0.52)
+    out = stats.permutation_p(stats.coin_shares(edges, 200), "share", 0.52)
     return out.select(*[r6(c).alias(c) for c in ("p_value", "null_mean", "null_sd")], "n")
 
 
@@ -314,8 +313,7 @@ m AS (SELECT strain_a, r, sum(lr * w) / sum(w) AS m FROM swells JOIN w USING (l_
 )
 def bootstrap_ci(spark, sf_dir):
     wells = supplier_wells(spark, sf_dir).select("strain_a", F.col("l_orderkey").alias("well"), F.col("log2_ratio_a_over_b").alias("x"))
-    drawn = stats.bootstrap(wells, unit="well", replicates=100)
-    means = drawn.groupBy("strain_a", "replicate").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m"))
+    means = stats.bootstrap_means(wells, unit="well", value="x", by="strain_a", replicates=100)
     return stats.percentile_interval(means, "m", ["strain_a"]).select("strain_a", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
 

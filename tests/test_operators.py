@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import sequence as S
+from tessera.functions.draws import uniform, uniforms
 from tessera.operators import folds, genomes, pairs, quality, scoring, stats, wells
+from tessera.operators import identity as I
 from tessera.operators import plate_controls as P
 from tessera.operators import windows as W
 from tessera.operators.graph import connected_components
@@ -197,3 +199,53 @@ def test_triads_without_a_tied_edge(spark):
     rows = [(1, 2, 0.9), (2, 3, 0.8), (1, 3, 0.5 - 2**-54), (1, 4, 0.1), (2, 4, 0.9)]
     edges = scoring.win_edges(spark.createDataFrame(rows, "strain_a int, strain_b int, m double"), F.col("m"))
     assert scoring.intransitive_triads(edges).first()[:2] == (1, 1)  # 1 beats 2, 2 beats 4, 4 beats 1; 1 and 3 are tied
+
+
+def test_draws_of_arrays_are_those_of_expressions(spark):
+    """Resampling without a row for each draw: the same draws, for short keys and for those of more than one block."""
+    keys = ["a", "", "7|9", "x" * 49, "x" * 50, "y" * 80]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").withColumn("r", F.explode(F.sequence(F.lit(9), F.lit(101))))
+    want = {(r["k"], r["r"]): r["u"] for r in df.withColumn("u", uniform(3, "r", "k")).collect()}
+    got = uniforms(3, 9, 101, keys)
+    assert all(got[r - 9, i] == want[k, r] for i, k in enumerate(keys) for r in range(9, 102))
+
+
+def test_coin_shares_and_bootstrap_means(spark):
+    edges = spark.createDataFrame([(a, b) for a in range(12) for b in range(a + 1, 12)] + [(None, 4)], "strain_a long, strain_b long")
+    want = {r[0]: r[1] for r in stats.coin_flips(edges, 30).groupBy("replicate").agg(F.avg(F.col("a_wins").cast("double"))).collect()}
+    assert {r["replicate"]: r["share"] for r in stats.coin_shares(edges, 30).collect()} == pytest.approx(want)
+    assert "Generate" not in stats.coin_shares(edges, 30)._jdf.queryExecution().toString()
+    rows = [(g, u, float(u * g % 7) if u % 5 else None) for g in range(5) for u in range(g, 40)] + [(9, 1, None), (0, 3, 2.0)]
+    wells_ = spark.createDataFrame(rows, "g long, u long, x double")
+    mean = (F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m")
+    want = {tuple(r[:2]): r[2] for r in stats.bootstrap(wells_, unit="u", replicates=25).groupBy("g", "replicate").agg(mean).collect()}
+    means = stats.bootstrap_means(wells_, unit="u", value="x", by="g", replicates=25)
+    got = {tuple(r[:2]): r[2] for r in means.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert "Generate" not in means._jdf.queryExecution().toString()
+
+
+def test_agreement_compares_distinct_sequences(spark):
+    names = [f"{k:03d}" for k in range(30)]
+    rows = [("s", k % 2, names[k % 30]) for k in range(6000)] + [("t", k % 3, f"ab{k % 3}" + "c" * (k % 2)) for k in range(300)] + [("e", 0, ""), ("e", 1, ""), ("e", 2, None)]
+    got = {tuple(r)[:3]: r["identity"] for r in I.agreement(spark.createDataFrame(rows, "strain string, source int, seq string")).collect()}
+    assert got["t", 0, 1] == 0.75 and got["s", 0, 1] == pytest.approx(2 / 3) and got["e", 0, 1] is None
+    assert set(got) == {("s", 0, 1), *((s, a, b) for s in "te" for a, b in ((0, 1), (0, 2), (1, 2)))}
+    shared = spark.createDataFrame([("s", k % 2, "x" * (k // 2 + 1)) for k in range(20)], "strain string, source int, seq string")
+    assert I.agreement(shared).first()["identity"] == 1.0
+
+
+def test_numbers_of_a_sorted_table(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"))
+    rows = sorted(map(tuple, stats.numbered(df, ["k"], "n").collect()))
+    assert [n for _, n in rows] == list(range(5000))
+
+
+def test_plate_controls_do_not_join_replicates(spark):
+    """Labels of all replicates of a plate are counted in one task; no table of wells times replicates is joined by name or sent to all."""
+    cells = spark.range(384 * 3).select((F.col("id") / 384).cast("int").alias("plate"), (F.col("id") % 384 / 24).cast("int").alias("row"), (F.col("id") % 24).cast("int").alias("col"), (F.col("id") * F.col("id") % 7).cast("string").alias("label"))
+    for out in (P.transform_search(cells, cells, P.candidate_transforms(spark), replicates=4, by=["plate"]), P.adjacency_enrichment(cells, "label", replicates=4)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        out.collect()
+        assert "BroadcastHashJoin" not in plan.replace("[_part", "") or "replicate" not in plan.split("BroadcastExchange")[1].split("\n")[0]
+        assert "Window [row_number" not in plan
