@@ -35,6 +35,8 @@ CELL_ROWS = 200_000
 FANOUT, FRONTIER = 8, 32_768
 #: Proposed links are kept so many times over, since not all of them are confirmed.
 FORESTS = 3
+#: In place of the bits of a link: one was left out for this text.
+MARK = -1
 #: Words whose links are judged first.
 FIRST_WORDS = 4
 #: Texts with the same fingerprint that the smallest cells hold.
@@ -191,13 +193,14 @@ def lightest_forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.n
         own = components_of(len(own), a[picked[-1]], b[picked[-1]], own)
 
 
-def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS, found: list | None = None, forests: int = 1, known: np.ndarray | None = None) -> np.ndarray:
+def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS, found: list | None = None, forests: int = 1, known: np.ndarray | None = None, dense: list | None = None) -> np.ndarray:
     """For fingerprints sorted by (cell, Gray rank): the smallest index that links
     of at most ``radius`` bits within a cell lead to.  Links are added to ``found`` as
     (a, b, bits) arrays: a forest, light links first, that connects all they connect,
     then a forest of the links that are left, and so on up to ``forests``.  So a link
     that is not among them joins what as many separate paths of found links join.
-    Rows of equal ``known`` values are taken to be connected from the start.
+    Rows of equal ``known`` values are taken to be connected from the start.  Every link that is not
+    added to ``found`` lies within a class of the last forest; the indices of all rows of such classes are added to ``dense``.
 
     Levels of nodes over runs of FANOUT neighbours hold the bits that all below
     share (mask, pattern).  Pairs of nodes are expanded from the roots; a pair is
@@ -268,6 +271,12 @@ def gray_links(cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS, found
             if 4 * pending >= n:
                 refresh()
                 pending = 0
+    if dense is not None:
+        # a class of two known groups may hold further links between these, too
+        last = joined[-1]
+        several = np.zeros(n, bool)
+        several[last[start != last]] = True
+        dense.append(np.flatnonzero(several[last]))
     return joined[0]
 
 
@@ -284,7 +293,7 @@ def _cells(rows: DataFrame, level: int) -> DataFrame:
     return rows.withColumn("_part", F.explode(F.array(*parts))).select("rep", "known", "simhash", F.col("_part.cell").alias("cell"), F.col("_part.rest").alias("rest"))
 
 
-def _links_in_cells(rows: DataFrame, radius: int, forests: int) -> DataFrame:
+def _links_in_cells(rows: DataFrame, radius: int, forests: int, marks: bool = False) -> DataFrame:
     """(src, dst, bits): links between representatives that connect what all links of a cell connect; see :func:`gray_links`."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +307,11 @@ def _links_in_cells(rows: DataFrame, radius: int, forests: int) -> DataFrame:
             some = np.concatenate(([False], shared)) | np.concatenate((shared, [False]))
             cell, prints, rep, known = (c[some] for c in rows)
             found = [(np.zeros(0, np.int64),) * 3]
-            gray_links(cell, prints.view(np.uint64), radius, found, forests, known)
+            dense: list[np.ndarray] = []
+            gray_links(cell, prints.view(np.uint64), radius, found, forests, known, dense if marks else None)
+            if marks:
+                some = np.unique(np.concatenate(dense))
+                found.append((some, some, np.full(len(some), MARK)))
             a, b, bits = (np.concatenate(c) for c in zip(*found, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(bits.astype(np.int32))], names=["src", "dst", "bits"])
 
@@ -331,14 +344,15 @@ def _hot_cells(rows: DataFrame, cell_rows: int) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
-def links(prints: DataFrame, *, radius: int = RADIUS, cell_rows: int = CELL_ROWS, forests: int = 1) -> DataFrame:
+def links(prints: DataFrame, *, radius: int = RADIUS, cell_rows: int = CELL_ROWS, forests: int = 1, marks: bool = False) -> DataFrame:
     """(src, dst, bits): links of at most ``radius`` bits between the representatives of fingerprints.
 
     ``prints`` has a row (``simhash``, ``rep``) for each fingerprint and, if there are
     independent fingerprints of a text, the number ``word`` that tells them apart;
     only equal numbers are compared.  Representatives of equal ``known`` (a long, optional)
     are connected already, and nothing is returned for them.  Enough links are returned to connect whatever
-    is connected, ``forests`` times over, the lightest of a cell first; none joins fingerprints that are not alike."""
+    is connected, ``forests`` times over, the lightest of a cell first; none joins fingerprints that are not alike.
+    With ``marks`` there is a row (rep, rep, MARK) for each representative that a link was left out for."""
     if radius >= 4:
         raise ValueError("four segments find at most three differing bits")
     word = F.col("word") if "word" in prints.columns else F.lit(0)
@@ -349,7 +363,7 @@ def links(prints: DataFrame, *, radius: int = RADIUS, cell_rows: int = CELL_ROWS
         rows = _cells(rows, level)
         hot = _hot_cells(rows, cell_rows) if level + 1 < len(SEGMENTS) else None
         calm = rows if hot is None else rows.join(hot, "cell", "left_anti")
-        part_ = _links_in_cells(calm, radius, forests)
+        part_ = _links_in_cells(calm, radius, forests, marks)
         found = part_ if found is None else found.unionByName(part_)
         if hot is None:
             break
@@ -361,6 +375,9 @@ def links(prints: DataFrame, *, radius: int = RADIUS, cell_rows: int = CELL_ROWS
             first = rows.groupBy(*equal).agg(F.min(F.struct("rep", "known")).alias("_f")).select(*equal, F.col("_f.rep").alias("first"), F.col("_f.known").alias("first_known"))
             others = rows.join(first, equal).filter("rep <> first AND known <> first_known")
             found = found.unionByName(others.select(F.col("first").alias("src"), F.col("rep").alias("dst"), F.lit(0).alias("bits")))
+            if marks:
+                short = rows.join(others.select("cell").distinct(), "cell", "left_semi").select("rep").distinct()
+                found = found.unionByName(short.select(F.col("rep").alias("src"), F.col("rep").alias("dst"), F.lit(MARK).alias("bits")))
             rows = first.select("cell", "simhash", "rest", F.col("first").alias("rep"), F.col("first_known").alias("known"))
     return found
 
@@ -489,15 +506,36 @@ def confirmed(edges: DataFrame, sets: DataFrame, least: float, *, known: DataFra
         remove(edges.sparkSession, before)
 
 
+def prefix_candidates(sets: DataFrame, sketches: DataFrame, components: DataFrame, least: float, radius: int) -> DataFrame:
+    """(src, dst, bits) of all couples of ``sets`` (vertex, shingles) that may have a Jaccard similarity of ``least`` and have a
+    fingerprint of ``sketches`` (vertex, sketch) within ``radius`` bits, but lie in different ``components``.
+
+    With shingles ordered from rare to frequent, two sets that are so alike share one of the first
+    size - ceil(least * size) + 1 of either; so couples meet in these and nowhere else, and none is left out."""
+    each = sets.select("vertex", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").count()
+    ranked = each.join(often, "shingle").groupBy("vertex", "size").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("s"))
+    # a bound that rounding of least * size cannot raise above the exact one
+    first = F.col("size") - F.ceil(F.col("size") * (least - 1e-9)) + 1
+    prefix = ranked.select("vertex", "size", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("p")).select("vertex", "size", F.col("p.shingle").alias("shingle"))
+    own = components.select("vertex", "component")
+    prefix = materialize(prefix.join(own, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")).join(sketches.select("vertex", "sketch"), "vertex"), "prefixes")
+    side = lambda end: prefix.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("vertex", "size", "component", "sketch")])
+    both = side(1).join(side(2), "shingle").filter((F.col("vertex_1") < F.col("vertex_2")) & (F.col("component_1") != F.col("component_2")))
+    both = both.filter((F.col("size_1") >= F.col("size_2") * (least - 1e-9)) & (F.col("size_2") >= F.col("size_1") * (least - 1e-9)))
+    bits = F.array_min(F.zip_with("sketch_1", "sketch_2", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+    return both.select(F.col("vertex_1").alias("src"), F.col("vertex_2").alias("dst"), bits.alias("bits")).filter(F.col("bits") <= radius).distinct()
+
+
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, words: int = 16, proposal: int = 2, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row of each group of near-duplicates in ``docs``, the one with the smallest id (null ids last).
 
     Two texts are linked if any of ``words`` independent fingerprints of their
     ``proposal``-word shingles lies within ``radius`` bits and their sets of
     ``shingle``-word shingles then have a Jaccard similarity of at least ``least``; a
-    group is what links connect.  Of the proposed links of a cell only FORESTS spanning
-    forests are judged, so that proposals grow in proportion to a group: in a dense group of
-    texts most of which are not alike a link can be missed, none is invented.  Equal word sequences (null, empty and blank texts:
+    group is what links connect.  Of the proposed links of a cell FORESTS spanning
+    forests are judged; texts of cells with more links are then compared by the shingles that
+    any two alike texts share (:func:`prefix_candidates`), so that none is missed and none is invented.  Equal word sequences (null, empty and blank texts:
     the empty one) are copies.  Rows that agree in every column are one; rows that share an id but
     differ elsewhere, or have none, are rows of their own.  Columns may have any names."""
     spark = docs.sparkSession
@@ -510,8 +548,8 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     copies = materialize(copies, "copies")
     texts = keyed.select("row", "text")
 
-    def proposed(parts: DataFrame, forests: int) -> DataFrame:
-        found = links(parts, radius=radius, cell_rows=cell_rows, forests=forests).filter("src <> dst")
+    def proposed(parts: DataFrame, forests: int, marks: bool = False) -> DataFrame:
+        found = links(parts, radius=radius, cell_rows=cell_rows, forests=forests, marks=marks).filter(F.lit(marks) | (F.col("src") != F.col("dst")))
         pair = found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits")
         return materialize(pair.groupBy("src", "dst").agg(F.min("bits").alias("bits")), "proposed")  # a pair meets in several cells
 
@@ -530,10 +568,17 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spent = [prints, copies, some, sets, components]
     if words > FIRST_WORDS or FORESTS > 1:
         known = copies.join(components, "vertex", "left").withColumn("known", F.coalesce("component", "vertex"))
-        edges = proposed(known.select(F.col("vertex").alias("rep"), "known", word), FORESTS)
-        more = shingle_sets(edges, sets)
+        every = proposed(known.select(F.col("vertex").alias("rep"), "known", word), FORESTS, True)
+        edges, marked = every.filter("src <> dst"), every.filter("src = dst").select(F.col("src").alias("vertex"))
+        more = shingle_sets(every, sets)
         components = confirmed(edges, sets.unionByName(more), least, known=components)
-        spent += [edges, more, components]
+        spent += [every, more, components]
+        whole = sets.unionByName(more)
+        left_out = whole.join(marked, "vertex", "left_semi")
+        if not left_out.isEmpty():
+            rest = materialize(prefix_candidates(left_out, copies, components, least, radius), "rest")
+            components = confirmed(rest, left_out, least, known=components)
+            spent += [rest, components]
     # should two word sequences ever share a vertex, only the first is a member of its component
     own = copies.select("first", "copy", "vertex").join(components, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     again = own.groupBy("vertex").agg(F.count("*").alias("n"), F.min("copy").alias("least_copy")).filter("n > 1").select("vertex", "least_copy")

@@ -2,7 +2,10 @@ import base64
 import random
 import string
 
+import numpy as np
+
 import corpus_pipeline
+from tessera.llm import simhash
 from tests.llm.test_simhash import plain_shingles
 
 
@@ -75,3 +78,63 @@ def test_language_stage_rejects_junk_and_unlearned_languages(spark, sf_dir):
     more = spark.createDataFrame([(-1 - k, t, None, "s", len(t)) for k, t in enumerate(odd)], docs.schema)
     ids = {r["doc_id"] for r in stage("language")(spark, docs.unionByName(more), sf_dir).collect()}
     assert ids == {r["doc_id"] for r in docs.collect()}
+
+
+def test_forests_name_the_texts_whose_links_they_leave_out():
+    """Every link within the radius is found or lies among the texts that are named."""
+    rng = np.random.default_rng(0)
+    prints = np.array([sum(1 << int(b) for b in rng.choice(12, 2, replace=False)) for _ in range(400)] + [int(x) << 32 for x in rng.integers(0, 1 << 30, 100)], np.uint64)
+    rank = prints.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(k)
+    prints = prints[np.argsort(rank, kind="stable")]
+    found, dense = [], []
+    simhash.gray_links(np.zeros(len(prints), np.int64), prints, found=found, forests=3, dense=dense)
+    linked = {frozenset(e) for a, b, _ in found for e in zip(a.tolist(), b.tolist(), strict=True)}
+    named = set(np.concatenate(dense).tolist())
+    near = {frozenset((i, j)) for i in range(len(prints)) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 3}
+    missed = near - linked
+    assert len(missed) > 1000 and all(e <= named for e in missed) and len(named) < len(prints)
+
+
+def test_links_that_forests_leave_out_are_found_by_shared_shingles(spark):
+    rng = np.random.default_rng(1)
+    sets = [set(rng.choice(60, 40, replace=False).tolist()) for _ in range(30)]
+    sets += [(s - set(list(s)[: k % 6])) | {100 + k} for k, s in enumerate(sets)]
+    rows = [(k, sorted(s)) for k, s in enumerate(sets)]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    sketches = spark.createDataFrame([(k, [k % 4, (1 << 40) - 1 if k % 4 else 0]) for k in range(len(sets))], "vertex long, sketch array<long>")
+    table = spark.createDataFrame(rows, "vertex long, shingles array<long>")
+    known = spark.createDataFrame([(0, 0), (30, 0)], "vertex long, component long")
+    got = {(r["src"], r["dst"]) for r in simhash.prefix_candidates(table, sketches, known, 0.8, 3).collect()}
+    assert (0, 30) in alike and alike - {(0, 30)} <= got and (0, 30) not in got and len(alike) > 20
+
+
+def test_no_link_of_a_dense_group_is_lost(spark, monkeypatch):
+    """Texts whose fingerprints are near and most of which are not alike: the groups are those of all links, not of three forests."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(260)]
+    texts = []
+    for _ in range(45):
+        words = list(base)
+        for k in rng.sample(range(260), 9):
+            words[k] = f"x{rng.randrange(10**6)}"
+        texts.append(words)
+        again = list(words)
+        again[rng.randrange(260)] = f"y{rng.randrange(10**6)}"
+        texts.append(again)
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = {r["doc_id"]: r["sketch"] for r in simhash.with_proposals(docs).collect()}
+    sets = [set(plain_shingles(t, 5)) for _, t in rows]
+    own = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            near = any(((x ^ y) & (2**64 - 1)).bit_count() <= 3 for x, y in zip(sketch[i], sketch[j], strict=True))
+            if near and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and own[i] != own[j]:
+                low, high = sorted((own[i], own[j]))
+                own = [low if o == high else o for o in own]
+    monkeypatch.setattr(simhash, "FORESTS", 1)
+    monkeypatch.setattr(simhash, "FIRST_WORDS", 1)
+    kept = {r["doc_id"] for r in simhash.representatives(docs).collect()}
+    assert kept == set(own) and len(kept) < len(rows)
