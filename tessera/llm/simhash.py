@@ -511,18 +511,23 @@ def prefix_candidates(sets: DataFrame, sketches: DataFrame, components: DataFram
     fingerprint of ``sketches`` (vertex, sketch) within ``radius`` bits, but lie in different ``components``.
 
     With shingles ordered from rare to frequent, two sets that are so alike share one of the first
-    size - ceil(least * size) + 1 of either; so couples meet in these and nowhere else, and none is left out."""
+    size - ceil(least * size) + 1 of either; so couples meet in these and nowhere else, and none is left out.
+    What a couple shares begins at its first common shingle, so no more can be shared than is left there in the
+    shorter rest: couples that lie too far down in either order for ``least`` are no rows.  Shingles of a single set
+    take part in the places only."""
     each = sets.select("vertex", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").count()
     ranked = each.join(often, "shingle").groupBy("vertex", "size").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("s"))
     # a bound that rounding of least * size cannot raise above the exact one
     first = F.col("size") - F.ceil(F.col("size") * (least - 1e-9)) + 1
-    prefix = ranked.select("vertex", "size", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("p")).select("vertex", "size", F.col("p.shingle").alias("shingle"))
+    prefix = ranked.select("vertex", "size", F.posexplode(F.slice("s", F.lit(1), first.cast("int"))).alias("place", "p")).filter("p.count > 1")
+    prefix = prefix.select("vertex", "size", (F.col("size") - F.col("place")).alias("left"), F.col("p.shingle").alias("shingle"))
     own = components.select("vertex", "component")
     prefix = materialize(prefix.join(own, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")).join(sketches.select("vertex", "sketch"), "vertex"), "prefixes")
-    side = lambda end: prefix.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("vertex", "size", "component", "sketch")])
+    side = lambda end: prefix.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("vertex", "size", "left", "component", "sketch")])
     both = side(1).join(side(2), "shingle").filter((F.col("vertex_1") < F.col("vertex_2")) & (F.col("component_1") != F.col("component_2")))
     both = both.filter((F.col("size_1") >= F.col("size_2") * (least - 1e-9)) & (F.col("size_2") >= F.col("size_1") * (least - 1e-9)))
+    both = both.filter(F.least("left_1", "left_2") >= (F.col("size_1") + F.col("size_2")) * ((least - 1e-9) / (1 + least)))
     bits = F.array_min(F.zip_with("sketch_1", "sketch_2", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
     return both.select(F.col("vertex_1").alias("src"), F.col("vertex_2").alias("dst"), bits.alias("bits")).filter(F.col("bits") <= radius).distinct()
 

@@ -110,6 +110,16 @@ def test_links_that_forests_leave_out_are_found_by_shared_shingles(spark):
     assert (0, 30) in alike and alike - {(0, 30)} <= got and (0, 30) not in got and len(alike) > 20
 
 
+def test_couples_that_first_meet_too_far_down_are_no_rows(spark):
+    """Near copies of one text that differ in too much: each holds 100 shared shingles and 20 of its own (similarity 0.71), but one couple is alike."""
+    sets = [list(range(100)) + list(range(1000 + 20 * k, 1020 + 20 * k)) for k in range(40)]
+    sets.append(sets[7][:-5] + [9999])
+    table = spark.createDataFrame(list(enumerate(sets)), "vertex long, shingles array<long>")
+    sketches = spark.createDataFrame([(k, [0]) for k in range(41)], "vertex long, sketch array<long>")
+    none = spark.createDataFrame([], "vertex long, component long")
+    assert [(r["src"], r["dst"]) for r in simhash.prefix_candidates(table, sketches, none, 0.8, 3).collect()] == [(7, 40)]
+
+
 def test_no_link_of_a_dense_group_is_lost(spark, monkeypatch):
     """Texts whose fingerprints are near and most of which are not alike: the groups are those of all links, not of three forests."""
     rng = random.Random(3)
