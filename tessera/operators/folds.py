@@ -30,8 +30,8 @@ def strain_folds(pairs: DataFrame, folds: DataFrame, *, unit: str = "strain", a:
     rows = placed.join(F.broadcast(every), "rep").withColumn(
         "role", F.when((F.col("_fa") == F.col("fold")) & (F.col("_fb") == F.col("fold")), "test").when((F.col("_fa") != F.col("fold")) & (F.col("_fb") != F.col("fold")), "train")
     ).filter("role IS NOT NULL")
-    n_test = F.count_if(F.col("role") == "test").over(Window.partitionBy("rep", "fold"))
-    return rows.withColumn("_n", n_test).filter(F.col("_n") >= least).select("rep", "fold", a, b, "role")
+    enough = rows.groupBy("rep", "fold").agg(F.count_if(F.col("role") == "test").alias("_n")).filter(F.col("_n") >= least)
+    return rows.join(F.broadcast(enough), ["rep", "fold"]).select("rep", "fold", a, b, "role")
 
 
 def pair_folds(pairs: DataFrame, n_splits: int, *, seed: int = 0, a: str = "strain_a", b: str = "strain_b") -> DataFrame:

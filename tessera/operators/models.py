@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -305,8 +306,13 @@ def cross_validate(
     ``roles``: (rep, fold, strain_a, strain_b, role).  ``features`` and ``distances`` are indexed by
     strain: a dimension that every task gets.  Pairs with a strain outside it, or
     without the target, are left out.  ``units`` names the genome unit of strains.  ``shuffled`` permutes the training labels of each
-    fold, a control that should predict nothing."""
+    fold, a control that should predict nothing.  A task holds one fold, unless every model is one of SCORED and
+    the largest fold has over FOLD_PAIRS pairs: then :func:`scored_folds` finds the same predictions, with no fold in one place."""
     chosen = models or MODELS
+    if not shuffled and all(k in SCORED and MODELS[k] is f for k, f in chosen.items()):
+        most = roles.groupBy("rep", "fold").count().agg(F.max("count")).first()[0]
+        if most and most > FOLD_PAIRS:
+            return scored_folds(roles, pairs, features, target=target, models=list(chosen), n_components=n_components)
     strains = features.index.to_numpy()
     matrix, at = features.to_numpy(float), {s: i for i, s in enumerate(strains)}
     unit_of = None if units is None else np.array([str(units.get(s, s)) for s in strains])
@@ -334,6 +340,101 @@ def cross_validate(
     return rows.groupBy("rep", "fold").applyInPandas(run, schema)
 
 
+#: Models that predict the difference of a score of either strain, found from sums over the training pairs (a ridge of both orientations, too:
+#: what is the same for both gets no weight).
+SCORED = ("zero", "strength_observed", "ridge", "two_stage_ridge")
+#: Pairs of a fold up to which one task holds it.
+FOLD_PAIRS = 2_000_000
+
+
+def scored_folds(roles: DataFrame, pairs: DataFrame, features: pd.DataFrame, *, target: str, models: list[str], n_components: int = 20) -> DataFrame:
+    """As :func:`cross_validate`, for models of SCORED and any number of pairs.
+
+    Strengths are solved by conjugate gradients on the driver, whose vectors are as long as the strains; each step
+    is one pass over the training pairs of all folds.  Sums of strengths are zero, as right-hand sides have sum zero,
+    so the row of ones of :func:`additive_strength` changes nothing."""
+    spark = roles.sparkSession
+    strains, matrix = features.index.to_numpy(), features.to_numpy(float)
+    n, kind = len(strains), dict(roles.dtypes)["strain_a"]
+    table = spark.createDataFrame(pd.DataFrame({"s": strains, "i": np.arange(n, dtype=np.int32)}), f"s {kind}, i int")
+    at = lambda c, name: table.select(F.col("s").alias(c), F.col("i").alias(name))
+    rows = roles.join(pairs.select("strain_a", "strain_b", F.col(target).cast("double").alias("y")), ["strain_a", "strain_b"]).filter("y IS NOT NULL")
+    rows = materialize(rows.join(at("strain_a", "a"), "strain_a").join(at("strain_b", "b"), "strain_b").select("rep", "fold", "role", "strain_a", "strain_b", "a", "b", "y"), "roles")
+    counts = rows.groupBy("rep", "fold").agg(F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "test").alias("test")).filter("train >= 3 AND test > 0")
+    keys = sorted((r["rep"], r["fold"]) for r in counts.collect())
+    number = {k: i for i, k in enumerate(keys)}
+    train = rows.filter("role = 'train'").select("rep", "fold", "a", "b", "y")
+
+    def summed(work: Callable, shape: tuple) -> np.ndarray:
+        """(folds, *shape): sums of ``work(a, b, y, k)`` over batches of training pairs of fold k."""
+
+        def run(batches):
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                rep, fold, a, b, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+                for key in set(zip(rep.tolist(), fold.tolist(), strict=True)) & set(number):
+                    own, k = (rep == key[0]) & (fold == key[1]), number[key]
+                    got = work(a[own], b[own], y[own], k)
+                    total[k] = total[k] + got if k in total else got
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["k", "v"])
+
+        out = np.zeros((len(keys), *shape))
+        for r in train.mapInArrow(run, "k int, v binary").toLocalIterator():
+            out[r["k"]] += np.frombuffer(r["v"]).reshape(shape)
+        return out
+
+    ends = lambda a, b, x, y: np.bincount(a, x, n) + np.bincount(b, y, n)
+    first = summed(lambda a, b, y, k: np.stack((ends(a, b, y, -y), ends(a, b, None, None))), (2, n))
+    right, degree = first[:, 0], first[:, 1]
+    strength = np.zeros((len(keys), n))
+    if {"strength_observed", "two_stage_ridge"} & set(models):
+        left, diagonal = right.copy(), degree + 1.0
+        z = left / diagonal
+        d, lz, goal = z.copy(), (left * z).sum(axis=1), 1e-13 * np.abs(right).max(axis=1, initial=0)
+        for _ in range(2 * n + 50):
+            if (np.abs(left).max(axis=1, initial=0) <= goal).all():
+                break
+            q = diagonal * d - summed(lambda a, b, y, k, d=d: ends(a, b, d[k][b], d[k][a]), (n,))
+            dq = (d * q).sum(axis=1)
+            step = np.divide(lz, dq, out=np.zeros_like(lz), where=dq > 0)[:, None]
+            strength += step * d
+            left -= step * q
+            z = left / diagonal
+            lz, before = (left * z).sum(axis=1), lz
+            d = z + np.divide(lz, before, out=np.zeros_like(lz), where=before > 0)[:, None] * d
+    reduced, seen = [], [np.flatnonzero(x > 0) for x in degree]
+    if {"ridge", "two_stage_ridge"} & set(models):
+        reduced = [standardise(components(matrix, own, n_components), own) for own in seen]
+    gram = []
+    if "ridge" in models:
+        sides = [np.hstack((z, standardise(matrix.sum(axis=1, keepdims=True), own))) for z, own in zip(reduced, seen, strict=True)]
+        width = max((x.shape[1] for x in sides), default=0)
+
+        def products(a, b, y, k):
+            x, out = sides[k][a] - sides[k][b], np.zeros((width, width))
+            out[: x.shape[1], : x.shape[1]] = x.T @ x
+            return out
+
+        gram = summed(products, (width, width))
+    every = []
+    for k, key in enumerate(keys):
+        score = {"zero": np.zeros(n), "strength_observed": np.where(degree[k] > 0, strength[k], 0.0)}
+        if "ridge" in models:
+            x = sides[k]
+            m = x.shape[1]
+            score["ridge"] = x @ np.linalg.solve(2 * gram[k][:m, :m] + 100.0 * np.eye(m), 2 * x.T @ right[k])
+        if "two_stage_ridge" in models:
+            w, c = ridge(reduced[k][seen[k]], strength[k][seen[k]], 50.0)
+            score["two_stage_ridge"] = reduced[k] @ w + c
+        every.append(pd.DataFrame({"rep": np.int32(key[0]), "fold": np.int32(key[1]), "i": np.arange(n, dtype=np.int32)} | {m: score[m] for m in models}))
+    scores = spark.createDataFrame(pd.concat(every), "rep int, fold int, i int, " + ", ".join(f"{m} double" for m in models)) if every else spark.createDataFrame([], "rep int, fold int, i int, " + ", ".join(f"{m} double" for m in models))
+    side = lambda c: scores.select("rep", "fold", F.col("i").alias(c), F.array(*models).alias(f"_{c}"))
+    both = rows.filter("role = 'test'").join(side("a"), ["rep", "fold", "a"]).join(side("b"), ["rep", "fold", "b"])
+    differ = F.zip_with("_a", "_b", lambda x, y: x - y)
+    named = both.withColumn("_p", F.explode(F.arrays_zip(F.array(*map(F.lit, models)).alias("model"), differ.alias("y_pred"))))
+    return named.select(F.col("rep").cast("int").alias("rep"), F.col("fold").cast("int").alias("fold"), F.col("_p.model").alias("model"), "strain_a", "strain_b", F.col("y").alias("y_true"), F.col("_p.y_pred").alias("y_pred"))
+
+
 def fold_scores(predictions: DataFrame, *, symmetric: bool = False, by: tuple[str, ...] = ("rep", "fold", "model")) -> DataFrame:
     """Metrics of each fold and model, Spearman included."""
     from .stats import metrics_vs_mean, metrics_vs_zero, spearman

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.draws import uniform_sql
 from tessera.operators import communities, design, features, folds, genomes, models, scoring, wells
 from tessera.operators import plate_controls as P
+from tessera.storage import materialize
 
 from .registry import query
 from .tables import SUPPLIER_WELLS, r6, supplier_wells, table
@@ -247,13 +248,13 @@ def bt_goodness_of_fit(spark, sf_dir):
 def group_cv(spark, sf_dir):
     import pandas as pd
 
-    pairs = _pair_stats(spark, sf_dir)
+    pairs = materialize(_pair_stats(spark, sf_dir).select("strain_a", "strain_b", "mean_log2_ratio_a_over_b"), "pairs")
     units = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("strain"))
     bits = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").pivot("l_linenumber", list(range(1, 8))).agg(F.avg("l_quantity")).toPandas().set_index("l_suppkey").sort_index()
     frame = pd.DataFrame(bits.fillna(0.0).to_numpy(), index=bits.index)
     roles = folds.strain_folds(pairs, folds.unit_folds(units, "strain", 2))
     chosen = {k: models.MODELS[k] for k in ("zero", "strength_observed", "ridge", "two_stage_ridge")}
-    return models.fold_scores(models.cross_validate(roles, pairs, frame, target="mean_log2_ratio_a_over_b", models=chosen))
+    return models.fold_scores(materialize(models.cross_validate(roles, pairs, frame, target="mean_log2_ratio_a_over_b", models=chosen), "predictions"))
 
 
 @query("max_separable_set")

@@ -123,3 +123,21 @@ def test_numerics():
     assert stats.two_component_nnls(-x[:, 0], x[:, 0], np.zeros(30))[:2] == (0.0, 0.0)
     cols = models.select_features(np.column_stack((x, x[:, 0] * 2)), x[:, 0], keep=3)
     assert len(cols) == 3 and (0 in cols) != (5 in cols)
+
+
+def test_large_folds_are_not_held_in_one_task(spark, experiment, monkeypatch):
+    """Sums over pairs give the predictions of whole folds; no task gets a fold."""
+    pairs, x, _ = experiment
+    units = spark.createDataFrame([(k,) for k in x.index], "strain string")
+    roles = folds.strain_folds(pairs, folds.unit_folds(units, "strain", 3))
+    # test pairs whose strains were trained on, too
+    roles = roles.unionByName(roles.filter("fold = 0 AND role = 'train'").limit(40).withColumn("role", F.lit("test")))
+    chosen = {k: models.MODELS[k] for k in models.SCORED}
+    run = lambda: models.cross_validate(roles, pairs, x, target="mean_log2_ratio_a_over_b", models=chosen, n_components=5)
+    order = ["rep", "fold", "model", "strain_a", "strain_b"]
+    whole = run().toPandas().sort_values(order).reset_index(drop=True)
+    monkeypatch.setattr(models, "FOLD_PAIRS", 1)
+    monkeypatch.setattr(models, "Fold", None)
+    parts = run().toPandas().sort_values(order).reset_index(drop=True)
+    assert whole[order].equals(parts[order]) and np.allclose(whole["y_true"], parts["y_true"], atol=0)
+    assert np.allclose(whole["y_pred"], parts["y_pred"], atol=1e-9) and whole["y_pred"].abs().max() > 0.1
