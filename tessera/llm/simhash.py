@@ -41,6 +41,8 @@ MARK = -1
 FIRST_WORDS = 4
 #: Texts with the same fingerprint that the smallest cells hold.
 REPEATS = 16
+#: Bits of a parity of a shingle set, a power of two.
+PARITY = 1024
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -506,6 +508,46 @@ def confirmed(edges: DataFrame, sets: DataFrame, least: float, *, known: DataFra
         remove(edges.sparkSession, before)
 
 
+def with_parities(sets: DataFrame) -> DataFrame:
+    """(vertex, parity) of ``sets`` (vertex, shingles): PARITY bits as an array of longs, each set if an odd number of the
+    shingles fall on it.  Parities differ in no more bits than their sets in shingles."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column(1), batch.num_rows
+            bit = lists.flatten().to_numpy(zero_copy_only=False) & (PARITY - 1)
+            owner = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+            odd = (np.bincount(owner * PARITY + bit, minlength=n * PARITY) & 1).astype(np.uint8)
+            longs = np.packbits(odd, bitorder="little").view(np.int64)
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (PARITY // 64), pa.int32()), pa.array(longs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), parity], names=["vertex", "parity"])
+
+    bounded_batches(sets.sparkSession)
+    return sets.select("vertex", "shingles").mapInArrow(compute, "vertex long, parity array<long>")
+
+
+def meeting_sides(prefix: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(smaller, larger): the rows of ``prefix`` (vertex, size, left, shingle, component) by which couples meet, the smaller set's and the larger's,
+    with the columns ``shingle``, ``band`` and ``most`` on which they are joined.
+
+    A couple shares at most what is ``left`` from a common shingle on, so the smaller set meets in its first ninth only (for 0.8), and a
+    larger one at a place meets certain sizes, which are cut into bands.  Of a shingle and band the smaller sets of the component that has
+    ``most`` of them meet other components only.  Those of other components may meet their own, which are no more couples than they
+    form with the first; so groups that are connected already are not paired with themselves."""
+    share = (least - 1e-9) / (1 + least)
+    band = lambda size: F.floor(F.log(size) / float(np.log(1.05)))
+    smaller = prefix.filter(F.col("left") >= 2 * F.col("size") * share).withColumn("band", band(F.col("size")))
+    held = smaller.groupBy("shingle", "band", "component").count().groupBy("shingle", "band")
+    held = held.agg(F.max(F.struct("count", "component"))["component"].alias("main"), (F.count("*") > 1).alias("several"))
+    smaller = smaller.join(held.select("shingle", "band", "main"), ["shingle", "band"]).withColumn("most", F.col("component") == F.col("main")).drop("main")
+    low = F.greatest(F.lit(1.0), F.ceil(F.col("size") * (least - 1e-9)).cast("double"))
+    high = F.least(F.col("size").cast("double"), F.floor(F.col("left") / share - F.col("size") + 1e-6).cast("double"))
+    larger = prefix.withColumn("low", low).withColumn("high", high).filter("high >= low")
+    larger = larger.withColumn("band", F.explode(F.sequence(band(F.col("low")), band(F.col("high"))))).drop("low", "high").join(held, ["shingle", "band"])
+    meets = F.array_compact(F.array(F.when(F.col("component") != F.col("main"), F.lit(True)), F.when(F.col("several"), F.lit(False))))
+    return smaller, larger.withColumn("most", F.explode(meets)).drop("main", "several")
+
+
 def prefix_candidates(sets: DataFrame, sketches: DataFrame, components: DataFrame, least: float, radius: int) -> DataFrame:
     """(src, dst, bits) of all couples of ``sets`` (vertex, shingles) that may have a Jaccard similarity of ``least`` and have a
     fingerprint of ``sketches`` (vertex, sketch) within ``radius`` bits, but lie in different ``components``.
@@ -513,8 +555,9 @@ def prefix_candidates(sets: DataFrame, sketches: DataFrame, components: DataFram
     With shingles ordered from rare to frequent, two sets that are so alike share one of the first
     size - ceil(least * size) + 1 of either; so couples meet in these and nowhere else, and none is left out.
     What a couple shares begins at its first common shingle, so no more can be shared than is left there in the
-    shorter rest: couples that lie too far down in either order for ``least`` are no rows.  Shingles of a single set
-    take part in the places only."""
+    shorter rest: couples that lie too far down in either order for ``least`` are no rows, and :func:`meeting_sides` keeps most of them
+    from meeting at all.  Nor are couples whose parities differ in more bits than alike sets do in shingles (:func:`with_parities`).
+    Shingles of a single set take part in the places only."""
     each = sets.select("vertex", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").count()
     ranked = each.join(often, "shingle").groupBy("vertex", "size").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("s"))
@@ -523,13 +566,20 @@ def prefix_candidates(sets: DataFrame, sketches: DataFrame, components: DataFram
     prefix = ranked.select("vertex", "size", F.posexplode(F.slice("s", F.lit(1), first.cast("int"))).alias("place", "p")).filter("p.count > 1")
     prefix = prefix.select("vertex", "size", (F.col("size") - F.col("place")).alias("left"), F.col("p.shingle").alias("shingle"))
     own = components.select("vertex", "component")
-    prefix = materialize(prefix.join(own, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")).join(sketches.select("vertex", "sketch"), "vertex"), "prefixes")
-    side = lambda end: prefix.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("vertex", "size", "left", "component", "sketch")])
-    both = side(1).join(side(2), "shingle").filter((F.col("vertex_1") < F.col("vertex_2")) & (F.col("component_1") != F.col("component_2")))
-    both = both.filter((F.col("size_1") >= F.col("size_2") * (least - 1e-9)) & (F.col("size_2") >= F.col("size_1") * (least - 1e-9)))
-    both = both.filter(F.least("left_1", "left_2") >= (F.col("size_1") + F.col("size_2")) * ((least - 1e-9) / (1 + least)))
-    bits = F.array_min(F.zip_with("sketch_1", "sketch_2", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
-    return both.select(F.col("vertex_1").alias("src"), F.col("vertex_2").alias("dst"), bits.alias("bits")).filter(F.col("bits") <= radius).distinct()
+    prefix = prefix.join(own, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")).join(sketches.select("vertex", "sketch"), "vertex")
+    prefix = materialize(prefix.join(with_parities(sets), "vertex"), "prefixes")
+    key = ["shingle", "band", "most"]
+    side = lambda df, end: df.select(*key, *[F.col(c).alias(f"{c}_{end}") for c in ("vertex", "size", "left", "component", "sketch", "parity")])
+    smaller, larger = meeting_sides(prefix, least)
+    both = side(smaller, 1).join(side(larger, 2), key).filter(F.col("component_1") != F.col("component_2"))
+    both = both.filter((F.col("size_1") < F.col("size_2")) | ((F.col("size_1") == F.col("size_2")) & (F.col("vertex_1") < F.col("vertex_2"))))
+    both = both.filter(F.col("size_1") >= F.col("size_2") * (least - 1e-9))
+    shared = (F.col("size_1") + F.col("size_2")) * ((least - 1e-9) / (1 + least))
+    both = both.filter(F.least("left_1", "left_2") >= shared)
+    differ = lambda name: F.zip_with(f"{name}_1", f"{name}_2", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    both = both.filter(F.aggregate(differ("parity"), F.lit(0), lambda n, x: n + x) <= F.col("size_1") + F.col("size_2") - 2 * shared)
+    ends = F.least("vertex_1", "vertex_2").alias("src"), F.greatest("vertex_1", "vertex_2").alias("dst")
+    return both.select(*ends, F.array_min(differ("sketch")).alias("bits")).filter(F.col("bits") <= radius).distinct()
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, words: int = 16, proposal: int = 2, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:

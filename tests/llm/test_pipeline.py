@@ -1,8 +1,11 @@
 import base64
+import math
 import random
 import string
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import simhash
@@ -120,6 +123,62 @@ def test_couples_that_first_meet_too_far_down_are_no_rows(spark):
     assert [(r["src"], r["dst"]) for r in simhash.prefix_candidates(table, sketches, none, 0.8, 3).collect()] == [(7, 40)]
 
 
+def test_couples_that_meet_early_and_differ_too_much_are_no_rows(spark):
+    """Copies of one text that each lack 8 of its 100 shingles and hold 8 others: all meet early, but no two of the first 40 are alike."""
+    rng = random.Random(5)
+    sets = []
+    while len(sets) < 40:
+        new = set(range(100)) - set(rng.sample(range(100), 8)) | set(range(1000 + 8 * len(sets), 1008 + 8 * len(sets)))
+        if all(len(new ^ old) > 22 for old in sets):
+            sets.append(new)
+    sets.append(sets[7] - {min(sets[7])} | {9999})
+    table = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "vertex long, shingles array<long>")
+    sketches = spark.createDataFrame([(k, [0]) for k in range(41)], "vertex long, sketch array<long>")
+    none = spark.createDataFrame([], "vertex long, component long")
+    alike = {(i, j) for j in range(41) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {(r["src"], r["dst"]) for r in simhash.prefix_candidates(table, sketches, none, 0.8, 3).collect()}
+    assert (7, 40) in alike and alike <= got and len(got) <= 60
+
+
+def test_connected_groups_are_not_paired_with_themselves(spark):
+    """200 alike sets of one component and 30 of no component, of many sizes: all alike couples meet, those of one component hardly ever."""
+    rng = random.Random(6)
+    base = set(range(2000, 2150))
+    group = [base - set(rng.sample(sorted(base), rng.randrange(6))) | {10_000 + 10 * k + i for i in range(rng.randrange(6))} for k in range(200)]
+    single = [base - set(rng.sample(sorted(base), rng.randrange(25))) | {50_000 + 40 * k + i for i in range(rng.randrange(25))} for k in range(30)]
+    sets = dict(enumerate([*group, *single]))
+    often = {}
+    for s in sets.values():
+        for x in s:
+            often[x] = often.get(x, 0) + 1
+    rows = []
+    for k, s in sets.items():
+        order = sorted(s, key=lambda x: (often[x], x))
+        first = len(s) - math.ceil(0.8 * len(s)) + 1
+        rows += [(k, len(s), len(s) - i, x, 0 if k < 200 else k) for i, x in enumerate(order[:first]) if often[x] > 1]
+    prefix = spark.createDataFrame(rows, "vertex long, size int, left int, shingle long, component long")
+    a, b = simhash.meeting_sides(prefix, 0.8)
+    key = ["shingle", "band", "most"]
+    met = a.select(*key, F.col("vertex").alias("v"), F.col("component").alias("c")).join(b.select(*key, F.col("vertex").alias("w"), F.col("component").alias("d")), key).collect()
+    want = {frozenset((i, j)) for i in sets for j in range(200, 230) if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 500 and want <= {frozenset((r["v"], r["w"])) for r in met if r["c"] != r["d"]}
+    inside = sum(r["c"] == r["d"] for r in met)
+    all_inside = sum(n * n for n in Counter(x for k, _, _, x, _ in rows if k < 200).values())
+    assert all_inside > 20_000 and inside < all_inside / 20
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles(spark):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(-(2**63), 2**63, int(n))) for n in (0, 1, 7, 900, 5000)]
+    sets += [np.concatenate((s[: len(s) // 2], [k])) for k, s in enumerate(sets)]
+    table = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(sets)], "vertex long, shingles array<long>")
+    parity = {r["vertex"]: np.array(r["parity"], np.int64) for r in simhash.with_parities(table).collect()}
+    for i, a in enumerate(sets):
+        assert sum(int(x).bit_count() for x in parity[i].view(np.uint64)) == sum(np.bincount(a & 1023, minlength=1024) & 1)
+        for j, b in enumerate(sets):
+            assert int(np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_no_link_of_a_dense_group_is_lost(spark, monkeypatch):
     """Texts whose fingerprints are near and most of which are not alike: the groups are those of all links, not of three forests."""
     rng = random.Random(3)
