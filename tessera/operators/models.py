@@ -7,8 +7,9 @@ scaling and components included, sees the training pairs of its fold only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.draws import uniform
-from tessera.storage import materialize
+from tessera.storage import bounded_batches, materialize, remove
 
 from .graph import connected_components
 
@@ -534,20 +535,220 @@ def _fit_component(pdf: pd.DataFrame, errors: bool) -> pd.DataFrame:
     return out
 
 
+#: Pairs of one component up to which a task fits it (about 200 bytes each); a larger one is fitted from sums over blocks of its pairs.
+TASK_PAIRS = 1_000_000
+#: Pairs of a block, numbers of a piece of a sum, and strains whose errors are solved for at once.
+BLOCK_PAIRS, PIECE, ERRORS_AT_ONCE = 1 << 17, 1 << 14, 16
+
+
+class PairBlocks:
+    """Pairs of numbered strains, packed into rows of BLOCK_PAIRS; sums over all of them by strain, in vectors that the driver holds.
+
+    A task holds one block and the sums it makes; these are added up piece by piece before the driver gets them."""
+
+    def __init__(self, pairs: DataFrame, n: int):
+        """``pairs``: a, b (from 0, below ``n``), n_reads_a, n_reads_b."""
+        self.spark, self.n = pairs.sparkSession, n
+        bounded_batches(self.spark)
+
+        def pack(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b, x, y = (c.to_numpy() for c in pa.Table.from_batches(rows).columns)
+            kind = np.min_scalar_type(max(int(x.max()), int(y.max()), 0)) if min(x.min(), y.min()) >= 0 and x.dtype.kind == y.dtype.kind == "i" else np.dtype(float)
+            columns = [a.astype(np.int32), b.astype(np.int32), x.astype(kind), y.astype(kind)]
+            return pa.RecordBatch.from_arrays([*[pa.array([c.tobytes()]) for c in columns], pa.array([kind.str])], names=["a", "b", "x", "y", "kind"])
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, rows = [], 0
+            for batch in batches:
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= BLOCK_PAIRS:
+                    yield pack(held)
+                    held, rows = [], 0
+            if rows:
+                yield pack(held)
+
+        self.table = materialize(pairs.select("a", "b", "n_reads_a", "n_reads_b").mapInArrow(packed, "a binary, b binary, x binary, y binary, kind string"), "blocks")
+
+    def sums(self, work: Callable, k: int, **vectors: np.ndarray) -> np.ndarray:
+        """k rows by strain: ``work(add, a, b, wins_a, wins_b, **vectors)`` calls ``add(row, strains, values)`` for each block."""
+        size, given = k * self.n, self.spark.sparkContext.broadcast(vectors)
+        n = self.n
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((k, n))
+
+            def add(row: int, strains: np.ndarray, values: np.ndarray) -> None:
+                out[row] += np.bincount(strains, values, n)
+
+            for batch in batches:
+                for a, b, x, y, kind in zip(*[batch.column(c) for c in range(5)], strict=True):
+                    work(add, *[np.frombuffer(c.as_buffer(), np.int32) for c in (a, b)], *[np.frombuffer(c.as_buffer(), kind.as_py()).astype(float) for c in (x, y)], **given.value)
+            for lo in range(0, size, PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([out.reshape(-1)[lo : lo + PIECE].tobytes()])], names=["lo", "v"])
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for lo, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    out[lo] = out.get(lo, 0) + np.frombuffer(v.as_buffer())
+            for lo, v in out.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([v.tobytes()])], names=["lo", "v"])
+
+        schema = "lo long, v binary"
+        whole = np.zeros(size)
+        for r in self.table.coalesce(self.spark.sparkContext.defaultParallelism).mapInArrow(part, schema).repartition("lo").mapInArrow(added, schema).collect():
+            whole[r["lo"] : r["lo"] + PIECE] = np.frombuffer(r["v"])
+        given.destroy()
+        return whole.reshape(k, n)
+
+
+def _rival_sums(add, a, b, x, y, p):
+    share = (x + y) / (p[a] + p[b])
+    add(0, a, share)
+    add(0, b, share)
+
+
+def _win_sums(add, a, b, x, y):
+    add(0, a, x)
+    add(0, b, y)
+
+
+def _slopes(add, a, b, x, y, s):
+    p = 1 / (1 + np.exp(-(s[a] - s[b])))
+    w, left = np.maximum((x + y) * p * (1 - p), 1e-12), x - (x + y) * p
+    add(0, a, left)
+    add(0, b, -left)
+    add(1, a, w)
+    add(1, b, w)
+
+
+def _rival_weights(add, a, b, x, y, s, d):
+    p = 1 / (1 + np.exp(-(s[a] - s[b])))
+    w = np.maximum((x + y) * p * (1 - p), 1e-12)
+    for k, v in enumerate(d):
+        add(k, a, w * v[b])
+        add(k, b, w * v[a])
+
+
+def _likelihoods(add, a, b, x, y, s):
+    total, d = x + y, s[a] - s[b]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.where(x > 0, x * np.log(x / total), 0.0) + np.where(y > 0, y * np.log(y / total), 0.0)
+    for k, v in enumerate((-x * np.logaddexp(0, -d) - y * np.logaddexp(0, d), own, x, y, np.ones(len(a)))):
+        add(k, a, v)
+
+
+def blockwise_bradley_terry(blocks: PairBlocks, starts: np.ndarray, *, place: bool, steps: int = 100, errors: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(strengths, standard errors, five sums by strain) as :func:`bradley_terry` finds them for each component, with passes over blocks.
+
+    Strains are numbered component by component, from ``starts``.  With ``place`` strengths are on the scale of :func:`minorised`."""
+    n = blocks.n
+    sizes = np.diff(np.append(starts, n))
+    total = lambda v: np.repeat(np.add.reduceat(v, starts), sizes)
+    most = lambda v: np.repeat(np.maximum.reduceat(v, starts), sizes)
+    s, se, placed = np.zeros(n), np.full(n, np.nan), None
+    if place:
+        wins, p, scale = blocks.sums(_win_sums, 1)[0], np.ones(n), np.zeros(n)
+        for _ in range(PLACING_STEPS):
+            new = wins / blocks.sums(_rival_sums, 1, p=p)[0]
+            factor, moved = most(new), np.abs(new - p)
+            p, scale = new / factor, scale + np.log(factor)
+            if (moved < 1e-15 * factor).all():
+                break
+            p = np.maximum(p, 1e-300)
+        some = wins > 0
+        placed = np.log(p, out=np.zeros(n), where=some) + scale
+        s = np.where(some, placed - total(np.where(some, placed, 0.0)) / np.maximum(total(some.astype(float)), 1), 0.0)
+
+    def solved(right: np.ndarray, diagonal: np.ndarray, goal: float) -> np.ndarray:
+        """Rows x of the weighted Laplacian at s for rows ``right`` that add up to 0 in each component: conjugate gradients scaled by the diagonal."""
+        centre = lambda v: v - np.array([total(u) for u in v]) / np.repeat(sizes, sizes)
+        x, r = np.zeros_like(right), centre(right)
+        goal = goal * np.abs(r).max(axis=1)
+        z = r / diagonal
+        d, rz = z.copy(), (r * z).sum(axis=1)
+        for _ in range(2 * n + 50):
+            if (np.abs(r).max(axis=1) <= goal).all():
+                break
+            q = diagonal * d - blocks.sums(_rival_weights, len(d), s=s, d=d)
+            dq = (d * q).sum(axis=1)
+            step = np.divide(rz, dq, out=np.zeros_like(rz), where=dq > 0)[:, None]
+            x += step * d
+            r = centre(r - step * q)
+            z = r / diagonal
+            rz, before = (r * z).sum(axis=1), rz
+            d = z + np.divide(rz, before, out=np.zeros_like(rz), where=before > 0)[:, None] * d
+        return x
+
+    first = None
+    for _ in range(steps):
+        slope, weights = blocks.sums(_slopes, 2, s=s)
+        steep = np.abs(slope).max()
+        first = first or steep or 1.0
+        # the last steps decide: far from the maximum, a step need not be solved to the last digit
+        step = np.clip(solved(slope[None], weights + 1e-9, min(1e-2, max(1e-13, 0.1 * steep / first)))[0], -5, 5)
+        s = s + step
+        if np.abs(step).max() < 1e-10:
+            break
+    if errors:
+        weights, base = blocks.sums(_slopes, 2, s=s)[1] + 1e-9, np.repeat(starts, sizes)
+        others = np.flatnonzero(np.arange(n) != base)
+        for lo in range(0, len(others), ERRORS_AT_ONCE):
+            k = others[lo : lo + ERRORS_AT_ONCE]
+            unit, row = np.zeros((len(k), n)), np.arange(len(k))
+            unit[row, k], unit[row, base[k]] = 1, -1
+            x = solved(unit, weights, 1e-13)
+            se[k] = np.sqrt(np.maximum(x[row, k] - x[row, base[k]], 0))
+    sums = blocks.sums(_likelihoods, 5, s=s)
+    if place:
+        some_s = total(np.where(some, s, 0.0)) / np.maximum(total(some.astype(float)), 1)
+        s = s + total(np.where(some, placed, 0.0)) / np.maximum(total(some.astype(float)), 1) - some_s
+    return s, se, sums
+
+
+def _fit_large(pooled: DataFrame, component: DataFrame, schema: str, *, place: bool, errors: bool) -> DataFrame:
+    """Rows as :func:`_fit_component` gives them for the components of ``component`` (strain_a, component)."""
+    # a number for each strain, a dimension of the experiment; the driver holds a few vectors over them
+    number = materialize(component.select(F.col("strain_a").alias("strain"), "component", (F.row_number().over(Window.orderBy("component", "strain_a")) - 1).alias("i")), "numbers")
+    starts = np.array(sorted(r[0] for r in number.groupBy("component").agg(F.min("i")).select("min(i)").collect()), np.int64)
+    n = number.count()
+    at = lambda c, name: (F.broadcast if n <= 1_000_000 else lambda x: x)(number.select(F.col("strain").alias(c), F.col("i").alias(name)))
+    blocks = PairBlocks(pooled.join(at("strain_a", "a"), "strain_a").join(at("strain_b", "b"), "strain_b"), n)
+    s, se, sums = blockwise_bradley_terry(blocks, starts, place=place, errors=errors)
+    remove(blocks.spark, blocks.table)
+    fitted = blocks.spark.sparkContext.broadcast((s, se, sums))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, se, sums = fitted.value
+        for pdf in batches:
+            i = pdf["i"].to_numpy()
+            yield pd.DataFrame({"strain": pdf["strain"], "s": s[i], "bt_se": se[i], **dict(zip(("fitted", "own", "won", "lost"), sums[:4, i], strict=True)), "n_pairs": sums[4, i].astype(np.int64)})
+
+    return number.select("strain", "i").mapInPandas(rows, schema)
+
+
 def fit_bradley_terry(pooled: DataFrame, *, errors: bool = True) -> DataFrame:
     """(strain, bt_strength, bt_se, bt_rank, pseudo_r2, deviance, null_deviance, df_resid), any number of strains.
 
     ``pooled``: strain_a, strain_b, n_reads_a, n_reads_b, a row for each pair.  The smallest
-    strain is the baseline; logs are natural.  A task fits one connected component, so its memory follows the
-    pairs of the largest.  Nothing says how strains that no pairs connect compare: components
+    strain is the baseline; logs are natural.  A task fits a connected component of up to TASK_PAIRS pairs; larger ones are
+    fitted together from sums over blocks of pairs, and no task holds their pairs.  Nothing says how strains that no pairs connect compare: components
     are placed where minorisation from equal strengths leaves them.  Without ``errors`` bt_se is null;
     it is relative to the smallest strain of the component."""
     kind = dict(pooled.dtypes)["strain_a"]
     schema = f"strain {kind}, s double, bt_se double, fitted double, own double, won double, lost double, n_pairs long"
     pooled = materialize(pooled.select("strain_a", "strain_b", "n_reads_a", "n_reads_b"), "pooled")
     component = connected_components(pooled, "strain_a", "strain_b").select(F.col("vertex").alias("strain_a"), "component")
-    fits = pooled.join(component, "strain_a").groupBy("component").applyInPandas(lambda pdf: _fit_component(pdf, errors), schema)
-    fits = materialize(fits, "strengths")
+    n_pairs = pooled.groupBy("strain_a").count().join(component, "strain_a").groupBy("component").agg(F.sum("count").alias("n"))
+    large = [r["component"] for r in n_pairs.filter(F.col("n") > TASK_PAIRS).select("component").collect()]
+    several = component.select("component").distinct().limit(len(large) + 1).count() > len(large)
+    fits = []
+    if several or not large:
+        fits.append(pooled.join(component.filter(~F.col("component").isin(large)), "strain_a").groupBy("component").applyInPandas(lambda pdf: _fit_component(pdf, errors), schema))
+    if large:
+        fits.append(_fit_large(pooled, component.filter(F.col("component").isin(large)), schema, place=several or len(large) > 1, errors=errors))
+    fits = materialize(reduce(DataFrame.unionByName, fits), "strengths")
     one = fits.agg(F.min_by("s", "strain").alias("base"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("fitted", "own", "won", "lost", "n_pairs")])
     log = lambda k: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (F.col("won") + F.col("lost")))).otherwise(0.0)
     deviance, null = 2 * (F.col("own") - F.col("fitted")), 2 * (F.col("own") - log("won") - log("lost"))  # the null model knows one share for all pairs

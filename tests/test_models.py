@@ -62,6 +62,28 @@ def test_strengths_of_many_strains(spark):
     assert fit["deviance"].iloc[0] == pytest.approx(dense["deviance"]) and fit["null_deviance"].iloc[0] == pytest.approx(null)
 
 
+def test_large_components_are_not_held_in_one_task(spark, monkeypatch):
+    """Sums over blocks of pairs give the strengths, errors and deviances of fits in one task, several components included."""
+    rng, rows = np.random.default_rng(3), []
+    for first, n in ((0, 30), (100, 25), (200, 3)):
+        rows += [(first + int(i), first + int(j), int(x), int(y)) for i, j, x, y in zip(*np.triu_indices(n, 1), *rng.integers(1, 40, (2, n * (n - 1) // 2)), strict=True)]
+    schema = "strain_a long, strain_b long, n_reads_a long, n_reads_b long"
+    for some in (rows, [r for r in rows if r[0] < 100]):
+        fit = lambda: models.fit_bradley_terry(spark.createDataFrame(some, schema)).toPandas().set_index("strain").sort_index()  # noqa: E731, B023
+        with monkeypatch.context() as m:
+            whole = fit()
+            m.setattr(models, "TASK_PAIRS", 100)
+            m.setattr(models, "BLOCK_PAIRS", 64)
+            m.setattr(models, "PIECE", 16)
+            task = models._fit_component
+            m.setattr(models, "_fit_component", lambda pdf, errors: task(pdf, errors) if len(pdf) <= 100 else None)
+            parts = fit()
+        assert whole.index.equals(parts.index) and list(whole["bt_rank"]) == list(parts["bt_rank"])
+        for c in ("bt_strength", "deviance", "null_deviance", "df_resid", "pseudo_r2"):
+            assert np.allclose(whole[c], parts[c], rtol=1e-9, atol=1e-8), c
+        assert np.allclose(whole["bt_se"], parts["bt_se"], rtol=1e-5, equal_nan=True) and whole["bt_se"].notna().sum() == len(whole) - (3 if len(some) == len(rows) else 1)
+
+
 def test_cross_validation_orders_models(spark, experiment):
     pairs, x, _ = experiment
     units = spark.createDataFrame([(s,) for s in x.index], "strain string")
