@@ -68,6 +68,7 @@ def test_large_components_are_not_held_in_one_task(spark, monkeypatch):
     for first, n in ((0, 30), (100, 25), (200, 3)):
         rows += [(first + int(i), first + int(j), int(x), int(y)) for i, j, x, y in zip(*np.triu_indices(n, 1), *rng.integers(1, 40, (2, n * (n - 1) // 2)), strict=True)]
     schema = "strain_a long, strain_b long, n_reads_a long, n_reads_b long"
+    gof = lambda fit: models.goodness_of_fit(spark.createDataFrame(fit.reset_index())).select("n_strains", "lr_stat", "df_resid", "dispersion_ratio").first().asDict()
     for some in (rows, [r for r in rows if r[0] < 100]):
         fit = lambda: models.fit_bradley_terry(spark.createDataFrame(some, schema)).toPandas().set_index("strain").sort_index()  # noqa: E731, B023
         with monkeypatch.context() as m:
@@ -81,6 +82,7 @@ def test_large_components_are_not_held_in_one_task(spark, monkeypatch):
         assert whole.index.equals(parts.index) and list(whole["bt_rank"]) == list(parts["bt_rank"])
         for c in ("bt_strength", "deviance", "null_deviance", "df_resid", "pseudo_r2"):
             assert np.allclose(whole[c], parts[c], rtol=1e-9, atol=1e-8), c
+        assert gof(whole) == pytest.approx(gof(parts), rel=1e-8)
         assert np.allclose(whole["bt_se"], parts["bt_se"], rtol=1e-5, equal_nan=True) and whole["bt_se"].notna().sum() == len(whole) - (3 if len(some) == len(rows) else 1)
 
 
