@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.draws import uniform
+from tessera.storage import materialize, sent
 
 #: A fold of pairs needs so many test pairs to be evaluated (fixed value).
 MIN_TEST_PAIRS = 5
@@ -23,6 +24,7 @@ def strain_folds(pairs: DataFrame, folds: DataFrame, *, unit: str = "strain", a:
     """(rep, fold, strain_a, strain_b, role): both members in the fold: test; neither: train; straddling pairs vanish.
 
     Folds with fewer than ``least`` test pairs are left out."""
+    folds = sent(materialize(folds.select("rep", unit, "fold"), "folds"))
     left = folds.select("rep", F.col(unit).alias(a), F.col("fold").alias("_fa"))
     right = folds.select(F.col("rep").alias("_rep"), F.col(unit).alias(b), F.col("fold").alias("_fb"))
     placed = pairs.select(a, b).join(left, a).join(right, b).filter("rep = _rep")
@@ -31,7 +33,7 @@ def strain_folds(pairs: DataFrame, folds: DataFrame, *, unit: str = "strain", a:
         "role", F.when((F.col("_fa") == F.col("fold")) & (F.col("_fb") == F.col("fold")), "test").when((F.col("_fa") != F.col("fold")) & (F.col("_fb") != F.col("fold")), "train")
     ).filter("role IS NOT NULL")
     enough = rows.groupBy("rep", "fold").agg(F.count_if(F.col("role") == "test").alias("_n")).filter(F.col("_n") >= least)
-    return rows.join(F.broadcast(enough), ["rep", "fold"]).select("rep", "fold", a, b, "role")
+    return rows.join(F.broadcast(materialize(enough, "enough")), ["rep", "fold"]).select("rep", "fold", a, b, "role")
 
 
 def pair_folds(pairs: DataFrame, n_splits: int, *, seed: int = 0, a: str = "strain_a", b: str = "strain_b") -> DataFrame:
@@ -43,13 +45,17 @@ def pair_folds(pairs: DataFrame, n_splits: int, *, seed: int = 0, a: str = "stra
 def purge(roles: DataFrame, organism: DataFrame, *, a: str = "strain_a", b: str = "strain_b") -> DataFrame:
     """``roles`` without the training pairs of a fold that hold an organism of its test pairs.
 
-    ``organism``: (strain, organism)."""
+    ``organism``: (strain, organism).  Folds are barred strain by strain, so pairs are only filtered; they are not dealt anew."""
     of = organism.select("strain", "organism")
-    members = roles.select("rep", "fold", "role", a, b, F.explode(F.array(a, b)).alias("strain")).join(of, "strain")
-    seen = members.filter("role = 'test'").select("rep", "fold", "organism").distinct()
-    bad = members.filter("role = 'train'").join(seen, ["rep", "fold", "organism"], "left_semi").select("rep", "fold", a, b).distinct()
-    train = roles.filter("role = 'train'").join(bad, ["rep", "fold", a, b], "left_anti")
-    return train.select(roles.columns).unionByName(roles.filter("role = 'test'"))
+    key = F.shiftleft(F.col("rep").cast("long"), 32) + F.col("fold")
+    tested = roles.filter("role = 'test'").select(key.alias("_key"), F.explode(F.array(a, b)).alias("strain")).distinct()
+    seen = tested.join(of, "strain").select("_key", "organism").distinct()
+    barred = sent(materialize(of.join(seen, "organism").groupBy("strain").agg(F.collect_set("_key").alias("_barred")), "barred"))
+    train = roles.filter("role = 'train'")
+    for side in (a, b):
+        train = train.join(barred.select(F.col("strain").alias(side), F.col("_barred").alias(f"_{side}")), side, "left")
+    free = [F.coalesce(~F.array_contains(f"_{side}", key), F.lit(True)) for side in (a, b)]
+    return train.filter(free[0] & free[1]).select(roles.columns).unionByName(roles.filter("role = 'test'"))
 
 
 def exposure(roles: DataFrame, organism: DataFrame, *, a: str = "strain_a", b: str = "strain_b") -> DataFrame:

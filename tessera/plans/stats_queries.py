@@ -11,6 +11,7 @@ from tessera.functions.draws import uniform_sql
 from tessera.operators import folds, pairs, scoring, stats
 from tessera.operators import windows as W
 from tessera.operators.tables import canonical_matrix, merged_counts, same_rows, share_dispersion
+from tessera.storage import materialize
 
 from .registry import query
 from .tables import SUPPLIER_WELLS, r6, supplier_wells, table
@@ -182,11 +183,13 @@ def canonical_pairs(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Supplier pairs that share an order."""
-    lines = table(spark, sf_dir, "lineitem")
+    """Supplier pairs that share an order, written once: several steps read them.
+
+    Lines are dealt by order once; both sides of the join keep that partitioning."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()
     a = lines.select("l_orderkey", F.col("l_suppkey").alias("strain_a"))
     b = lines.select("l_orderkey", F.col("l_suppkey").alias("strain_b"))
-    return a.join(b, "l_orderkey").filter("strain_a < strain_b").select("strain_a", "strain_b").distinct()
+    return materialize(a.join(b, "l_orderkey").filter("strain_a < strain_b").select("strain_a", "strain_b").distinct(), "pairs")
 
 
 def _folds(pairs_):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -55,6 +56,15 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows by strain that are sent to every task (some 100 bytes each); more are joined by key.
+SENT_ROWS = 1_000_000
+
+
+def sent(strains: DataFrame) -> DataFrame:
+    """``strains``, a row for each, to be broadcast unless they are too many."""
+    return F.broadcast(strains) if strains.count() <= SENT_ROWS else strains
+
+
 #: Limits of a batch between Spark and Python where rows hold whole texts.
 BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 

@@ -13,6 +13,7 @@ from tessera.operators import accounting, design, features, folds, identity, mod
 from tessera.operators import plate_controls as P
 from tessera.operators.communities import Pool
 from tessera.sources import plates, sequences, tabular
+from tessera.storage import materialize
 
 
 def test_sheets_and_sinks(spark, tmp_path):
@@ -165,3 +166,18 @@ def test_group_folds_hold_groups_together(spark):
     pairs = spark.createDataFrame([(f"s{i:02d}", f"s{j:02d}") for i in range(24) for j in range(i + 1, 24)], "strain_a string, strain_b string")
     roles = folds.strain_folds(pairs, dealt.drop("g"))
     assert folds.exposure(roles, groups.select("strain", F.col("g").alias("organism"))).filter("exposed > 0").count() == 0
+
+
+def test_purge_deals_no_pairs_anew(spark):
+    """Barred strains are sent to the pairs: purging 5 folds must not shuffle the pairs of each."""
+    pairs = spark.createDataFrame([(f"s{i}", f"s{j}") for i in range(30) for j in range(i + 1, 30)], "strain_a string, strain_b string")
+    dealt = spark.createDataFrame([(0, f"s{i}", i % 5) for i in range(30)], "rep int, strain string, fold int")
+    kinds = {f"s{i}": None if i == 7 else i % 12 for i in range(29)}  # one of unknown organism, one without a row
+    roles = materialize(folds.strain_folds(pairs, dealt), "roles")
+    kept = folds.purge(roles, spark.createDataFrame(list(kinds.items()), "strain string, organism int"))
+    rows = [tuple(r) for r in roles.collect()]
+    tested = {(f, kinds.get(s)) for _, f, a, b, role in rows for s in (a, b) if role == "test"} - {(f, None) for f in range(5)}
+    want = [r for r in rows if r[4] == "test" or not {(r[1], kinds.get(s)) for s in r[2:4]} & tested]
+    assert sorted(map(tuple, kept.collect())) == sorted(want) and 0 < sum(r[4] == "train" for r in want) < sum(r[4] == "train" for r in rows)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
