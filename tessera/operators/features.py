@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import materialize, sent
+
 
 def presence(cnt: Column) -> Column:
     return (cnt > 0).cast("int")
@@ -28,14 +30,27 @@ def prevalent(features: DataFrame, least: int, *, cnt: str = "cnt") -> DataFrame
     return has.join(keep, "feature", "left_semi")
 
 
+#: Couples that a task of :func:`shared_features` counts, some 40 bytes each before they are summed.
+TASK_COUPLES = 4_000_000
+
+
 def shared_features(features: DataFrame) -> DataFrame:
     """For pairs a < b that share a feature: shared, only_a, only_b and the Jaccard similarity.
 
-    Meets pairs only at common features; pairs without any have 0 shared by absence."""
-    f = present(features)
-    sizes = f.groupBy("strain").agg(F.count("*").alias("n"))
-    left, right = f.select(F.col("strain").alias("a"), "feature"), f.select(F.col("strain").alias("b"), "feature")
-    shared = left.join(right, "feature").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    Meets pairs only at common features; pairs without any have 0 shared by absence.  What is shuffled is not a row for
+    each couple but, for each strain and feature, the list of the later strains; all couples of a strain are counted in one task."""
+    kind = dict(features.dtypes)["strain"]
+    lists = features.filter("strain IS NOT NULL").select("strain", "feature").repartition("feature").groupBy("feature").agg(F.collect_set("strain").alias("l"))
+    lists = materialize(lists, "lists")
+    sizes = materialize(lists.select(F.explode("l").alias("strain")).groupBy("strain").agg(F.count("*").alias("n")), "sizes")
+    small = kind == "bigint" and sizes.agg(F.coalesce(F.min("strain") >= -(1 << 31), F.lit(True)) & F.coalesce(F.max("strain") < 1 << 31, F.lit(True))).first()[0]
+    k = F.size("l").cast("long")
+    couples = lists.filter("feature IS NOT NULL").agg(F.coalesce(F.sum(k * (k - 1) / 2), F.lit(0.0))).first()[0]
+    tasks = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(couples // TASK_COUPLES))
+    sorted_ = lists.filter("feature IS NOT NULL").select(F.sort_array(F.col("l").cast("array<int>") if small else "l").alias("l"))
+    later = sorted_.select(F.posexplode("l").alias("_k", "a"), "l").filter(F.col("_k") + 1 < F.size("l")).select("a", F.slice("l", F.col("_k") + 2, F.size("l")).alias("l"))
+    shared = later.repartition(tasks, "a").select("a", F.explode("l").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    shared, sizes = shared.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "shared"), sent(sizes)
     out = shared.join(sizes.select(F.col("strain").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("strain").alias("b"), F.col("n").alias("nb")), "b")
     both = F.col("shared")
     return out.select("a", "b", "shared", (F.col("na") - both).alias("only_a"), (F.col("nb") - both).alias("only_b"), (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"))

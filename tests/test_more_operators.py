@@ -181,3 +181,22 @@ def test_purge_deals_no_pairs_anew(spark):
     assert sorted(map(tuple, kept.collect())) == sorted(want) and 0 < sum(r[4] == "train" for r in want) < sum(r[4] == "train" for r in rows)
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "bigint, wide"])
+def test_shared_features_shuffles_lists(spark, kind):
+    """Couples are no rows before they are counted: no shuffle by pair, and none by either member after it."""
+    name = str if kind == "string" else lambda i: i * (1 << 31 if "wide" in kind else 1) - 3
+    rng = np.random.default_rng(5)
+    rows = [(name(int(i)), None if f == 9 else int(f)) for i, f in zip(rng.integers(0, 25, 200), rng.integers(0, 30, 200), strict=True)]
+    got = features.shared_features(spark.createDataFrame([*rows, *rows[:20], (None, 3)], f"strain {kind.split(',')[0]}, feature int"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    has = {s: {f for x, f in rows if x == s} for s, _ in rows}
+    want = {}
+    for a in has:
+        for b in has:
+            both = len(has[a] & has[b] - {None})
+            if a < b and both:
+                want[a, b] = (both, len(has[a]) - both, len(has[b]) - both, pytest.approx(both / (len(has[a]) + len(has[b]) - both)))
+    assert {(r["a"], r["b"]): tuple(r)[2:] for r in got.collect()} == want and got.count() == len(want)
+    assert plan.count("hashpartitioning") == 1 and "SortMergeJoin" not in plan
