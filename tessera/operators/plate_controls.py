@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +45,58 @@ def _alike_neighbours(pdf: pd.DataFrame, reach: int, kinds: int) -> np.ndarray:
     return out if couples else out[:0]
 
 
-def adjacency_enrichment(wells: DataFrame, label: str, *, reach: int = 2, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """One row: couples of neighbours that share the label, their mean over permuted labels, z and p = k / n."""
-    wells = wells.select("plate", "row", "col", F.col(label).alias("_l"), F.concat_ws(":", "plate", "row", "col").alias("_id"))
-    wells = materialize(wells, "wells")
-    total = wells.count()
+#: Wells up to which a task holds all of them, with the labels of a few replicates (some 200 bytes a well); more are numbered over all replicates at once.
+HELD_WELLS = 1_500_000
+
+
+def _held_counts(wells: DataFrame, reach: int, replicates: int, seed: int) -> DataFrame | None:
+    """(replicate, n): couples of neighbours with the same label, 0 for the real ones; a task deals the labels of whole replicates. None if places are too far apart."""
+    spark = wells.sparkSession
+    pdf = wells.orderBy("_id").toPandas()
+    inside = np.flatnonzero(pdf[["plate", "row", "col"]].notna().all(axis=1))
+    plate = pd.factorize(pdf["plate"].iloc[inside])[0]
+    row, col = (pdf[c].iloc[inside].to_numpy(np.int64) for c in ("row", "col"))
+    high, wide = (int(x.max(initial=0)) - int(x.min(initial=0)) + 2 * reach + 1 for x in (row, col))
+    if (int(plate.max(initial=0)) + 2) * high * wide >= 1 << 62:
+        return None
+    key = (plate * high + row - row.min(initial=0) + reach) * wide + col - col.min(initial=0) + reach
+    given = spark.sparkContext.broadcast((pa.array(pdf["_id"].tolist(), pa.string()), pd.factorize(pdf["_l"])[0].astype(np.int32), inside, key))
+    chunk = max(1, min(50, 4_000_000 // max(len(pdf), 1)))
+    chunks = -(-replicates // chunk)
+
+    def couples(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        times = np.searchsorted(key, key, "right") - np.searchsorted(key, key, "left")  # rows of a well
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for d_row, d_col in [(r, c) for r in range(reach + 1) for c in range(-reach, reach + 1) if r or c > 0]:
+            low = np.searchsorted(key, key + d_row * wide + d_col, "left")
+            n = np.searchsorted(key, key + d_row * wide + d_col, "right") - low
+            a = np.repeat(np.arange(len(key)), n)
+            b = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out.append((order[a].astype(np.int32), order[b].astype(np.int32), times[a] * times[b]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, codes, inside, key = given.value
+        a, b, w = couples(key)
+        alike = lambda x: int(((x[inside][a] == x[inside][b]) & (x[inside][a] >= 0)) @ w)
+        for pdf in batches:
+            for k in pdf["id"] if len(a) else ():
+                first, last = 1 + k * chunk, min((k + 1) * chunk, replicates)
+                counts = [(0, alike(codes))] if k == 0 else []
+                drawn = np.concatenate([uniforms(seed, first, last, ids[lo : lo + 8192].to_pylist()) for lo in range(0, len(ids), 8192)], axis=1)
+                for r, draw in enumerate(drawn, first):
+                    dealt = np.empty_like(codes)
+                    dealt[np.argsort(draw, kind="stable")] = codes  # the n-th as they are drawn gets the label of the n-th by name
+                    counts.append((r, alike(dealt)))
+                yield pd.DataFrame(counts, columns=["replicate", "n"])
+
+    return spark.range(0, max(chunks, 1), 1, max(1, min(chunks, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "replicate int, n long")
+
+
+def _dealt_counts(wells: DataFrame, total: int, reach: int, replicates: int, seed: int) -> DataFrame:
+    """As :func:`_held_counts`, for any number of wells: all replicates are sorted together, in ranges."""
     # the n-th of the wells as they are drawn gets the label of the n-th by name; both are numbered over all replicates at once
     labels = numbered(wells.select("_id", "_l"), ["_id"], "_n").select("_n", "_l")
     drawn = materialize(repeated_draws(wells.drop("_l"), key="_id", replicates=replicates, seed=seed), "draws")
@@ -58,10 +108,19 @@ def adjacency_enrichment(wells: DataFrame, label: str, *, reach: int = 2, replic
         counts = _alike_neighbours(pdf, reach, replicates + 1)
         return pd.DataFrame({"replicate": np.arange(len(counts), dtype=np.int32), "n": counts})
 
-    counts = every.groupBy("plate").applyInPandas(alike, "replicate int, n long").groupBy("replicate").agg(F.sum("n").alias("n"))
+    return every.groupBy("plate").applyInPandas(alike, "replicate int, n long").groupBy("replicate").agg(F.sum("n").alias("n"))
+
+
+def adjacency_enrichment(wells: DataFrame, label: str, *, reach: int = 2, replicates: int = 5000, seed: int = 0) -> DataFrame:
+    """One row: couples of neighbours that share the label, their mean over permuted labels, z and p = k / n."""
+    wells = wells.select("plate", "row", "col", F.col(label).alias("_l"), F.concat_ws(":", "plate", "row", "col").alias("_id"))
+    wells = materialize(wells, "wells")
+    total = wells.count()
+    held = _held_counts(wells, reach, replicates, seed) if total <= HELD_WELLS else None
+    counts = _dealt_counts(wells, total, reach, replicates, seed) if held is None else held
     real, chance = F.max(F.when(F.col("replicate") == 0, F.col("n"))), F.when(F.col("replicate") > 0, F.col("n"))
     out = counts.agg(real.alias("observed"), F.avg(chance).alias("null_mean"), F.stddev_pop(chance).alias("null_sd"), F.sort_array(F.collect_list(chance)).alias("_n"))
-    share = F.size(F.filter("_n", lambda x: x >= F.col("observed"))) / F.size("_n")
+    share = F.try_divide(F.size(F.filter("_n", lambda x: x >= F.col("observed"))), F.size("_n"))
     return out.select("observed", "null_mean", "null_sd", F.try_divide(F.col("observed") - F.col("null_mean"), "null_sd").alias("z"), share.alias("p_value"))
 
 

@@ -60,14 +60,14 @@ def transform_support(spark, sf_dir):
 
 @query(
     "adjacency_enrichment",
-    f"""WITH {CELLS}, c AS (SELECT *, concat_ws(':', plate, row, col) AS id FROM cells), e AS (SELECT r, id, p_brand FROM c, range(1, 31) t(r)), l AS (SELECT r, p_brand, row_number() OVER (PARTITION BY r ORDER BY id) AS n FROM e),
+    f"""WITH {CELLS}, c AS (SELECT *, concat_ws(':', plate, row, col) AS id FROM cells), e AS (SELECT r, id, p_brand FROM c, range(1, 5001) t(r)), l AS (SELECT r, p_brand, row_number() OVER (PARTITION BY r ORDER BY id) AS n FROM e),
 d AS (SELECT r, id, row_number() OVER (PARTITION BY r ORDER BY {uniform_sql(0, "r", "id")}, id) AS n FROM e), x AS (SELECT r, id, p_brand FROM d JOIN l USING (r, n) UNION ALL SELECT 0, id, p_brand FROM c),
 near AS (SELECT a.id AS i, b.id AS j FROM c a JOIN c b ON a.plate = b.plate AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 AND (a.row < b.row OR (a.row = b.row AND a.col < b.col))),
 k AS (SELECT a.r, count(*) FILTER (a.p_brand = b.p_brand) AS n FROM near JOIN x a ON a.id = i JOIN x b ON b.id = j AND b.r = a.r GROUP BY 1), s AS (SELECT max(n) FILTER (r = 0) AS o, avg(n) FILTER (r > 0) AS m, stddev_pop(n) FILTER (r > 0) AS d FROM k)
 SELECT o AS observed, round(m, 6) AS null_mean, round(d, 6) AS null_sd, round((o - m) / nullif(d, 0), 6) AS z, round((SELECT count(*) FILTER (n >= o) / count(*) FROM k WHERE r > 0), 6) AS p_value FROM s""",
 )
 def adjacency_enrichment(spark, sf_dir):
-    out = P.adjacency_enrichment(_cells(spark, sf_dir), "p_brand", replicates=30)
+    out = P.adjacency_enrichment(_cells(spark, sf_dir), "p_brand")
     return out.select("observed", *[r6(c).alias(c) for c in ("null_mean", "null_sd", "z", "p_value")])
 
 

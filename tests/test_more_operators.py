@@ -200,3 +200,20 @@ def test_shared_features_shuffles_lists(spark, kind):
                 want[a, b] = (both, len(has[a]) - both, len(has[b]) - both, pytest.approx(both / (len(has[a]) + len(has[b]) - both)))
     assert {(r["a"], r["b"]): tuple(r)[2:] for r in got.collect()} == want and got.count() == len(want)
     assert plan.count("hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_adjacency_of_all_replicates(spark, monkeypatch):
+    """5,000 permutations as in the survey's original; wells held in a task give what wells dealt in ranges give."""
+    import inspect
+
+    from tessera.plans.catalog import ORACLE_SQL
+
+    assert inspect.signature(P.adjacency_enrichment).parameters["replicates"].default == 5000 and "range(1, 5001)" in ORACLE_SQL["adjacency_enrichment"]
+    rows = [(k // 96, k % 96 // 12, k % 12, None if k % 31 == 0 else f"b{k * k % 5}") for k in range(200)] + [(0, 3, 3, "b1"), (None, 1, 1, "b2")]
+    cells = spark.createDataFrame(rows, "plate int, row int, col int, label string")
+    held = P.adjacency_enrichment(cells, "label", replicates=60).first()
+    monkeypatch.setattr(P, "HELD_WELLS", 0)
+    dealt = P.adjacency_enrichment(cells.repartition(3), "label", replicates=60).first()
+    assert held == pytest.approx(dealt) and 0 < held["null_sd"] and held["observed"] > 0
+    monkeypatch.undo()
+    assert tuple(P.adjacency_enrichment(cells.filter("row = 0 AND col = 0"), "label", replicates=5).first()) == (None,) * 5
